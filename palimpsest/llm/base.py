@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +43,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch, column: int, most: int = 1 << 20) -> Iterator:
+    """Parts of an Arrow batch whose texts take about ``most`` bytes, or one row that takes more."""
+    import pyarrow.compute as pc
+
+    sizes, at, total = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and total + n > most:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes what save() wrote, once nothing reads it any more."""
     for df in frames:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import base
+from palimpsest.llm.base import slices
 
 #: Pre-tokens a worker remembers; beyond that it starts afresh.
 CACHE = 300_000
@@ -77,23 +78,26 @@ class Codec:
         self.cut = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """New pre-tokens of all texts go to the model in one call, as a call costs far more than a token."""
+        cut, cache = [self.cut(t) for t in texts], self.cache
+        seen = set().union(*cut)
+        if len(cache) + len(seen) > CACHE:
+            cache.clear()
+        hard = []
+        for t in seen.difference(cache.keys()):
+            raw = t.encode()
+            if (r := self.ranks.get(raw)) is not None:
+                cache[t] = r.to_bytes(4, "little")
+            else:
+                hard.append((t, _mapped(raw)))
+        if hard:
+            for (t, _), ids in zip(hard, self.model.encode([m for _, m in hard], out_type=int, num_threads=1), strict=True):
+                cache[t] = struct.pack(f"<{len(ids)}I", *ids)
+        return (b"".join(map(cache.__getitem__, tokens)) for tokens in cut)
+
     def encode(self, text: str) -> bytes:
-        tokens, cache = self.cut(text), self.cache
-        if missing := [t for t in dict.fromkeys(tokens) if t not in cache]:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list(dict.fromkeys(tokens))
-            hard = []
-            for t in missing:
-                raw = t.encode("utf-8", "surrogatepass")
-                if (r := self.ranks.get(raw)) is not None:
-                    cache[t] = r.to_bytes(4, "little")
-                else:
-                    hard.append((t, _mapped(raw)))
-            if hard:
-                for (t, _), ids in zip(hard, self.model.encode([m for _, m in hard], out_type=int, num_threads=1), strict=True):
-                    cache[t] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(cache.__getitem__, tokens))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, memoryview(ids).cast("I")))
@@ -130,9 +134,8 @@ class _Encode:
         codec = _codec(self.path, self.pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1):
+                ids = list(codec.encode_all([t or "" for t in part.column(1).to_pylist()]))
                 if self.digest:
                     cols = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([sha(x) for x in ids], pa.string()), "decoded_sha256": pa.array([sha(codec.decode(x)) for x in ids], pa.string())}
                 else:
