@@ -22,7 +22,7 @@ from palimpsest.llm import base
 from palimpsest.llm.base import slices
 
 #: Pre-tokens a worker remembers; beyond that it starts afresh.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def _varint(n: int) -> bytes:
