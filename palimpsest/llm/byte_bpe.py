@@ -85,7 +85,7 @@ class Codec:
         if len(cache) + len(seen) > CACHE:
             cache.clear()
         hard = []
-        for t in seen.difference(cache.keys()):
+        for t in [t for t in seen if t not in cache]:
             raw = t.encode()
             if (r := self.ranks.get(raw)) is not None:
                 cache[t] = r.to_bytes(4, "little")

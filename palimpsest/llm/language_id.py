@@ -26,7 +26,7 @@ GRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
 DIM = 16
 #: Rows to learn from, at most.
-MOST = 3000
+MOST = 2000
 #: Share of right answers that rejection may cost.
 REJECT = 0.01
 #: Characters handled at once.
@@ -120,7 +120,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 12, rate: float = 20.0, seed: int = 7) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 6, rate: float = 20.0, seed: int = 7) -> Model:
     """Stochastic gradient descent on single rows in a shuffled order; each tenth row is left out, to calibrate on."""
     names = sorted(set(langs))
     if not names:

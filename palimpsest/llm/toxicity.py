@@ -31,6 +31,8 @@ STEMS = (4, 5, 6)
 FOLDS = 4
 #: Rows of each label to learn from, at most.
 MOST = 4000
+#: A word or stem counts if it is in so large a share of the toxic texts, and so many times as often as in clean ones.
+LEAST, LIFT = 0.005, 8
 #: Words a worker remembers; beyond that it starts afresh.
 CACHE = 300_000
 
@@ -62,7 +64,7 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, width: int, rounds: int = 60, rate: float = 0.5, l2: float = 1e-5) -> Link:
+def _fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, width: int, rounds: int = 150, rate: float = 0.5, l2: float = 1e-5) -> Link:
     """Logistic regression by full-batch AdaGrad on compact columns; both labels weigh the same."""
     at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     starts = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -96,12 +98,13 @@ class Model:
     bias: list[float]
     threshold: float = 0.5
 
-    def word(self, w: str) -> tuple[float, ...] | None:
+    def word(self, w: str) -> np.ndarray | None:
         """What a word adds to each link; None if nothing."""
-        f = np.array(_features(w))
-        k = np.searchsorted(self.at, f)
-        hit = k[(k < len(self.at)) & (self.at[np.minimum(k, len(self.at) - 1)] == f)] if len(self.at) else k[:0]
-        return tuple(self.weights[hit].sum(0)) if len(hit) else None
+        hit = [k for k in map(self.rows.get, _features(w)) if k is not None]
+        return self.weights[hit].sum(0) if hit else None
+
+    def __post_init__(self):
+        self.rows = {int(b): k for k, b in enumerate(self.at)}
 
     def chain(self, sums) -> list[float]:
         out: list[float] = []
@@ -111,40 +114,49 @@ class Model:
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Model:
-    """Links in order, each on words and stems that two rows have at least. Rows go to folds by their place."""
+    """Links in order, each on telling words and stems, which a fold chooses by its own rows too. Rows go to folds by their place."""
     n = len(bags)
     own_toxic, own_clean = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     for (own, _), y in zip(bags, toxic, strict=True):
         (own_toxic if y else own_clean)[own] += 1
     telling = (own_clean == 0) & (own_toxic >= max(3, 0.01 * toxic.sum()))
     opened = np.array([bool(y) and bool(telling[own].any()) for (own, _), y in zip(bags, toxic, strict=True)], int)
-    df = np.zeros(BUCKETS, np.int32)
-    for _, f in bags:
-        df[np.unique(f)] += 1
-    # a bucket that toxic texts don't hold more often than clean ones says nothing for toxicity, and would only fit noise
-    seen = np.zeros((2, BUCKETS))
-    for (_, f), y in zip(bags, toxic, strict=True):
-        seen[int(y), np.unique(f)] += 1
-    share = seen / np.maximum(1, np.array([[(toxic == 0).sum()], [(toxic == 1).sum()]]))
-    keep = np.flatnonzero((df >= 2) & (share[1] > 3 * share[0]))
-    place = np.full(BUCKETS, -1)
-    place[keep] = np.arange(len(keep))
-    rows = [p[p >= 0] for p in (place[f] for _, f in bags)]
-    targets = [opened, np.asarray(toxic, int) * (1 - opened), np.asarray(toxic, int)]
+    once = [np.unique(f) for _, f in bags]
+    every = [f for _, f in bags]
+    y = np.asarray(toxic, int)
+    targets = [opened, y * (1 - opened), y]
     fold = np.arange(n) % FOLDS
-    links, before = [], np.zeros((n, 0))
-    for y in targets:
+    parts = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(FOLDS)]
+    kept = [_telling(once, y, tr) for tr, _ in parts]
+    links, before, keep = [], np.zeros((n, 0)), _telling(once, y, np.arange(n))
+    for target in targets:
         oof = np.zeros(n)
-        for k in range(FOLDS):
-            tr, te = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            oof[te] = _score([rows[i] for i in te], before[te], _fit([rows[i] for i in tr], before[tr], y[tr], len(keep)))
-        links.append(_fit(rows, before, y, len(keep)))
+        for (tr, te), own in zip(parts, kept, strict=True):
+            rows = _placed(every, own)
+            oof[te] = _score([rows[i] for i in te], before[te], _fit([rows[i] for i in tr], before[tr], target[tr], len(own)))
+        links.append(_fit(_placed(every, keep), before, target, len(keep)))
         before = np.column_stack([before, oof])
-    oof, y = before[:, -1], np.asarray(toxic, int)
+    oof = before[:, -1]
     best = max(np.linspace(0.05, 0.95, 91), key=lambda t: (_f1(oof >= t, y), -abs(t - 0.5))) if n else 0.5
     return Model(keep, np.stack([x.weights for x in links], 1).astype(np.float32), [x.before for x in links], [x.bias for x in links], float(best))
 
 
+def _telling(once: list[np.ndarray], y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Buckets that speak for toxicity, by the rows at ``at``: in enough toxic texts, and LIFT times as often as in clean ones."""
+    seen = np.zeros((2, BUCKETS))
+    for i in at:
+        seen[y[i], once[i]] += 1
+    n = np.array([(y[at] == 0).sum(), (y[at] == 1).sum()])
+    share = (seen + 0.5) / (n[:, None] + 1)
+    return np.flatnonzero((seen[1] >= max(3, LEAST * n[1])) & (share[1] > LIFT * share[0]))
+
+
+def _placed(rows: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
+    place = np.full(BUCKETS, -1)
+    place[keep] = np.arange(len(keep))
+    return [p[p >= 0] for p in (place[f] for f in rows)]
+
+
 def _f1(said: np.ndarray, y: np.ndarray) -> float:
     return 2 * (said & (y == 1)).sum() / max(1, said.sum() + y.sum())
 
@@ -182,15 +194,16 @@ class _Score:
                 out = []
                 for t in part.column(1).to_pylist():
                     words = set(_words((t or "").lower()))
-                    new = words.difference(cache.keys())
+                    new = [w for w in words if w not in cache]
                     if len(cache) + len(new) > CACHE:
                         cache.clear()
                         new = words
                     for w in new:
                         cache[w] = m.word(w)
                     sums = np.zeros(len(m.bias))
-                    for x in filter(None, map(cache.__getitem__, words)):
-                        sums += x
+                    for w in words:
+                        if (x := cache[w]) is not None:
+                            sums += x
                     out.append(m.chain(sums))
                 cols = [pa.array([x[k] for x in out], pa.float64()) for k in range(len(CATEGORIES))]
                 said = pa.array([int(x[-1] >= m.threshold) for x in out], pa.int32())
