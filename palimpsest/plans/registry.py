@@ -1,0 +1,6 @@
+"""All registered queries of the engine's own operators and their DuckDB forms."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
