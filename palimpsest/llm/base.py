@@ -19,6 +19,9 @@ HOT_KEYS = 256
 #: Keys with fewer rows than this fit in any task and are never hot.
 HOT_ROWS = 2000
 
+#: Rows of two longs that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,3 +83,72 @@ def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str) -
     on = list(keys)
     hot = F.broadcast(groups.where(F.col(size) >= HOT_ROWS).orderBy(F.desc(size), *on).limit(HOT_KEYS))
     return rows.join(hot, on, "inner").unionByName(rows.join(hot.select(*on), on, "left_anti").join(groups, on, "left"))
+
+
+def by_id(text: str = "text"):
+    """With doc_id, what tells one row of a table of documents from another; rows alike in both are copies."""
+    return F.xxhash64(F.col(text))
+
+
+def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay. ``decided`` has a row for each of them: doc_id, mark (by_id of its text), kept.
+    Of rows alike in doc_id and text of which one stays, one does. The rows to drop are broadcast up to BROADCAST_ROWS;
+    beyond that both sides meet in a shuffle."""
+    key = ["doc_id", "mark"]
+    keys = save(decided.groupBy(*key).agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("n")).where("stay < n"), "decided")
+    few = keys.count() <= BROADCAST_ROWS
+    named = keys.select(F.col("doc_id").alias("k_doc_id"), F.col("mark").alias("k_mark"), "stay")
+    met = lambda side: docs["doc_id"].eqNullSafe(side["k_doc_id"]) & (by_id() == side["k_mark"])
+    side = F.broadcast(named) if few else named
+    rest = docs.join(side, met(named), "left_anti")
+    if not keys.where("stay > 0").head(1):
+        return rest
+    twice = named.where("stay > 0")
+    again = docs.join(F.broadcast(twice) if few else twice, met(twice), "left_semi")
+    return rest.unionByName(again.withColumn("__mark", by_id()).dropDuplicates(["doc_id", "__mark"]).select(*docs.columns))
+
+
+def runs(batches: Iterator, column: int = 0) -> Iterator:
+    """Of rows sorted by a column, each run of one value as an Arrow table, across batches. A run is held whole, so its size must be bounded."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        key = t.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield t.slice(lo, hi - lo)
+        held = t.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of each node of an undirected graph of longs (a, b), root being the least node of its component.
+
+    Alternates the large-star and small-star steps until nothing changes; after each, what is left is written, so
+    lineage stays short. A node with many edges gets its least neighbour through attach(), never in one task."""
+
+    def least(e: DataFrame) -> DataFrame:
+        near = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+        return attach(e, near, ["u"], "d").withColumn("m", F.least("u", "m"))
+
+    def both(e: DataFrame) -> DataFrame:
+        return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while True:
+        large = least(both(now)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = least(large)
+        small = down.select("u", F.col("m").alias("v")).union(down.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        new = save(small, "edges")
+        same = new.count() == now.count() and not new.join(now, ["u", "v"], "left_anti").head(1)
+        drop(now)
+        now = new
+        if same:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -51,7 +51,7 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dedup(docs: DataFrame, block: int = 4096) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_code_points.
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, mark (base.by_id of the text).
 
     Texts are equal when they are identical without BLANK. Of equal ones the row with the most code
     points stays, then the smallest doc_id (null last); of rows alike in that too, any one. A null
@@ -60,11 +60,11 @@ def dedup(docs: DataFrame, block: int = 4096) -> DataFrame:
     norm = normalised(F.col("text"))
     parts = F.when(F.length("norm") <= block, F.array("norm")).otherwise(F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
     rows = (
-        docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_code"), norm.alias("norm"), F.monotonically_increasing_id().alias("rid"))
-        .select("doc_id", "n_code", "rid", F.sha2("norm", 256).alias("text_sha256"), parts.alias("parts"))
+        docs.select("doc_id", base.by_id().alias("mark"), F.coalesce(F.length("text"), F.lit(0)).alias("n_code"), norm.alias("norm"), F.monotonically_increasing_id().alias("rid"))
+        .select("doc_id", "mark", "n_code", "rid", F.sha2("norm", 256).alias("text_sha256"), parts.alias("parts"))
         .select("*", F.size("parts").alias("n_blocks"))
-        .select("rid", "n_blocks", "n_code", "doc_id", "text_sha256", F.posexplode("parts").alias("pos", "block"))
-        .withColumns({c: F.when(F.col("pos") == 0, F.col(c)) for c in ("doc_id", "text_sha256", "n_code")})
+        .select("rid", "n_blocks", "n_code", "doc_id", "mark", "text_sha256", F.posexplode("parts").alias("pos", "block"))
+        .withColumns({c: F.when(F.col("pos") == 0, F.col(c)) for c in ("doc_id", "mark", "text_sha256", "n_code")})
     )
     first = base.save(_named(rows, ["block"]), "blocks")
     heads = first.where("pos = 0")
@@ -89,25 +89,17 @@ def dedup(docs: DataFrame, block: int = 4096) -> DataFrame:
     groups = heads.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best"))
     out = base.attach(heads, groups, ["n_blocks", "name"], "group_size")
     return out.select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256", F.col("n_code").alias("n_code_points")
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256", "mark"
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns they came with."""
-    key = ["doc_id", "text_sha256", "n_code_points"]
-    stay = dedup(docs).groupBy(*key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("kept")
-    names = {c: f"k_{c}" for c in (*key, "kept", "rows")}
-    stay = stay.select(*(F.col(c).alias(k) for c, k in names.items()))
-    mine = F.sha2(normalised(docs["text"]), 256)
-    met = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("k_doc_id")) & (mine == F.col("k_text_sha256")) & (F.coalesce(F.length(docs["text"]), F.lit(0)) == F.col("k_n_code_points")))
-    once = met.where("k_rows = 1")
-    more = met.where("k_rows > 1").dropDuplicates(["k_doc_id", "k_text_sha256", "k_n_code_points"])
-    return once.unionByName(more).select(*docs.columns)
+    return base.without(docs, dedup(docs))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(base.table(spark, sf_dir, "documents")).drop("n_code_points")
+    return dedup(base.table(spark, sf_dir, "documents")).drop("mark")
 
 
 OP9_SQL = r"""
