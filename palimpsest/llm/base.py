@@ -105,7 +105,8 @@ def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
         return rest
     twice = named.where("stay > 0")
     again = docs.join(F.broadcast(twice) if few else twice, met(twice), "left_semi")
-    return rest.unionByName(again.withColumn("__mark", by_id()).dropDuplicates(["doc_id", "__mark"]).select(*docs.columns))
+    mark = max(docs.columns, key=len) + "_"  # a name that no column has
+    return rest.unionByName(again.withColumn(mark, by_id()).dropDuplicates(["doc_id", mark]).select(*docs.columns))
 
 
 def runs(batches: Iterator, column: int = 0) -> Iterator:

@@ -218,6 +218,7 @@ def join(docs: DataFrame) -> DataFrame:
     of each class. A null or wordless text is a class of its own. Rows that repeat a doc_id count like others; a null
     doc_id is never the least unless all are null. An empty table gives an empty result.
     """
+    docs = docs.select("doc_id", "text")
     signed = docs.select("doc_id", base.by_id().alias("mark"), "text").mapInArrow(_signed, "doc_id long, mark long, digest binary, sig binary")
     signed = base.save(signed.withColumn("rid", F.monotonically_increasing_id()), "signed")
     least = F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import byte_bpe, decontaminate, exact_dedup, language_id, quality, toxicity
+from palimpsest.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, fixity, language_id, pii, quality, suffix_dedup, toxicity
 
-_MODULES = (toxicity, quality, language_id, decontaminate, exact_dedup, byte_bpe)
+_MODULES = (toxicity, quality, language_id, pii, decontaminate, suffix_dedup, fixity, chosen_path, exact_dedup, byte_bpe)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
