@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, on small and odd tables."""
 
+import functools
 import hashlib
 import random
 import struct
@@ -24,6 +25,7 @@ def prose(n, r=R):
     return " ".join(r.choice(VOCAB) for _ in range(n))
 
 
+@functools.lru_cache
 def odd_texts():
     passage, long = prose(60), prose(9000)
     near = prose(80).split()
