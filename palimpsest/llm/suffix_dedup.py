@@ -12,8 +12,8 @@ shares SPAN bytes. Found spans go back to all regions that the one stood for.
 
 At scale: a text is cut into anchors where it is read, one for about 70 bytes, and an anchor
 travels as a few integers. Only the regions that differ under one anchor travel as bytes. An anchor
-with more than CROWD different regions (a passage in very many texts) isn't put into one shard:
-its strings are counted one by one, by 128-bit digests, in a plain aggregation.
+with more than CROWD different regions (a passage in very many texts) takes several shards; a string
+that doesn't repeat within its shard is then also counted over them, by a 128-bit digest.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from palimpsest.llm import base
 SPAN = 200
 GRAM = 64
 #: Different regions of an anchor that go to a shard at most.
-CROWD = 64
+CROWD = 256
 #: Anchors are dealt to so many shards for each region, so that a shard has about 200 regions.
 SHARD_REGIONS = 200
 #: Starts handled at once in a long text.
@@ -228,8 +228,8 @@ def _cut(batches: Iterator) -> Iterator:
             rows = []
             for r in part.to_pylist():
                 raw = (r["text"] or "").encode()
-                rows += [(x["h"], x["d"], x["crowd"], raw[x["lo"] : x["hi"] + SPAN]) for x in r["asked"]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["h", "d", "crowd", "bytes"])
+                rows += [(x["h"], x["d"], x["crowd"], x["blocks"], raw[x["lo"] : x["hi"] + SPAN]) for x in r["asked"]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], ["h", "d", "crowd", "blocks", "bytes"])
 
 
 def _runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -238,28 +238,29 @@ def _runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sorted_shards(batches: Iterator) -> Iterator:
-    """Runs of repeated starts in each region of a shard."""
+    """Runs a to b of repeated starts in each region of a shard. Of an anchor in several shards also its strings by digest:
+    with weight 1 those that don't repeat within the shard, at their start a, and with weight 2 one of each that does."""
     import pyarrow as pa
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
     for t in base.runs(batches):
-        h, d, own = (t.column(c).to_pylist() for c in ("h", "d", "bytes"))
+        h, d, own, crowd = (t.column(c).to_pylist() for c in ("h", "d", "bytes", "crowd"))
         cuts = [0, *(k for k in range(1, len(h)) if h[k] != h[k - 1]), len(h)]
-        asked = [lo + k for lo, hi in zip(cuts, cuts[1:], strict=False) for k, yes in enumerate(may_repeat(own[lo:hi])) if yes]
+        asked = [lo + k for lo, hi in zip(cuts, cuts[1:], strict=False) for k, yes in enumerate([True] * (hi - lo) if crowd[lo] else may_repeat(own[lo:hi])) if yes]
         found = repeats([own[k] for k in asked]) if asked else []
-        rows = [(h[k], d[k], a, b) for k, flags in zip(asked, found, strict=True) for a, b in _runs_of(flags)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(4)], ["h", "d", "a", "b"])
-
-
-def _strings(batches: Iterator) -> Iterator:
-    """Each SPAN-byte string of a region by its digest."""
-    import pyarrow as pa
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            raw = r["bytes"]
-            n = len(raw) - SPAN + 1
-            key = [hashlib.blake2b(raw[i : i + SPAN], digest_size=16).digest() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([r["h"]] * n, pa.int64()), pa.array([r["d"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(key, pa.binary())], ["h", "d", "a", "s"])
+        rows: list[tuple] = []
+        twice: set[bytes] = set()
+        for k, flags in zip(asked, found, strict=True):
+            rows += [(h[k], d[k], a, b, None, 0) for a, b in _runs_of(flags)]
+            if crowd[k]:
+                for a, yes in enumerate(flags.tolist()):
+                    name = hashlib.blake2b(own[k][a : a + SPAN], digest_size=16).digest()
+                    if not yes:
+                        rows.append((h[k], d[k], a, a, name, 1))
+                    elif name not in twice:
+                        twice.add(name)
+                        rows.append((h[k], d[k], a, a, name, 2))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], ["h", "d", "a", "b", "s", "weight"])
 
 
 def _removed(batches: Iterator) -> Iterator:
@@ -298,20 +299,22 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     differ = kinds.where("kinds > 1")
     n = differ.where(F.col("kinds") <= CROWD).count()
     asked = differ.groupBy(F.col("one.doc_id").alias("k_id"), F.col("one.mark").alias("k_mark")).agg(
-        F.collect_list(F.struct("h", "d", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), (F.col("kinds") > CROWD).alias("crowd"))).alias("asked")
+        F.collect_list(F.struct("h", "d", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), (F.col("kinds") > CROWD).alias("crowd"), F.ceil(F.col("kinds") / CROWD).alias("blocks"))).alias("asked")
     )
     keys = base.save(asked, "asked")
     met_text = docs["doc_id"].eqNullSafe(F.col("k_id")) & (base.by_id() == F.col("k_mark"))
     few = keys.count() <= base.BROADCAST_ROWS
     ids = keys.select("k_id", "k_mark")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, met_text, "left_semi").withColumn("mark", base.by_id()).dropDuplicates(["doc_id", "mark"])
-    cut = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark"))).select("text", "asked").mapInArrow(_cut, "h long, d long, crowd boolean, bytes binary")
+    cut = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark"))).select("text", "asked").mapInArrow(_cut, "h long, d long, crowd boolean, blocks long, bytes binary")
     cut = base.save(cut, "regions")
-    shards = cut.where("not crowd").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(max(1, n // SHARD_REGIONS)))).select("shard", "h", "d", "bytes")
-    by_sort = shards.repartition("shard").sortWithinPartitions("shard", "h", "d").mapInArrow(_sorted_shards, "h long, d long, a long, b long")
-    strings = cut.where("crowd").select("h", "d", "bytes").mapInArrow(_strings, "h long, d long, a long, s binary")
-    times = strings.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    by_count = base.attach(strings, times, ["s"], "n").where("n > 1").select("h", "d", "a", F.col("a").alias("b"))
+    plain = F.pmod(F.xxhash64("h"), F.lit(max(1, n // SHARD_REGIONS)))
+    shards = cut.withColumn("shard", F.when(F.col("crowd"), F.xxhash64("h", F.pmod(F.xxhash64("d"), F.col("blocks")))).otherwise(plain)).select("shard", "h", "d", "bytes", "crowd")
+    done = shards.repartition("shard").sortWithinPartitions("shard", "h", "d").mapInArrow(_sorted_shards, "h long, d long, a long, b long, s binary, weight int")
+    done = base.save(done, "sorted")
+    by_sort = done.where("s is null").select("h", "d", "a", "b")
+    times = done.where("s is not null").groupBy("s").agg(F.sum("weight").alias("n")).where("n > 1")
+    by_count = base.attach(done.where("weight = 1").select("s", "h", "d", "a", "b"), times, ["s"], "n").where("n > 1").select("h", "d", "a", "b")
     once = kinds.where("times = 1").select("h", "d", "times")
     part = by_sort.unionByName(by_count).join(once, ["h", "d"])
     spans = base.save(whole.unionByName(part.select("h", "d", "a", "b", "times")), "spans")

@@ -110,7 +110,7 @@ def brute_repeats(texts, n=suffix_dedup.SPAN):
         yield len(r), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 1])
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 2])
 def test_suffix_dedup(docs, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rows = pairs_of(docs)
