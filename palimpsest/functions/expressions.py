@@ -87,7 +87,7 @@ def noon(at: Column, precision: Column) -> Column:
 
 
 def bucket(conf: Column) -> Column:
-    return F.least(F.lit(9), F.greatest(F.lit(0), F.floor(conf * 10).cast("int")))
+    return F.when(conf.isNotNull(), F.least(F.lit(9), F.greatest(F.lit(0), F.floor(conf * 10).cast("int"))))  # greatest would skip a null
 
 
 def conf_stats(conf: Column) -> Column:
@@ -162,19 +162,19 @@ def row_count(text: Column, header: Column) -> Column:
 def page_range(spec: Column, total: Column) -> Column:
     """``1-5,8`` as sorted distinct page numbers within 1 to total; blank means all."""
     piece = lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.get(F.split(p, "-"), F.size(F.split(p, "-")) - 1).cast("int"))
-    given = F.flatten(F.transform(F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p.rlike(r"^\d+(-\d+)?$")), piece))
+    given = F.flatten(F.transform(F.filter(F.transform(F.split(spec, ","), lambda v: F.trim(v)), lambda p: p.rlike(r"^\d+(-\d+)?$")), piece))
     whole = F.when(total >= 1, F.sequence(F.lit(1), F.greatest(total, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.when(F.trim(spec) == "", whole).otherwise(F.array_sort(F.array_distinct(F.filter(given, lambda n: (n >= 1) & (n <= total)))))
 
 
 def csv_list(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(value, ","), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def csv_tags(value: Column) -> Column:
     """Trimmed, one of each spelling that differs in case alone (the first), in order of the lower-cased text, joined by comma and space."""
     tags = csv_list(value)
-    low = F.transform(tags, F.lower)
+    low = F.transform(tags, lambda v: F.lower(v))
     first = F.filter(tags, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
     return F.array_join(F.array_sort(first, lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(0)), ", ")
 

@@ -42,7 +42,7 @@ def hit(points: DataFrame, regions: DataFrame) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     shaped = regions.withColumns({"box": box, "area": E.ring_area(F.col("ring"))})
     met = points.join(shaped, "page").where((x >= F.col("box.x0")) & (x <= F.col("box.x1")) & (y >= F.col("box.y0")) & (y <= F.col("box.y1")) & E.point_in_ring(F.col("ring"), x, y))
-    return met.groupBy("page", "point").agg(F.min_by("nid", F.struct("area", "nid")).alias("nid"))
+    return met.groupBy("page", "point").agg(F.min_by("nid", F.struct(F.round("area", 12), "nid")).alias("nid"))
 
 
 def search(docs: DataFrame, query: str, most: int = 20) -> DataFrame:

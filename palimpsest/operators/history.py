@@ -24,7 +24,7 @@ class Scope:
         self.owner, self.admin = owner, admin
 
     def all(self, df: DataFrame) -> DataFrame:
-        return df if self.admin else df.where(F.col("owner_id") == F.nullif(F.lit(self.owner), F.lit("").cast(df.schema["owner_id"].dataType)))
+        return df if self.admin else df.where(F.col("owner_id") == F.lit(None if self.owner == "" else self.owner))
 
     def alive(self, df: DataFrame) -> DataFrame:
         return self.all(df).where(~F.col("deleted"))

@@ -1,6 +1,516 @@
-"""All registered queries of the engine's own operators and their DuckDB forms."""
+"""The registered queries of the engine's own operators, on the test tables' analogues, and their DuckDB forms.
+
+``events`` is read as a version log: an object for each user, ``error`` events being deletions, an hour of a user as the
+context of its changes (none where event_id ends in 0). Other analogues are named at their query.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.functions import expressions as E
+from palimpsest.operators import documents as D
+from palimpsest.operators import history as H
+from palimpsest.operators import lineage as L
+from palimpsest.operators import projections as P
+from palimpsest.sources import readers as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    ctx = F.when(F.col("event_id") % 10 != 0, F.concat_ws("-", F.col("user_id"), F.date_format(F.date_trunc("hour", "ts"), "yyyyMMddHH")))
+    return H.numbered(
+        e.select(F.col("user_id").alias("obj_id"), (F.col("user_id") % 3).alias("owner_id"), seq.alias("seq"), F.col("event_id"), "ts", "event_type", F.col("value").cast("decimal(18,4)").alias("value"), (F.col("event_type") == "error").alias("deleted"), ctx.alias("context_id"))
+    )
+
+
+LOG = """WITH log AS (
+  SELECT user_id AS obj_id, user_id % 3 AS owner_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, event_id, ts, event_type,
+         CAST(value AS DECIMAL(18,4)) AS value, event_type = 'error' AS deleted,
+         CASE WHEN event_id % 10 <> 0 THEN concat(user_id, '-', strftime(date_trunc('hour', ts), '%Y%m%d%H')) END AS context_id
+  FROM events)
+"""
+LAST = LOG + ", last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY version DESC) = 1) "
+
+
+@query(LAST + "SELECT obj_id, version, event_type FROM last WHERE owner_id = 1 AND NOT deleted")
+def S1_active_scan(spark, d):
+    return H.Scope(1).alive(H.latest(log(spark, d))).select("obj_id", "version", "event_type")
+
+
+@query(LAST + "SELECT obj_id, version, deleted FROM last WHERE owner_id = 2")
+def S2_tenant_scan(spark, d):
+    return H.Scope(2).all(H.latest(log(spark, d))).select("obj_id", "version", "deleted")
+
+
+@query(LAST + "SELECT owner_id, count(*) FILTER (WHERE NOT deleted) AS alive, count(*) FILTER (WHERE deleted) AS gone FROM last GROUP BY 1")
+def S4_alive_deleted(spark, d):
+    return H.latest(log(spark, d)).groupBy("owner_id").agg(F.count_if(~F.col("deleted")).alias("alive"), F.count_if(F.col("deleted")).alias("gone"))
+
+
+@query(LOG + "SELECT obj_id, version, event_id FROM log WHERE obj_id = 7")
+def S5_history_of_one(spark, d):
+    return log(spark, d).where("obj_id = 7").orderBy(F.desc("version")).select("obj_id", "version", "event_id")
+
+
+@query(LOG + "SELECT obj_id, version, event_id FROM log")
+def W1_version_numbers(spark, d):
+    return log(spark, d).select("obj_id", "version", "event_id")
+
+
+@query(LAST + "SELECT obj_id, version, event_id FROM last")
+def W2_latest_version(spark, d):
+    return H.latest(log(spark, d)).select("obj_id", "version", "event_id")
+
+
+@query(LOG + "SELECT obj_id, version, event_type FROM log WHERE version IN (4, 5)")
+def W4_as_of_version(spark, d):
+    return H.as_of(log(spark, d), 5).select("obj_id", "version", "event_type")
+
+
+@query(LOG + "SELECT obj_id, version, version = max(version) OVER (PARTITION BY obj_id) AS is_current FROM log")
+def W5_is_current(spark, d):
+    return H.with_current(log(spark, d)).select("obj_id", "version", "is_current")
+
+
+def _diffed(spark, d):
+    rows = H.diff(log(spark, d), ["event_type", "value", "deleted"])
+    show = F.array_join(F.transform("changes", lambda c: F.concat(c["field"], F.lit(":"), F.coalesce(c["old"], F.lit("~")), F.lit(">"), F.coalesce(c["new"], F.lit("~")))), "|")
+    return rows.withColumn("changed", show)
+
+
+DIFF = LOG + """, p AS (SELECT *, lag(version) OVER w AS pv, lag(event_type) OVER w AS pe, lag(value) OVER w AS pval, lag(deleted) OVER w AS pd FROM log WINDOW w AS (PARTITION BY obj_id ORDER BY version)),
+c AS (SELECT *, CASE WHEN CASE WHEN pv IS NULL THEN deleted ELSE deleted IS DISTINCT FROM pd END THEN concat('deleted:', coalesce(CAST(pd AS VARCHAR), '~'), '>', CAST(deleted AS VARCHAR)) END AS c1,
+  CASE WHEN CASE WHEN pv IS NULL THEN event_type IS NOT NULL AND event_type <> '' ELSE event_type IS DISTINCT FROM pe END THEN concat('event_type:', coalesce(pe, '~'), '>', coalesce(event_type, '~')) END AS c2,
+  CASE WHEN CASE WHEN pv IS NULL THEN value IS NOT NULL AND value <> 0 ELSE value IS DISTINCT FROM pval END THEN concat('value:', coalesce(CAST(pval AS VARCHAR), '~'), '>', coalesce(CAST(value AS VARCHAR), '~')) END AS c3 FROM p) """
+
+
+@query(DIFF + "SELECT obj_id, version, concat_ws('|', c1, c2, c3) AS changed FROM c")
+def D1_revision_diff(spark, d):
+    return _diffed(spark, d).select("obj_id", "version", "changed")
+
+
+@query(DIFF + "SELECT coalesce(context_id, 'orphan:' || event_id) AS run, max(ts) AS at, count(*) AS n, string_agg(event_id, ',' ORDER BY event_id) AS members FROM c GROUP BY 1")
+def A13_runs_by_context(spark, d):
+    got = H.runs(log(spark, d).withColumnRenamed("ts", "at"))
+    return got.withColumn("members", F.array_join(F.transform("members", lambda m: m["event_id"].cast("string")), ","))
+
+
+@query(LOG + ", m AS (SELECT obj_id, max(version) AS v FROM log GROUP BY 1) SELECT obj_id, v + 1 AS version, event_type, FALSE AS deleted FROM log JOIN m USING (obj_id) WHERE version = 3")
+def K6_restore(spark, d):
+    whole = H.restore(log(spark, d), 3)
+    return H.latest(whole).join(log(spark, d).where("version = 3").select("obj_id"), "obj_id", "left_semi").select("obj_id", "version", "event_type", "deleted")
+
+
+@query(LAST + "SELECT obj_id, version + 1 AS version FROM last WHERE NOT deleted AND event_type = 'click'")
+def K4_soft_delete(spark, d):
+    before = log(spark, d)
+    return H.soft_delete(before, F.col("event_type") == "click").join(before.select("obj_id", "version"), ["obj_id", "version"], "left_anti").select("obj_id", "version")
+
+
+@query(LOG + "SELECT obj_id, count(*) AS n FROM log WHERE obj_id % 4 <> 0 GROUP BY 1")
+def K5_hard_delete(spark, d):
+    rows = log(spark, d)
+    return H.hard_delete(rows, rows.where("obj_id % 4 = 0").select("obj_id").distinct()).groupBy("obj_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, CASE WHEN event_type = 'click' THEN 'value' WHEN event_type = 'view' THEN '' ELSE 'event_type,value' END AS untracked, count(*) AS n FROM events GROUP BY 1, 2")
+def V4_untracked_fields(spark, d):
+    schemas = spark.createDataFrame([("click", ["event_type"]), ("view", ["event_type", "value"])], "schema_tag string, fields array<string>")
+    rows = H.untracked(t(spark, d, "events").withColumn("schema_tag", F.col("event_type")), schemas, ["event_type", "value"])
+    return rows.groupBy("event_type", F.array_join("untracked", ",").alias("untracked")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(LOG + "SELECT obj_id, version FROM log WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05'")
+def F9_date_range(spark, d):
+    return log(spark, d).where((F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz")) & (F.col("ts") < F.date_add(F.lit("2024-01-04").cast("date"), 1).cast("timestamp_ntz"))).select("obj_id", "version")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")
+def O3_page_numbers(spark, d):
+    return P.page(t(spark, d, "events").select("event_id", "ts"), [F.desc("ts"), F.desc("event_id")], 3)
+
+
+@query("SELECT event_id, ts FROM events WHERE (ts, event_id) < (SELECT (ts, event_id) FROM (SELECT ts, event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1 OFFSET 99)) ORDER BY ts DESC, event_id DESC LIMIT 26")
+def O5_keyset_cursor(spark, d):
+    rows = t(spark, d, "events").select("event_id", "ts")
+    c = P.page(rows, [F.desc("ts"), F.desc("event_id")], 100, 1).first()
+    return P.after(rows, "ts", "event_id", (F.lit(c.ts).cast("timestamp_ntz"), F.lit(c.event_id)), 25)
+
+
+@query("SELECT date_trunc('month', ts)::DATE AS month, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS technical, count(*) FILTER (WHERE event_type <> 'error') AS real_world FROM events GROUP BY 1")
+def A22_histogram(spark, d):
+    e, technical = t(spark, d, "events"), F.col("event_type") == "error"
+    return e.groupBy(F.date_trunc("month", "ts").cast("date").alias("month")).agg(F.count(F.lit(1)).alias("total"), F.count_if(technical).alias("technical"), F.count_if(~technical).alias("real_world"))
+
+
+@query("SELECT event_type, max(ts) AS at, max_by(user_id, (ts, event_id)) AS user_id FROM events GROUP BY 1")
+def A3_newest_of_each(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(F.max("ts").alias("at"), F.max_by("user_id", F.struct("ts", "event_id")).alias("user_id")).orderBy(F.desc("at")).limit(20)
+
+
+@query("SELECT user_id, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn > 5")
+def O12_retention(spark, d):
+    return P.retain(t(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 5).select("user_id", "ts", "event_id")
+
+
+# --- lineage: an order is a version of its customer, a nation derives from its region and a supplier from its nation
+
+
+VERSIONS = "WITH v AS (SELECT o_custkey AS obj_id, o_orderkey, o_orderdate, row_number() OVER w AS version, lead(o_orderdate) OVER w AS to_at FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) "
+
+
+def _versions(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t(spark, d, "orders").select(F.col("o_custkey").alias("obj_id"), F.row_number().over(w).alias("version"), F.col("o_orderdate").alias("from_at"), F.lead("o_orderdate").over(w).alias("to_at"))
+
+
+def _edges(spark, d):
+    o = t(spark, d, "orders").where("o_orderkey % 50 = 0")
+    return o.select(F.col("o_orderkey").alias("target_id"), F.col("o_custkey").alias("source_id"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("at"))
+
+
+EDGES = VERSIONS + ", e AS (SELECT o_orderkey AS target_id, o_custkey AS source_id, o_orderdate + INTERVAL 1 DAY AS made FROM orders WHERE o_orderkey % 50 = 0), pinned AS (SELECT target_id, source_id, version AS source_version FROM e JOIN v ON v.obj_id = e.source_id AND made >= o_orderdate AND (to_at IS NULL OR made < to_at)) "
+
+
+@query(EDGES + "SELECT * FROM pinned")
+def L1_pinned_edges(spark, d):
+    return L.pinned(_edges(spark, d), _versions(spark, d)).select("target_id", "source_id", "source_version")
+
+
+@query(EDGES + ", m AS (SELECT obj_id, max(version) AS latest FROM v GROUP BY 1) SELECT target_id, source_id, source_version, latest, source_version < latest AS is_stale FROM pinned JOIN m ON obj_id = source_id")
+def L9_stale_derivations(spark, d):
+    v = _versions(spark, d)
+    return L.stale(L.pinned(_edges(spark, d), v), v).select("target_id", "source_id", "source_version", "latest", "is_stale")
+
+
+@query(EDGES + "SELECT source_id, count(*) AS derived, count(DISTINCT source_version) AS versions FROM pinned GROUP BY 1")
+def L7_derived_from(spark, d):
+    return L.pinned(_edges(spark, d), _versions(spark, d)).groupBy("source_id").agg(F.count(F.lit(1)).alias("derived"), F.count_distinct("source_version").alias("versions"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'R' || n_regionkey AS s, 'N' || n_nationkey AS t FROM nation UNION SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier),
+w(node, generation, came, step) AS (SELECT 'N0', 0, '', 0 UNION ALL
+  SELECT x.node, x.g, w.node, w.step + 1 FROM w JOIN (SELECT s AS f, t AS node, 1 AS dg FROM e UNION ALL SELECT t, s, -1 FROM e) AS y ON y.f = w.node, LATERAL (SELECT y.node, w.generation + y.dg AS g) AS x WHERE w.step < 2 AND y.node <> w.came)
+SELECT node, generation FROM w""")
+def L11_graph(spark, d):
+    n = t(spark, d, "nation").select(F.concat(F.lit("R"), "n_regionkey").alias("source_id"), F.concat(F.lit("N"), "n_nationkey").alias("target_id"))
+    s = t(spark, d, "supplier").select(F.concat(F.lit("N"), "s_nationkey").alias("source_id"), F.concat(F.lit("S"), "s_suppkey").alias("target_id"))
+    e = n.unionByName(s).select("*", F.lit(0).alias("created"), F.lit(0).alias("edge_id"), F.lit(1).alias("source_version"))
+    return L.graph(e, "N0", 2)
+
+
+# --- joins and aggregates on the listing pages
+
+
+@query("SELECT c_custkey, status FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def J3_latest_status(spark, d):
+    last = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
+    return t(spark, d, "customer").select("c_custkey").join(last, "c_custkey", "left")
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def J4_count_or_zero(spark, d):
+    n = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return t(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O' AND o_totalprice > 200000)")
+def J5_semi_join(spark, d):
+    big = t(spark, d, "orders").where("o_orderstatus = 'O' AND o_totalprice > 200000")
+    return t(spark, d, "customer").select("c_custkey").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL) AND p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
+def J6_orphans(spark, d):
+    return P.orphans(t(spark, d, "part"), "p_partkey", [(t(spark, d, "lineitem"), "l_partkey"), (t(spark, d, "supplier"), "s_suppkey")]).select("p_partkey")
+
+
+@query("SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE NOT (rn = 1 AND o_orderstatus = 'F')")
+def J7_all_but_latest_success(spark, d):
+    o = t(spark, d, "orders")
+    best = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    return o.select("o_orderkey").join(best.select("o_orderkey"), "o_orderkey", "left_anti")
+
+
+@query("SELECT c_mktsegment AS owner_id, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS deleted, CAST(coalesce(sum(c_nationkey), 0) AS BIGINT) AS total FROM customer GROUP BY 1")
+def A5_counts_by_owner(spark, d):
+    return t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("owner_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("deleted"), F.coalesce(F.sum("c_nationkey"), F.lit(0)).alias("total"))
+
+
+@query("SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def A15_by_month(spark, d):
+    return t(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query("SELECT l_returnflag, median(l_extendedprice) AS med FROM lineitem GROUP BY 1")
+def A20_median(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("med"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, role, text) AS merged, count(*) AS n FROM conversations GROUP BY 1")
+def A21_merge_notes(spark, d):
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"])
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(parts, "\n\n---\n\n").alias("merged"), F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH s AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, CAST(sum(b) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM s")
+def W10_list_runs(spark, d):
+    c = t(spark, d, "conversations")
+    marked = c.withColumn("new", ~F.col("role").eqNullSafe(F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))) | F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNull())
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.select("conv_id", "turn", F.sum(F.col("new").cast("int")).over(w).alias("run"))
+
+
+SKETCH = "count(c) AS n, round(sum(c), 6) AS total, min(c) AS lo, max(c) AS hi, " + "concat_ws(',', " + ", ".join(f"count(*) FILTER (WHERE least(9, greatest(0, CAST(floor(c * 10) AS INT))) = {i})" for i in range(10)) + ") AS hist"
+
+
+def _shown(stats: str):
+    return [F.col(f"{stats}.n").alias("n"), F.round(f"{stats}.sum", 6).alias("total"), F.col(f"{stats}.min").alias("lo"), F.col(f"{stats}.max").alias("hi"), F.array_join(F.transform(f"{stats}.hist", lambda x: x.cast("string")), ",").alias("hist")]
+
+
+@query(f"WITH x AS (SELECT l_suppkey, l_discount * 10 AS c FROM lineitem) SELECT l_suppkey, {SKETCH} FROM x GROUP BY 1")
+def A7_confidence_sketch(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_suppkey").agg(E.conf_stats(F.col("l_discount") * 10).alias("s")).select("l_suppkey", *_shown("s"))
+
+
+@query(f"WITH x AS (SELECT s_nationkey, l_discount * 10 AS c FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT s_nationkey, {SKETCH} FROM x GROUP BY 1")
+def A8_merge_sketches(spark, d):
+    each = t(spark, d, "lineitem").groupBy("l_suppkey").agg(E.conf_stats(F.col("l_discount") * 10).alias("s"))
+    both = each.join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return both.groupBy("s_nationkey").agg(E.conf_merge(F.col("s")).alias("s")).select("s_nationkey", *_shown("s"))
+
+
+# --- dates: an order's first and last shipping day as its bounds, one or both unknown for some
+
+
+BOUNDS = "WITH b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate::DATE END AS lo, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderdate + INTERVAL 30 DAY)::DATE END AS hi FROM orders) "
+
+
+def _bounds(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    return t(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 7 != 0, day).alias("lo"), F.when(F.col("o_orderkey") % 5 != 0, F.date_add(day, 30)).alias("hi"))
+
+
+@query(BOUNDS + "SELECT o_orderkey FROM b WHERE NOT (lo IS NULL AND hi IS NULL) AND (lo IS NULL OR lo <= DATE '1996-06-30') AND (hi IS NULL OR hi >= DATE '1996-06-01')")
+def F3_period_overlap(spark, d):
+    start, end = (F.lit(x).cast("date") for x in ("1996-06-01", "1996-06-30"))
+    return _bounds(spark, d).where(E.overlaps(F.col("lo"), F.col("hi"), start, end)).select("o_orderkey")
+
+
+@query(BOUNDS + "SELECT o_custkey, CASE WHEN min(lo) <= max(hi) OR min(lo) IS NULL OR max(hi) IS NULL THEN min(lo) END AS env_lo, CASE WHEN min(lo) <= max(hi) OR min(lo) IS NULL OR max(hi) IS NULL THEN max(hi) END AS env_hi FROM b GROUP BY 1")
+def E3_envelope(spark, d):
+    return _bounds(spark, d).groupBy("o_custkey").agg(*D.envelope("lo", "hi"))
+
+
+@query(BOUNDS + ", x AS (SELECT o_orderkey, lo, hi, DATE '1995-01-01' AS a, DATE '1996-12-31' AS z FROM b) SELECT o_orderkey, coalesce(a >= lo, TRUE) AND coalesce(z <= hi, TRUE) AS holds, CASE WHEN coalesce(greatest(lo, a) <= least(hi, z), TRUE) THEN greatest(lo, a) END AS i_lo, CASE WHEN coalesce(greatest(lo, a) <= least(hi, z), TRUE) THEN least(hi, z) END AS i_hi FROM x")
+def E4_contains_intersect(spark, d):
+    a, z = (F.lit(x).cast("date") for x in ("1995-01-01", "1996-12-31"))
+    lo, hi = E.intersect(F.col("lo"), F.col("hi"), a, z)
+    return _bounds(spark, d).select("o_orderkey", E.contains(F.col("lo"), F.col("hi"), a, z).alias("holds"), lo.alias("i_lo"), hi.alias("i_hi"))
+
+
+@query(BOUNDS + "SELECT o_orderkey, CASE WHEN lo IS NULL AND hi IS NULL THEN NULL WHEN day(lo) = 1 AND hi = last_day(lo) THEN strftime(lo, '%Y-%m') ELSE concat(coalesce(strftime(lo, '%Y-%m-%d'), '..'), '/', coalesce(strftime(hi, '%Y-%m-%d'), '..')) END AS edtf, lo AS back_lo, hi AS back_hi FROM b")
+def E2_edtf_round_trip(spark, d):
+    made = _bounds(spark, d).withColumn("edtf", E.edtf_of(F.col("lo"), F.col("hi")))
+    lo, hi = E.edtf_bounds(F.col("edtf"))
+    return made.select("o_orderkey", "edtf", lo.alias("back_lo"), hi.alias("back_hi"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS edtf, date_trunc('month', o_orderdate)::DATE AS lo, last_day(o_orderdate::DATE) AS hi FROM orders")
+def E1_edtf_parse(spark, d):
+    made = t(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("edtf"))
+    lo, hi = E.edtf_bounds(F.col("edtf"))
+    return made.select("*", lo.alias("lo"), hi.alias("hi"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts WHEN 1 THEN date_trunc('day', ts) + INTERVAL 12 HOUR WHEN 2 THEN date_trunc('month', ts) + INTERVAL 12 HOUR ELSE date_trunc('year', ts) + INTERVAL 12 HOUR END AS at FROM events")
+def E15_precision(spark, d):
+    p = F.element_at(F.array(*map(F.lit, ("datetime", "day", "month", "year"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return t(spark, d, "events").select("event_id", E.noon(F.col("ts").cast("timestamp"), p).cast("timestamp_ntz").alias("at"))
+
+
+@query(BOUNDS + "SELECT o_custkey, o_orderkey, lo FROM b WHERE o_custkey < 100")
+def O6_date_order_nulls_last(spark, d):
+    return _bounds(spark, d).where("o_custkey < 100").orderBy("o_custkey", F.asc_nulls_last("lo"), "o_orderkey").select("o_custkey", "o_orderkey", "lo")
+
+
+PAGES = "WITH pg AS (SELECT o_custkey AS content_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE END AS d FROM orders) "
+
+
+@query(PAGES + """, w AS (SELECT *, last_value(CASE WHEN d IS NOT NULL THEN number END IGNORE NULLS) OVER b AS pn, last_value(d IGNORE NULLS) OVER b AS pd, first_value(CASE WHEN d IS NOT NULL THEN number END IGNORE NULLS) OVER a AS nn, first_value(d IGNORE NULLS) OVER a AS nd
+  FROM pg WINDOW b AS (PARTITION BY content_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY content_id ORDER BY number ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT content_id, number, CASE WHEN d IS NOT NULL THEN d WHEN pd IS NOT NULL THEN pd END AS est_lo, CASE WHEN d IS NOT NULL THEN d WHEN nd IS NOT NULL THEN nd END AS est_hi,
+  CASE WHEN d IS NOT NULL OR (pd IS NULL AND nd IS NULL) THEN NULL WHEN pd IS NOT NULL AND nd IS NOT NULL THEN greatest(20, 70 - 10 * (least(number - pn, nn - number) - 1)) / 100.0 ELSE greatest(10, 50 - 10 * (coalesce(number - pn, nn - number) - 1)) / 100.0 END AS conf FROM w""")
+def W7_page_interpolation(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate").cast("date"))
+    return D.interpolate(t(spark, d, "orders").select(F.col("o_custkey").alias("content_id"), F.row_number().over(w).alias("number"), day.alias("lo"), day.alias("hi")))
+
+
+# --- trees: region, nation, supplier as a path
+
+
+TREE = """WITH n AS (SELECT 1 AS content_id, lpad(CAST(n_regionkey AS VARCHAR), 4, '0') || '.' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') || '.' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS path, s_suppkey AS nid, s_acctbal AS v, s_suppkey % 9 AS page FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+up AS (SELECT substr(path, 1, 4 + 5 * k) AS top, * FROM n, (VALUES (0), (1), (2)) AS x(k)) """
+
+
+def _tree(spark, d):
+    seg = lambda c: F.lpad(F.col(c).cast("string"), 4, "0")
+    s = t(spark, d, "supplier").join(F.broadcast(t(spark, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    return s.select(F.lit(1).alias("content_id"), F.concat_ws(".", seg("n_regionkey"), seg("n_nationkey"), seg("s_suppkey")).alias("path"), F.col("s_suppkey").alias("nid"), F.col("s_acctbal").alias("v"), (F.col("s_suppkey") % 9).alias("page"))
+
+
+@query(TREE + "SELECT top AS path, count(*) AS n, round(sum(v), 2) AS total, min(v) AS lo FROM up GROUP BY 1")
+def A9_subtree_roll_up(spark, d):
+    return D.roll_up(_tree(spark, d), F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"), F.min("v").alias("lo")).drop("content_id")
+
+
+@query(TREE + "SELECT top AS path, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages FROM up GROUP BY 1")
+def A10_subtree_pages(spark, d):
+    pages = F.array_join(F.transform(F.array_sort(F.collect_set("page")), lambda x: x.cast("string")), ",")
+    return D.roll_up(_tree(spark, d), pages.alias("pages")).drop("content_id")
+
+
+@query(TREE + "SELECT path FROM n WHERE NOT (nid % 4 = 0) UNION ALL SELECT DISTINCT substr(path, 1, 9) FROM n WHERE nid % 4 = 0 AND FALSE")
+def F15_subtree_filter(spark, d):
+    n = _tree(spark, d).where("nid % 4 <> 0")
+    return n.where(E.in_subtree(F.col("path"), F.substring("path", 1, 4)) & (E.depth(F.col("path")) == 2)).select("path")
+
+
+@query(TREE + ", s AS (SELECT path FROM n UNION SELECT substr(path, 1, 9) FROM n WHERE nid % 3 = 0) SELECT a.path FROM s AS a WHERE NOT EXISTS (SELECT 1 FROM s AS b WHERE a.path LIKE b.path || '.%')")
+def J12_topmost(spark, d):
+    n = _tree(spark, d).select("content_id", "path")
+    return D.topmost(n.union(n.where("substring(path, 11) % 3 = 0").select("content_id", F.substring("path", 1, 9))).distinct()).select("path")
+
+
+LEAVES = "WITH lv AS (SELECT conv_id AS content_id, turn AS nid, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE text IS NOT NULL), o AS (SELECT *, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY content_id ORDER BY nid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS text_start FROM lv) "
+
+
+def _leaves(spark, d):
+    return D.text_offsets(t(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("content_id"), F.col("turn").alias("nid"), "text"))
+
+
+@query(LEAVES + "SELECT content_id, nid, text_start, text_start + length(text) AS text_end FROM o")
+def A12_text_offsets(spark, d):
+    return _leaves(spark, d).select("content_id", "nid", "text_start", "text_end")
+
+
+@query(LEAVES + ", h AS (SELECT content_id, unnest(range(0, 400, 37)) AS off FROM (SELECT DISTINCT content_id FROM o)) SELECT h.content_id, off AS \"at\", min_by(nid, (length(text), -nid)) AS nid FROM h JOIN o ON o.content_id = h.content_id AND text_start <= off AND off < text_start + length(text) GROUP BY 1, 2")
+def J13_deepest_at_offset(spark, d):
+    n = _leaves(spark, d)
+    hits = n.select("content_id").distinct().select("content_id", F.explode(F.sequence(F.lit(0), F.lit(399), F.lit(37))).alias("at")).withColumn("hit", F.col("at"))
+    return D.deepest(hits, n).select("content_id", F.col("at").cast("long").alias("at"), "nid")
+
+
+@query("""WITH r AS (SELECT p_partkey AS nid, p_size % 3 AS page, (p_partkey % 20) / 20.0 AS x, (p_partkey % 13) / 13.0 AS y, 0.05 + (p_size % 5) / 25.0 AS s FROM part WHERE p_partkey <= 200),
+p AS (SELECT s_suppkey AS point, s_suppkey % 3 AS page, (s_suppkey % 17) / 17.0 + 0.011 AS px, (s_suppkey % 11) / 11.0 + 0.013 AS py FROM supplier)
+SELECT p.page, point, min_by(nid, (round(2 * s * s, 12), nid)) AS nid FROM p JOIN r ON p.page = r.page AND abs(px - x) + abs(py - y) < s GROUP BY 1, 2""")
+def J14_point_hit(spark, d):
+    x, y, s = (F.col("p_partkey") % 20) / 20.0, (F.col("p_partkey") % 13) / 13.0, 0.05 + (F.col("p_size") % 5) / 25.0
+    corner = lambda dx, dy: F.struct((x + dx * s).alias("x"), (y + dy * s).alias("y"))
+    regions = t(spark, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("nid"), (F.col("p_size") % 3).cast("long").alias("page"), F.array(corner(0, -1), corner(1, 0), corner(0, 1), corner(-1, 0)).alias("ring"))
+    points = t(spark, d, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_suppkey") % 3).alias("page"), ((F.col("s_suppkey") % 17) / 17.0 + 0.011).alias("x"), ((F.col("s_suppkey") % 11) / 11.0 + 0.013).alias("y"))
+    return D.hit(points, regions)
+
+
+# --- documents
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, length(text) AS n FROM documents")
+def G22_digests(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), F.length("text").alias("n"))
+
+
+@query("SELECT md5(text) AS md5, source, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1, 2")
+def U7_upload_dedupe(spark, d):
+    return t(spark, d, "documents").groupBy(F.md5("text").alias("md5"), "source").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(f) <= 120 THEN f ELSE rtrim(substr(f, 1, 120)) || '…' END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)")
+def G15_excerpt(spark, d):
+    return t(spark, d, "documents").select("doc_id", E.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '…' ELSE text END AS shown FROM documents")
+def F17_truncate(spark, d):
+    return t(spark, d, "documents").select("doc_id", E.truncate(F.col("text")).alias("shown"))
+
+
+@query("""WITH x AS (SELECT doc_id, text, lower(text) AS low, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w IN ('the', 'of')) AS hits FROM documents)
+SELECT doc_id, round(len(hits) / (1 + ln(length(text))), 9) AS rank, least(strpos(low, 'of'), strpos(low, 'the')) - 1 AS at FROM x WHERE list_contains(hits, 'the') AND list_contains(hits, 'of') ORDER BY rank DESC, doc_id DESC LIMIT 20""")
+def G10_search(spark, d):
+    return D.search(t(spark, d, "documents"), "the of").select("doc_id", "rank", F.col("at").cast("long").alias("at"))
+
+
+@query("SELECT doc_id, greatest(0, length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND text NOT LIKE '%' || chr(10) THEN 1 ELSE 0 END - 1) AS rows FROM documents")
+def S15_row_count(spark, d):
+    return t(spark, d, "documents").select("doc_id", E.row_count(F.col("text"), F.lit(True)).cast("long").alias("rows"))
+
+
+@query("WITH s AS (SELECT p_partkey, substr(p_name, 1, 12) AS a, substr(p_brand, 1, 12) AS b FROM part), c AS (SELECT p_partkey, a, b, list_distinct(list_filter(string_split(a, ''), lambda x: x <> '')) AS ca FROM s) SELECT p_partkey, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(list_sum(list_transform(ca, lambda ch: least(length(a) - length(replace(a, ch, '')), length(b) - length(replace(b, ch, ''))))), 0) / (length(a) + length(b)) END AS ratio FROM c")
+def G13_quick_ratio(spark, d):
+    return t(spark, d, "part").select("p_partkey", E.ratio(F.substring("p_name", 1, 12), F.substring("p_brand", 1, 12)).alias("ratio"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def F7_csv_parameter(spark, d):
+    return t(spark, d, "events").where(F.array_contains(E.csv_list(F.lit(" click, ,view")), F.col("event_type"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN CASE WHEN c_custkey % 5 = 0 THEN 'revive' WHEN c_custkey % 2 = 0 THEN 'update' WHEN c_custkey % 3 = 0 THEN 'keep' ELSE 'insert' END ELSE CASE WHEN c_custkey % 5 = 0 THEN 'keep' WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'retire' END END AS op FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') OR c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0")
+def P4_projection_rebuild(spark, d):
+    c = t(spark, d, "customer").select("c_custkey")
+    have = c.where("c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0").withColumns({"payload": F.when(F.col("c_custkey") % 2 == 0, "old").otherwise("new"), "retired": F.col("c_custkey") % 5 == 0})
+    want = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("payload", F.lit("new"))
+    return P.rebuild(have, want.join(c, "c_custkey", "left_semi"), ["c_custkey"], "payload")
+
+
+@query("SELECT p_partkey, 'add' AS op FROM part WHERE p_size > 25 AND NOT p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'retire' FROM part WHERE NOT p_size > 25 AND p_partkey % 2 = 0")
+def U3_tag_reconcile(spark, d):
+    p = t(spark, d, "part")
+    return P.reconcile(p.where("p_partkey % 2 = 0"), p.where("p_size > 25"), ["p_partkey"])
+
+
+@query("SELECT c_custkey, 'name-' || c_custkey AS c_name, c_mktsegment FROM customer")
+def T8_scrub(spark, d):
+    rows = t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return P.scrub(rows, {"c_name": lambda c: F.concat(F.lit("name-"), F.col("c_custkey"))}, {"c_custkey", "c_mktsegment"})
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS titled FROM pages")
+def S8_html_title(spark, d):
+    got = S.html_nodes(t(spark, d, "pages").select(F.col("page_id").alias("content_id"), "html"))
+    return got.select(F.col("content_id").alias("page_id"), (F.coalesce("title", F.lit("")) != "").alias("titled"))
+
+
+@query()
+def X2_html_tree(spark, d):
+    got = S.html_nodes(t(spark, d, "pages").select(F.col("page_id").alias("content_id"), "html"))
+    return got.select("content_id", F.explode("nodes").alias("n")).select("content_id", "n.*")
+
+
+@query()
+def G21_fuzzy_rank(spark, d):
+    return S.fuzzy(t(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_name"), "p_name", "a e").orderBy(F.desc("score"), "key").limit(50)
