@@ -214,8 +214,8 @@ def join(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id, set_id, set_size, n_links, mark, first.
 
     set_id is the least doc_id with the same shingle set and set_size their number; n_links is the number of other sets
-    with a Jaccard similarity of THRESHOLD or more; class_id is the least doc_id that links lead to; first marks one row
-    of each class. A null or wordless text is a class of its own. Rows that repeat a doc_id count like others; a null
+    with a Jaccard similarity of THRESHOLD or more; class_id is the least doc_id that links lead to; first marks the
+    row of each class with that doc_id (of several such, one). A null or wordless text is a class of its own. Rows that repeat a doc_id count like others; a null
     doc_id is never the least unless all are null. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
@@ -223,7 +223,7 @@ def join(docs: DataFrame) -> DataFrame:
     signed = base.save(signed.withColumn("rid", F.monotonically_increasing_id()), "signed")
     least = F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))
     sets = signed.where("digest is not null").groupBy("digest").agg(
-        F.count(F.lit(1)).alias("set_size"), least.alias("set_id"), F.min("rid").alias("rep"), F.min_by("doc_id", "rid").alias("rep_doc"), F.min_by("sig", "rid").alias("sig")
+        F.count(F.lit(1)).alias("set_size"), least.alias("set_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("head"), F.min("rid").alias("rep"), F.min_by("doc_id", "rid").alias("rep_doc"), F.min_by("sig", "rid").alias("sig")
     )
     sets = base.save(sets, "sets")
     coords = F.array(*(F.conv(F.hex(F.substring("sig", 4 * k + 1, 4)), 16, 10).cast("long") for k in range(COORDS)))
@@ -251,11 +251,11 @@ def join(docs: DataFrame) -> DataFrame:
     exact = base.components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     known = sets.join(exact.select(F.col("node").alias("rep"), "root"), "rep", "left").join(links, "rep", "left")
-    known = known.select("digest", "set_size", "set_id", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    tops = known.groupBy("root").agg(F.min_by("set_id", F.struct(F.col("set_id").isNull(), "set_id", "rep")).alias("class_id"), F.min("rep").alias("first_rep"), F.count(F.lit(1)).alias("sets"))
+    known = known.select("digest", "set_size", "set_id", "head", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    tops = known.groupBy("root").agg(F.min_by("set_id", F.struct(F.col("set_id").isNull(), "set_id", "rep")).alias("class_id"), F.min_by("head", F.struct(F.col("set_id").isNull(), "set_id", "head")).alias("first_row"), F.count(F.lit(1)).alias("sets"))
     known = base.save(base.attach(known, tops, ["root"], "sets").drop("root", "sets"), "known")
     some = base.attach(signed.where("digest is not null").select("digest", "doc_id", "mark", "rid"), known, ["digest"], "set_size")
-    some = some.select("doc_id", "class_id", "set_id", "set_size", "n_links", "mark", (F.col("rid") == F.col("first_rep")).alias("first"))
+    some = some.select("doc_id", "class_id", "set_id", "set_size", "n_links", "mark", (F.col("rid") == F.col("first_row")).alias("first"))
     none = signed.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("set_size"), F.lit(0).cast("long").alias("n_links"), "mark", F.lit(True).alias("first"))
     return some.unionByName(none)
 
