@@ -30,8 +30,8 @@ from palimpsest.llm import base
 
 SPAN = 200
 GRAM = 64
-#: Different regions of an anchor that go to a shard at most.
-CROWD = 256
+#: Different regions of an anchor that go to a shard at most; they take 1.4 MB, and sorting them some 200 MB of a worker.
+CROWD = 4096
 #: Anchors are dealt to so many shards for each region, so that a shard has about 200 regions.
 SHARD_REGIONS = 200
 #: Starts handled at once in a long text.
