@@ -154,7 +154,7 @@ def learn(docs: DataFrame, allowed: Column, most: int = MOST) -> Model:
     """Fits on a bounded, deterministic sample of the rows of ``docs`` that are allowed and have a language."""
     ids = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.where(allowed & F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang")
-    got = rows.mapInArrow(_bags, "doc_id long, lang string, at binary, n binary").orderBy("doc_id", "lang", "at").collect()
+    got = rows.mapInArrow(_bags, "doc_id long, lang string, at binary, n binary").orderBy("doc_id", "lang", "at").limit(most).collect()
     return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32)) for r in got], [r["lang"] for r in got])
 
 

@@ -177,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     order = (F.xxhash64("doc_id"), "doc_id")
     ids = known.where("quality = 1").orderBy(*order).limit(most).union(known.where("quality = 0").orderBy(*order).limit(most))
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality").mapInArrow(_measured, "doc_id long, quality int, x array<double>")
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "x").collect()
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * most).collect()
     return train(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in got], float))
 
 
