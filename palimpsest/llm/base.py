@@ -144,12 +144,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
-        large = least(both(now)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = save(least(both(now)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         down = least(large)
         small = down.select("u", F.col("m").alias("v")).union(down.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         new = save(small, "edges")
         same = new.count() == now.count() and not new.join(now, ["u", "v"], "left_anti").head(1)
-        drop(now)
+        drop(now, large)
         now = new
         if same:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -8,12 +8,13 @@ the probabilities of the links before it. In training those probabilities are ou
 models that didn't see the row, so a later link meets the errors that it will meet in use.
 
 At scale: the sample to learn from is bounded (MOST rows of each label, as bags of hashes made on the
-executors); scoring is one pass without a shuffle over whole texts. A worker adds up the weights of
+executors, and fitted in one task there); scoring is one pass without a shuffle over whole texts. A worker adds up the weights of
 a text's distinct words, looked up in a bounded cache.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -163,13 +164,25 @@ def _f1(said: np.ndarray, y: np.ndarray) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """Fits on a bounded, deterministic sample: of either label the ``most`` rows whose doc_id has the least hash.
-    Rows without a doc_id or label teach nothing; a doc_id with both labels counts as toxic."""
+    Rows without a doc_id or label teach nothing; a doc_id with both labels counts as toxic.
+    Where rows repeat a doc_id, 2 ``most`` rows at most are used."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
     ids = known.where("toxic = 1").orderBy(*order).limit(most).union(known.where("toxic = 0").orderBy(*order).limit(most))
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_bags, "doc_id long, toxic int, own binary, f binary")
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "f").collect()
-    return train([(np.frombuffer(r["own"], np.int32), np.frombuffer(r["f"], np.int32)) for r in got], np.array([r["toxic"] for r in got], int))
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(2 * most).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else train([], np.zeros(0, int))
+
+
+def _fitted(batches: Iterator) -> Iterator:
+    """The model of the rows to learn from, trained where they are: only the model goes to the driver."""
+    import pyarrow as pa
+
+    bags, toxic = [], []
+    for batch in batches:
+        toxic += batch.column(1).to_pylist()
+        bags += [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(bags, np.array(toxic, int)))], pa.binary())], ["model"])
 
 
 def _bags(batches: Iterator) -> Iterator:
