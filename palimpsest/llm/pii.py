@@ -8,12 +8,14 @@ characters overlap by half; each is decoded by Viterbi, and where two disagree t
 character is further from an edge decides, for the whole text at once. A decoded span is added if it
 overlaps no base span and has at least what its kind can't do without (NEEDS).
 
-At scale: one pass without a shuffle, the model (some 20 kB) sent along. A span of any kind holds a digit
-or an ``@``, so windows without either can't hold one and aren't decoded; all others are, in whole texts.
+At scale: one pass without a shuffle, the model (some 20 kB) sent along. Only what matches NEEDS is added, so
+windows that decide on no character of a possible match aren't decoded: most have no digit, no ``@`` and nothing
+that stands for one (``(at)``, ``[at]``). The spans are those of decoding all windows, in whole texts.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -309,37 +311,62 @@ def train(data: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = EPOC
 # --- use
 
 
-_WORTH = re.compile(r"[0-9@]")
+_DIGITS = re.compile(r"[0-9]+")
+_AT = re.compile(r"@|\[at\]|\(at\)")
+_HEX = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]++(?::[0-9a-fA-F]++){7,}+")
+_RUN = re.compile(r"\S+")
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Stretches outside which no span can lie: what matches one of NEEDS lies in one or in several that touch.
+
+    In an ip, card or phone no character is further than 3 from a digit, but for an ip of hexadecimal letters alone. An
+    email has an at sign or what stands for one, at most one blank before that and at most three after it.
+    """
+    out = [(max(0, m.start() - 3), min(len(text), m.end() + 3)) for m in _DIGITS.finditer(text)]
+    out += [m.span() for m in _HEX.finditer(text)]
+    runs, starts, last = [], [], -1
+    for m in _AT.finditer(text):
+        if not runs:
+            runs = [r.span() for r in _RUN.finditer(text)]
+            starts = [a for a, _ in runs]
+        k = bisect.bisect_right(starts, m.start()) - 1
+        if k > last:
+            out.append((runs[max(0, k - 1)][0], runs[min(len(runs) - 1, k + 3)][1]))
+            last = k
+    return out
 
 
 def tags_of(net: Net, text: str) -> np.ndarray:
-    """A tag for each character: windows that hold a digit or ``@`` are decoded, and the one in which a character is
-    furthest from an edge decides."""
+    """A tag for each character, as by decoding all windows: that in which a character is furthest from an edge decides.
+    Only windows that decide within stretches(), or on how a run of tags from there goes on, are decoded."""
     n, half = len(text), WINDOW // 2
+    window = lambda k: max(0, (k - half // 2) // half)
     out = np.zeros(n, np.int8)
-    asked = sorted({w for m in _WORTH.finditer(text) for w in (m.start() // half - 1, m.start() // half) if w >= 0})
+    asked = sorted({w for a, b in stretches(text) for w in range(window(a), window(b - 1) + 1)})
     if not asked:
         return out
-    codes = np.zeros(max(n, (asked[-1] + 2) * half), np.int64)
+    codes = np.zeros((n // half + 2) * half, np.int64)
     codes[:n] = _codes(text)
-    edge = np.full(len(codes), -1, np.int64)
-    whole = np.zeros(len(codes), np.int8)
-    rank = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-    for at in range(0, len(asked), 512):
-        starts = np.array(asked[at : at + 512]) * half
-        got = viterbi(scores(net, codes[starts[:, None] + np.arange(WINDOW)])[0], net.trans)
-        for s, tags in zip(starts.tolist(), got, strict=True):
-            better = rank + (half if s == 0 else 0) * (np.arange(WINDOW) < half) > edge[s : s + WINDOW]
-            whole[s : s + WINDOW][better] = tags[better]
-            edge[s : s + WINDOW][better] = rank[better]
-    return whole[:n]
+    known = set()
+    while asked:
+        known.update(asked)
+        on = set()
+        for at in range(0, len(asked), 512):
+            part = asked[at : at + 512]
+            got = viterbi(scores(net, codes[np.array(part)[:, None] * half + np.arange(WINDOW)])[0], net.trans)
+            for w, tags in zip(part, got, strict=True):
+                a, b = w * half + (half // 2 if w else 0), min(n, w * half + half + half // 2)
+                out[a:b] = tags[a - w * half : b - w * half]
+                if b < n and out[b - 1]:
+                    on.add(w + 1)
+        asked = sorted(on - known)
+    return out
 
 
 def spans_of(net: Net, text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) of a whole text, each by kind, then start; a null counts as empty."""
     text = text or ""
-    if not _WORTH.search(text):
-        return [], []
     first = base_spans(text)
     taken = np.zeros(len(text), bool)
     for _, a, b in first:

@@ -293,6 +293,21 @@ def test_pii_network(docs):
     assert first == [("email", 3001, 3007)] and set(first) <= set(every)
 
 
+def test_pii_decodes_all_that_can_hold_a_span(monkeypatch):
+    net, r = pii.standard(), random.Random(7)
+    for value in ("jane.doe[at]example[dot]org", "tom_lind(at)webpost.de"):
+        text = f"{prose(400, r)} {value} {prose(400, r)}"
+        at = text.index(value)
+        assert pii.spans_of(net, text) == ([], [("email", at, at + len(value))])
+    texts = ["", "ab:cd:ef:ab:cd:ef:ab:cd", f"{prose(30, r)} {'abcd:' * 8} {prose(30, r)}", *(t for t, _ in pii.labelled(40, seed=60))]
+    for _ in range(80):
+        values = [pii._value(r.choice(pii.KINDS), r) if r.random() < 0.7 else "".join(r.choice("ab1:.@[]() (at)") for _ in range(80)) for _ in range(3)]
+        texts.append(" ".join(f"{v} {prose(r.randint(0, 40), r)}" for v in values))
+    some = [pii.spans_of(net, t) for t in texts]
+    monkeypatch.setattr(pii, "stretches", lambda t: [(0, len(t))] if t else [])
+    assert some == [pii.spans_of(net, t) for t in texts]
+
+
 def test_fixity(spark):
     rows = [(f, i, f"record {f} {i}") for f in range(3) for i in range(40)] + [(7, None, None), (7, None, None)]
     first = spark.createDataFrame(rows, "file int, record_id long, record string")
