@@ -187,8 +187,7 @@ def _versions(spark, d):
 
 
 def _edges(spark, d):
-    o = t(spark, d, "orders").where("o_orderkey % 50 = 0")
-    return o.select(F.col("o_orderkey").alias("target_id"), F.col("o_custkey").alias("source_id"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("at"))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("target_id"), F.col("o_custkey").alias("source_id"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("at"))
 
 
 EDGES = VERSIONS + ", e AS (SELECT o_orderkey AS target_id, o_custkey AS source_id, o_orderdate + INTERVAL 1 DAY AS made FROM orders WHERE o_orderkey % 50 = 0), pinned AS (SELECT target_id, source_id, version AS source_version FROM e JOIN v ON v.obj_id = e.source_id AND made >= o_orderdate AND (to_at IS NULL OR made < to_at)) "
