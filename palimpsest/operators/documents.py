@@ -37,11 +37,22 @@ def deepest(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def hit(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """Each point (page, point, x, y) with the nid of the smallest shape that holds it: box first, then ring, smallest area first."""
+    """Each point (page, point, x, y) with the nid of the smallest shape that holds it: box first, then ring, smallest area first.
+
+    Points and shapes meet on cells of a grid. A shape's grid has cells of a quarter to half its box's longer side, so it lies on
+    25 cells at most; a point lies on one cell of each grid that a shape has.
+    """
     box = E.ring_box(F.col("ring"))
     x, y = F.col("x"), F.col("y")
     shaped = regions.withColumns({"box": box, "area": E.ring_area(F.col("ring"))})
-    met = points.join(shaped, "page").where((x >= F.col("box.x0")) & (x <= F.col("box.x1")) & (y >= F.col("box.y0")) & (y <= F.col("box.y1")) & E.point_in_ring(F.col("ring"), x, y))
+    side = F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"))
+    shaped = shaped.withColumn("grid", F.coalesce(F.least(F.ceil(1 - F.log2(side)), F.lit(40)), F.lit(40)).cast("int"))
+    cell = lambda c: F.floor(c * F.pow(F.lit(2.0), F.col("grid")))
+    grids = F.broadcast(shaped.select("grid").distinct())
+    for k in "xy":
+        shaped = shaped.withColumn(f"c{k}", F.explode(F.sequence(cell(F.col(f"box.{k}0")), cell(F.col(f"box.{k}1")))))
+    placed = points.crossJoin(grids).withColumns({"cx": cell(x), "cy": cell(y)})
+    met = placed.join(shaped, ["page", "grid", "cx", "cy"]).where((x >= F.col("box.x0")) & (x <= F.col("box.x1")) & (y >= F.col("box.y0")) & (y <= F.col("box.y1")) & E.point_in_ring(F.col("ring"), x, y))
     return met.groupBy("page", "point").agg(F.min_by("nid", F.struct(F.round("area", 12), "nid")).alias("nid"))
 
 

@@ -429,7 +429,7 @@ SELECT p.page, point, min_by(nid, (round(2 * s * s, 12), nid)) AS nid FROM p JOI
 def J14_point_hit(spark, d):
     x, y, s = (F.col("p_partkey") % 20) / 20.0, (F.col("p_partkey") % 13) / 13.0, 0.05 + (F.col("p_size") % 5) / 25.0
     corner = lambda dx, dy: F.struct((x + dx * s).alias("x"), (y + dy * s).alias("y"))
-    regions = t(spark, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("nid"), (F.col("p_size") % 3).cast("long").alias("page"), F.array(corner(0, -1), corner(1, 0), corner(0, 1), corner(-1, 0)).alias("ring"))
+    regions = t(spark, d, "part").select(F.col("p_partkey").alias("nid"), (F.col("p_size") % 3).cast("long").alias("page"), F.array(corner(0, -1), corner(1, 0), corner(0, 1), corner(-1, 0)).alias("ring"))
     points = t(spark, d, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_suppkey") % 3).alias("page"), ((F.col("s_suppkey") % 17) / 17.0 + 0.011).alias("x"), ((F.col("s_suppkey") % 11) / 11.0 + 0.013).alias("y"))
     return D.hit(points, regions)
 

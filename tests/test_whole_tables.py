@@ -2,10 +2,13 @@
 
 import glob
 import os
+import random
+import re
 
 import duckdb
 import pytest
 
+from palimpsest.operators import documents as D
 from palimpsest.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -31,3 +34,27 @@ def same_rows(spark, name, *widen, data=DATA):
 @pytest.mark.parametrize("name", ["L1_pinned_edges", "L9_stale_derivations", "L7_derived_from"])
 def test_every_order_is_an_edge(spark, name):
     same_rows(spark, name, (" WHERE o_orderkey % 50 = 0", ""))
+
+
+@no_tables
+def test_every_part_is_a_region(spark):
+    same_rows(spark, "J14_point_hit", (" WHERE p_partkey <= 200", ""))
+
+
+def test_hit_pairs_only_what_lies_near(spark):
+    r = random.Random(3)
+    boxes = [(k % 2, k, r.choice([(r.random(), r.random(), 10 ** r.uniform(-4, 0)), (r.uniform(-900, 900), r.uniform(-900, 900), 10 ** r.uniform(0, 3)), (0.5, 0.5, 0.0)])) for k in range(300)]
+    points = [(k % 2, k, *r.choice([(r.random(), r.random()), (r.uniform(-900, 900), r.uniform(-900, 900)), (0.5, 0.5)])) for k in range(300)]
+    ring = lambda x, y, s: [(x, y - s), (x + s, y), (x, y + s), (x - s, y)]
+    regions = spark.createDataFrame([(p, k, ring(*b)) for p, k, b in boxes], "page long, nid long, ring array<struct<x: double, y: double>>")
+    at = spark.createDataFrame(points, "page long, point long, x double, y double")
+    want = {}
+    for page, point, x, y in points:
+        held = [(round(2 * s * s, 12), nid) for p, nid, (a, b, s) in boxes if p == page and abs(x - a) + abs(y - b) < s]
+        if held:
+            want[page, point] = min(held)[1]
+    assert {(h.page, h.point): h.nid for h in D.hit(at, regions).collect()} == want and len(want) > 100
+    small = spark.range(2000).selectExpr("0L AS page", "id AS nid", "array(named_struct('x', id + 0.1D, 'y', 0.1D), named_struct('x', id + 0.9D, 'y', 0.1D), named_struct('x', id + 0.5D, 'y', 0.9D)) AS ring")
+    marks = spark.range(2000).selectExpr("0L AS page", "id AS point", "id + 0.5D AS x", "0.3D AS y")
+    plan = D.hit(marks, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*cx#.*cy#", plan) and D.hit(marks, small).where("point = nid").count() == 2000
