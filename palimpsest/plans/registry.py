@@ -352,7 +352,7 @@ def E15_precision(spark, d):
 
 @query(BOUNDS + "SELECT o_custkey, o_orderkey, lo FROM b WHERE o_custkey < 100")
 def O6_date_order_nulls_last(spark, d):
-    return _bounds(spark, d).where("o_custkey < 100").orderBy("o_custkey", F.asc_nulls_last("lo"), "o_orderkey").select("o_custkey", "o_orderkey", "lo")
+    return _bounds(spark, d).orderBy("o_custkey", F.asc_nulls_last("lo"), "o_orderkey").select("o_custkey", "o_orderkey", "lo")
 
 
 PAGES = "WITH pg AS (SELECT o_custkey AS content_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE END AS d FROM orders) "

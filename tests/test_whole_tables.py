@@ -58,3 +58,10 @@ def test_hit_pairs_only_what_lies_near(spark):
     marks = spark.range(2000).selectExpr("0L AS page", "id AS point", "id + 0.5D AS x", "0.3D AS y")
     plan = D.hit(marks, small)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, .*cx#.*cy#", plan) and D.hit(marks, small).where("point = nid").count() == 2000
+
+
+@no_tables
+def test_every_order_is_ordered(spark):
+    same_rows(spark, "O6_date_order_nulls_last", (" WHERE o_custkey < 100", ""))
+    got = [(r.o_custkey, r.lo is None, r.lo, r.o_orderkey) for r in registry.QUERIES["O6_date_order_nulls_last"](spark, DATA).collect()]
+    assert got == sorted(got, key=lambda r: (r[0], r[1], r[2] or 0, r[3]))
