@@ -419,7 +419,8 @@ def A12_text_offsets(spark, d):
 @query(LEAVES + ", h AS (SELECT content_id, unnest(range(0, 400, 37)) AS off FROM (SELECT DISTINCT content_id FROM o)) SELECT h.content_id, off AS \"at\", min_by(nid, (length(text), -nid)) AS nid FROM h JOIN o ON o.content_id = h.content_id AND text_start <= off AND off < text_start + length(text) GROUP BY 1, 2")
 def J13_deepest_at_offset(spark, d):
     n = _leaves(spark, d)
-    hits = n.select("content_id").distinct().select("content_id", F.explode(F.sequence(F.lit(0), F.lit(399), F.lit(37))).alias("at")).withColumn("hit", F.col("at"))
+    ends = n.groupBy("content_id").agg(F.max("text_end").alias("end")).where("end > 0")
+    hits = ends.select("content_id", F.explode(F.sequence(F.lit(0), (F.col("end") - 1).cast("int"), F.lit(37))).alias("at")).withColumn("hit", F.col("at"))
     return D.deepest(hits, n).select("content_id", F.col("at").cast("long").alias("at"), "nid")
 
 
@@ -470,7 +471,7 @@ def S15_row_count(spark, d):
 
 @query("WITH s AS (SELECT p_partkey, substr(p_name, 1, 12) AS a, substr(p_brand, 1, 12) AS b FROM part), c AS (SELECT p_partkey, a, b, list_distinct(list_filter(string_split(a, ''), lambda x: x <> '')) AS ca FROM s) SELECT p_partkey, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(list_sum(list_transform(ca, lambda ch: least(length(a) - length(replace(a, ch, '')), length(b) - length(replace(b, ch, ''))))), 0) / (length(a) + length(b)) END AS ratio FROM c")
 def G13_quick_ratio(spark, d):
-    return t(spark, d, "part").select("p_partkey", E.ratio(F.substring("p_name", 1, 12), F.substring("p_brand", 1, 12)).alias("ratio"))
+    return t(spark, d, "part").select("p_partkey", E.ratio(F.col("p_name"), F.col("p_brand")).alias("ratio"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")

@@ -4,6 +4,7 @@ import glob
 import os
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -65,3 +66,15 @@ def test_every_order_is_ordered(spark):
     same_rows(spark, "O6_date_order_nulls_last", (" WHERE o_custkey < 100", ""))
     got = [(r.o_custkey, r.lo is None, r.lo, r.o_orderkey) for r in registry.QUERIES["O6_date_order_nulls_last"](spark, DATA).collect()]
     assert got == sorted(got, key=lambda r: (r[0], r[1], r[2] or 0, r[3]))
+
+
+@no_tables
+def test_offsets_go_to_the_end_of_each_content(spark):
+    same_rows(spark, "J13_deepest_at_offset", ("range(0, 400, 37)", "range(0, m, 37)"), ("SELECT DISTINCT content_id FROM o", "SELECT content_id, max(text_start + length(text)) AS m FROM o GROUP BY 1"))
+
+
+def test_long_names_are_compared_whole(spark, tmp_path):
+    rows = [(1, "a long name of a part", "a brand with a long name"), (2, "same for twelve, then not", "same for twelve, so other"), (3, "ab", "b"), (4, "", "")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    want = {k: 2.0 * (Counter(a) & Counter(b)).total() / len(a + b) if a + b else 1.0 for k, a, b in rows}
+    assert {r.p_partkey: r.ratio for r in registry.QUERIES["G13_quick_ratio"](spark, str(tmp_path)).collect()} == pytest.approx(want)
