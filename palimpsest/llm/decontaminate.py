@@ -64,6 +64,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     Null and empty texts and items without a word match nothing. Rows that repeat a doc_id or an
     item_id count as one document or item for each different text. Empty tables give an empty result.
     """
+    return _met(docs, items, threshold).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
+
+
+def _met(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """As contaminated(), with the hash t of the text that holds the item; a row for each text."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     found = base.save(sketches(items.select("item_id", "text").distinct(), threshold), "sketches")
@@ -79,7 +84,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         part = part.join(probe, ["width", "h"])
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
-        return base_docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("containment")).limit(0)
+        return base_docs.select("doc_id", F.xxhash64("text").alias("t"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("containment")).limit(0)
     hits = base.save(hits.distinct(), "hits")
     few = hits.count() <= BROADCAST
     met = hits.select("doc_id", "t", "width", "h")
@@ -99,15 +104,21 @@ def _verified(texts: DataFrame, pairs: DataFrame, found: DataFrame, threshold: f
     both = pairs.join(F.broadcast(wide) if small else wide, F.col("item_id").eqNullSafe(F.col("i")))
     met = both.join(parts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")) & (F.col("width") == F.col("dw")))
     share = F.size(F.array_intersect("shingles", "has")) / F.col("n")
-    return met.select("doc_id", "item_id", share.alias("containment")).where(F.col("containment") >= threshold - 1e-9).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
+    return met.select("doc_id", "t", "item_id", share.alias("containment")).where(F.col("containment") >= threshold - 1e-9)
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
+    """The rows of ``docs`` with a doc_id (or null) of which no row holds an item."""
     bad = contaminated(docs, items, threshold).select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that hold no item, each judged by its own text where a doc_id is null or repeats."""
+    bad = _met(docs, items, threshold).select(F.col("doc_id").alias("bad_id"), F.col("t").alias("bad_t")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (base.by_id() == bad["bad_t"]), "left_anti")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
 

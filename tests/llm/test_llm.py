@@ -183,6 +183,20 @@ def test_decontaminate(spark, docs):
     assert decontaminate.contaminated(empty(docs), table).count() == 0 and decontaminate.contaminated(docs, table.limit(0)).count() == 0
 
 
+def test_a_leak_takes_only_its_own_row(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    passage, clean = prose(40, r), [prose(30, r) for _ in range(3)]
+    rows = [(None, f"{clean[0]} {passage}"), (None, clean[0]), (None, None), (5, passage), (5, clean[1]), (6, clean[2]), (7, passage)]
+    table = spark.createDataFrame([(i, t, "en", "m", 1, "n", 2, 3, i, i, 0) for i, t in rows], SCHEMA)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.drop_leaks(spark, table, str(tmp_path))
+    assert left.columns == table.columns and Counter(pairs_of(left)) == Counter([(None, clean[0]), (None, None), (5, clean[1]), (6, clean[2])])
+    items = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    assert decontaminate.without_leaks(docs, items.limit(0)).count() == docs.count() and decontaminate.without_leaks(empty(docs), items).count() == 0
+
+
 def decontaminate_words(t):
     import regex
 
