@@ -46,6 +46,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_type(df: DataFrame) -> str:
+    """The type of doc_id, which the operators carry as it is."""
+    return df.schema["doc_id"].dataType.simpleString()
+
+
 def slices(batch, column: int, most: int = 1 << 20) -> Iterator:
     """Parts of an Arrow batch whose texts take about ``most`` bytes, or one row that takes more."""
     import pyarrow.compute as pc

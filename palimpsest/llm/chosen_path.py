@@ -1,28 +1,35 @@
 """Near-duplicate join on five-word shingles by chosen paths.
 
 Documents of one shingle set are one class, and each class is handled once. A set is summed up by
-COORDS min-hashes. In each of RUNS runs a set walks down a path: a node samples one coordinate, by
-a hash of the path to it, and its sets go to children by their token (min-hash) there, so sets that
-share a share s of their shingles stay together with probability s. A bucket of SMALL sets or fewer
-is a leaf; others are split until DEPTH. Runs repeat until a pair at the threshold shares a leaf
-with probability of RECALL in the deepest case. In leaves all pairs are compared by min-hashes, in
-tiles of at most TILE by TILE sets, and what may be similar (LOOSE) is linked loosely. The sets that
-loose links connect then come together once, again in tiles, and every pair of them is verified by
-its exact Jaccard similarity, so a pair that no leaf held is found too if others connect it.
+COORDS tokens, its min-hashes. In each of a number of runs the sets walk down random paths: a node
+samples coordinates, by a hash of the path to it (one always, a second with probability SECOND), and
+a set goes to a child for each of them, by its token there. A pair at the threshold so meets again in
+one child on average, however deep (``survival``). A bucket of SMALL sets or fewer is compared as it
+is; others are split on. In a bucket too large, the sets that share CENTRAL or more of its tokens on
+average can't be told apart by splitting: they are compared with all of the bucket and leave it, and
+so every bucket comes to an end, without a cap on depth or size. Runs are added until a pair at the
+threshold shares a bucket with probability RECALL at the deepest level that any bucket reached.
+
+Compared are min-hashes, in tiles of at most TILE by TILE sets, and what may be similar (LOOSE) is
+linked loosely. The sets that loose links connect then come together once, again in tiles, and every
+pair of them is verified by its exact Jaccard similarity, so a pair that no bucket held is found too
+if others connect it.
 
 At scale: pairs are never written down; a tile gives back a spanning forest and each set's number of
-links. Whole shingle sets travel once, and only those with a loose link. A bucket or component of
-any size is spread over tiles; nothing is capped. Shingles are compared by 64-bit hashes.
+links. A walk carries two integers a row. Whole shingle sets travel once, and only those with a
+loose link. A bucket or component of any size is spread over tiles, which are bounded in sets and in
+shingles; nothing is capped. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import base
@@ -30,15 +37,34 @@ from palimpsest.llm import base
 WORDS = 5
 THRESHOLD = 0.8
 COORDS = 48
-DEPTH = 3
 SMALL = 64
 TILE = 1000
+#: Shingles of a block, on average at most; two blocks make a tile.
+TILE_SHINGLES = 2_000_000
 RECALL = 0.999
-#: Runs that give RECALL to a pair at the threshold that is split DEPTH times.
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**DEPTH))
+#: How often a node samples a second coordinate, so that a pair at the threshold meets in one child on average.
+SECOND = 1 / THRESHOLD - 1
+#: Coordinates by which a set is compared with a bucket as a whole, and the mean share of the bucket that makes it central.
+PROBES = 8
+CENTRAL = THRESHOLD - 0.1
 #: Estimated similarity from which sets are linked loosely: four standard errors under the threshold.
 LOOSE = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDS)
 
+
+
+def survival(depth: int) -> float:
+    """Probability that a pair at the threshold still shares a bucket after so many splits."""
+    u = 1.0
+    for _ in range(depth):
+        u = 1 - (1 - THRESHOLD * u) * (1 - SECOND * THRESHOLD * u)
+    return u
+
+
+def runs_for(depth: int) -> int:
+    """Runs that give such a pair RECALL."""
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - survival(depth))) if depth else 1
+
+
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(0, 1 << 63, COORDS, np.uint64)
@@ -102,7 +128,7 @@ def _signed(batches: Iterator) -> Iterator:
             sets = [shingles(t) for t in part.column(2).to_pylist()]
             digest = pa.array([_digest(h) if len(h) else None for h in sets], pa.binary())
             sig = pa.array([signature(h).tobytes() if len(h) else None for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), digest, sig], ["doc_id", "mark", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), digest, sig, pa.array([len(h) for h in sets], pa.int64())], ["doc_id", "mark", "digest", "sig", "size"])
 
 
 def _filled(batches: Iterator) -> Iterator:
@@ -111,7 +137,7 @@ def _filled(batches: Iterator) -> Iterator:
     for batch in batches:
         for part in base.slices(batch, 1):
             sets = [shingles(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([_digest(h) if len(h) else None for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["k_doc_id", "k_digest", "own"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(h) if len(h) else None for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["k_doc_id", "k_digest", "own"])
 
 
 def _forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -199,64 +225,113 @@ def _exact(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1, 2)], ["a", "b", "n"])
 
 
-def _tiles(rows: DataFrame, key: str, size: str, payload: str) -> DataFrame:
-    """Rows dealt to tiles of their group: a group of up to TILE is one tile, a larger one's blocks meet in pairs."""
-    blocks = F.ceil(F.col(size) / TILE).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    tile = F.xxhash64(key, lo, hi)
-    dealt = dealt.select(tile.alias("tile"), "rid", payload, (F.col("block") == F.col("other")).alias("same"), (F.col("block") == hi).cast("int").alias("side"))
+def _tiles(rows: DataFrame, key: str, payload: str, blocks: Column, central: Column | None = None) -> DataFrame:
+    """Rows dealt to the tiles of their group: its blocks meet in pairs. With ``central``, blocks of rows that aren't meet only
+    those of rows that are; ``mixed`` tells if a group has both."""
+    side = F.lit(0) if central is None else F.when(central, 0).otherwise(1)
+    dealt = rows.withColumns({"blocks": blocks.cast("int"), "kind": side})
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    if central is not None:
+        both = (F.col("kind") == 0) & F.col("mixed")
+        dealt = dealt.withColumn("met_kind", F.explode(F.when(both, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    else:
+        dealt = dealt.withColumn("met_kind", F.lit(0))
+    own, other = F.struct("kind", "block"), F.struct(F.col("met_kind").alias("kind"), F.col("met").alias("block"))
+    lo, hi = F.least(own, other), F.greatest(own, other)
+    tile = F.xxhash64(key, lo["kind"], lo["block"], hi["kind"], hi["block"])
+    dealt = dealt.select(tile.alias("tile"), "rid", payload, (own == other).alias("same"), (own == hi).cast("int").alias("side"))
     return dealt.repartition("tile").sortWithinPartitions("tile", "rid")
 
 
+def _token(path: str, seed: int) -> Column:
+    """The path to the child that a set (``sig``) goes to from a node by the coordinate that the node samples under a seed."""
+    k = F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(COORDS)).cast("int")
+    return F.xxhash64(path, k, F.substring(F.col("sig"), k * 4 + 1, F.lit(4)))
+
+
+def _children(rows: DataFrame) -> DataFrame:
+    """rid, path of each set (rid, sig, path) in each child that it goes to."""
+    more = F.pmod(F.xxhash64("path", F.lit(5)), F.lit(1 << 20)) < int(SECOND * (1 << 20))
+    made = rows.select("rid", _token("path", 7).alias("one"), F.when(more, _token("path", 8)).alias("two"))
+    return made.select("rid", F.explode(F.when(F.col("two").isNull() | (F.col("one") == F.col("two")), F.array("one")).otherwise(F.array("one", "two"))).alias("path"))
+
+
+def _central(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """rid, path, n, sig, central of the sets in buckets too large."""
+    rows = base.save(big.join(sets.select("rid", "sig"), "rid"), "big")
+    tokens = rows.select("rid", "path", "n", F.explode(F.array(*(_token("path", 100 + k) for k in range(PROBES)))).alias("token"))
+    times = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    share = base.attach(tokens, times, ["token"], "times").groupBy("rid", "path").agg((F.sum(F.col("times") / F.col("n")) / PROBES).alias("share"))
+    out = base.save(rows.join(share, ["rid", "path"]).withColumn("central", F.col("share") >= CENTRAL).drop("share"), "central")
+    base.drop(rows)
+    return out
+
+
+def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], int]:
+    """Runs ``first`` to ``last``: the buckets to compare (rid, path, n, central, mixed), and how deep the deepest of them lies."""
+    starts = sets.select("rid", "sig", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run")).select("rid", "sig", F.xxhash64("run").alias("path"))
+    rows, found, depth = _children(starts), [], 0
+    while True:
+        depth += 1
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = base.save(base.attach(rows, sizes, ["path"], "n").where("n > 1"), f"walk{depth}")
+        found.append(met.where(F.col("n") <= SMALL).withColumns({"central": F.lit(True), "mixed": F.lit(False)}))
+        big = met.where(F.col("n") > SMALL)
+        if not big.head(1):
+            return found, depth
+        big = _central(big, sets)
+        some = big.where("central").select("path").distinct()
+        found.append(big.join(some, "path", "left_semi").select("rid", "path", "n", "central", F.lit(True).alias("mixed")))
+        rows = _children(big.where("NOT central").select("rid", "sig", "path"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id, set_id, set_size, n_links, mark, first.
 
     set_id is the least doc_id with the same shingle set and set_size their number; n_links is the number of other sets
     with a Jaccard similarity of THRESHOLD or more; class_id is the least doc_id that links lead to; first marks the
     row of each class with that doc_id (of several such, one). A null or wordless text is a class of its own. Rows that repeat a doc_id count like others; a null
-    doc_id is never the least unless all are null. An empty table gives an empty result.
+    doc_id is never the least unless all are null. An empty table gives an empty result. A doc_id of any type that sorts will do.
     """
     docs = docs.select("doc_id", "text")
-    signed = docs.select("doc_id", base.by_id().alias("mark"), "text").mapInArrow(_signed, "doc_id long, mark long, digest binary, sig binary")
+    kind = base.id_type(docs)
+    signed = docs.select("doc_id", base.by_id().alias("mark"), "text").mapInArrow(_signed, f"doc_id {kind}, mark long, digest binary, sig binary, size long")
     signed = base.save(signed.withColumn("rid", F.monotonically_increasing_id()), "signed")
-    least = F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     sets = signed.where("digest is not null").groupBy("digest").agg(
-        F.count(F.lit(1)).alias("set_size"), least.alias("set_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("head"), F.min("rid").alias("rep"), F.min_by("doc_id", "rid").alias("rep_doc"), F.min_by("sig", "rid").alias("sig")
+        F.count(F.lit(1)).alias("set_size"), F.min(order).alias("least"), F.min(F.struct("rid", "doc_id", "sig", "size")).alias("rep")
     )
-    sets = base.save(sets, "sets")
-    coords = F.array(*(F.conv(F.hex(F.substring("sig", 4 * k + 1, 4)), 16, 10).cast("long") for k in range(COORDS)))
-    walk = sets.select(F.col("rep").alias("rid"), coords.alias("c")).select("rid", "c", F.explode(F.sequence(F.lit(1), F.lit(RUNS))).alias("run"))
-    walk = walk.withColumn("path", F.xxhash64("run"))
-    step = lambda df: df.withColumn("path", F.xxhash64("path", F.get("c", F.pmod(F.xxhash64("path", F.lit(7)), F.lit(COORDS)).cast("int"))))
-    leaves, open_rows = None, step(walk)
-    for depth in range(1, DEPTH + 1):
-        sizes = open_rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = base.save(base.attach(open_rows, sizes, ["path"], "n").where("n > 1"), f"walk{depth}")
-        leaf = met.where(F.lit(depth == DEPTH) | (F.col("n") <= SMALL)).select("rid", "path", "n")
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        open_rows = step(met.where(F.col("n") > SMALL).drop("n"))
-    carried = leaves.join(sets.select(F.col("rep").alias("rid"), "sig"), "rid")
-    loose = _tiles(carried, "path", "n", "sig").mapInArrow(_loose, "a long, b long")
+    sets = base.save(sets.select("digest", "set_size", F.col("least.doc_id").alias("set_id"), F.col("least.rid").alias("head"), F.col("rep.rid").alias("rid"), F.col("rep.doc_id").alias("rep_doc"), F.col("rep.sig").alias("sig"), F.col("rep.size").alias("size")), "sets")
+    done, need, leaves = 0, runs_for(1), []
+    while done < need:
+        found, depth = _walk(sets, done + 1, need)
+        leaves += found
+        done, need = need, max(need, runs_for(depth))
+    met = functools.reduce(DataFrame.unionByName, leaves)
+    carried = met.join(sets.select("rid", "sig"), "rid")
+    loose = _tiles(carried, "path", "sig", F.ceil(F.col("n") / TILE), F.col("central")).mapInArrow(_loose, "a long, b long")
     comp = base.components(loose)
-    sized = base.attach(comp, comp.groupBy("root").agg(F.count(F.lit(1)).alias("n")), ["root"], "n")
-    need = base.save(sized.join(sets.select(F.col("rep").alias("node"), "rep_doc", "digest"), "node").select(F.col("node").alias("rid"), "root", "n", "rep_doc", "digest"), "need")
-    few = need.count() <= base.BROADCAST_ROWS
-    ids = need.select(F.col("rep_doc").alias("k")).distinct()
+    wide = comp.join(sets.select(F.col("rid").alias("node"), "rep_doc", "digest", "size"), "node")
+    sized = base.attach(wide, wide.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), ["root"], "n")
+    blocks = F.ceil(F.greatest(F.col("n") / TILE, F.col("total") / TILE_SHINGLES))
+    need_rows = base.save(sized.select(F.col("node").alias("rid"), "root", blocks.alias("n"), "rep_doc", "digest"), "need")
+    few = need_rows.count() <= base.BROADCAST_ROWS
+    ids = need_rows.select(F.col("rep_doc").alias("k")).distinct()
     wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(F.col("k")), "left_semi").select("doc_id", "text")
-    own = wanted.mapInArrow(_filled, "k_doc_id long, k_digest binary, own binary")
-    full = own.join(need, F.col("k_doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("k_digest") == F.col("digest"))).dropDuplicates(["rid"])
-    found = base.save(_tiles(full, "root", "n", "own").mapInArrow(_exact, "a long, b long, n long"), "links")
-    exact = base.components(found.where("b is not null").select("a", "b"))
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-    known = sets.join(exact.select(F.col("node").alias("rep"), "root"), "rep", "left").join(links, "rep", "left")
-    known = known.select("digest", "set_size", "set_id", "head", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    tops = known.groupBy("root").agg(F.min_by("set_id", F.struct(F.col("set_id").isNull(), "set_id", "rep")).alias("class_id"), F.min_by("head", F.struct(F.col("set_id").isNull(), "set_id", "head")).alias("first_row"), F.count(F.lit(1)).alias("sets"))
-    known = base.save(base.attach(known, tops, ["root"], "sets").drop("root", "sets"), "known")
+    own = wanted.mapInArrow(_filled, f"k_doc_id {kind}, k_digest binary, own binary")
+    full = own.join(need_rows, F.col("k_doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("k_digest") == F.col("digest"))).dropDuplicates(["rid"])
+    links = base.save(_tiles(full, "root", "own", F.col("n")).mapInArrow(_exact, "a long, b long, n long"), "links")
+    exact = base.components(links.where("b is not null").select("a", "b"))
+    counts = links.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n_links"))
+    known = sets.join(exact.select(F.col("node").alias("rid"), "root"), "rid", "left").join(counts, "rid", "left")
+    known = known.select("digest", "set_size", "set_id", "head", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    tops = known.groupBy("root").agg(F.min(F.struct(F.col("set_id").isNull().alias("none"), "set_id", "head")).alias("top"), F.count(F.lit(1)).alias("sets"))
+    known = base.save(base.attach(known, tops, ["root"], "sets").select("digest", "set_size", "set_id", "n_links", F.col("top.set_id").alias("class_id"), F.col("top.head").alias("first_row")), "known")
     some = base.attach(signed.where("digest is not null").select("digest", "doc_id", "mark", "rid"), known, ["digest"], "set_size")
     some = some.select("doc_id", "class_id", "set_id", "set_size", "n_links", "mark", (F.col("rid") == F.col("first_row")).alias("first"))
     none = signed.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("set_size"), F.lit(0).cast("long").alias("n_links"), "mark", F.lit(True).alias("first"))
+    base.drop(*leaves, sets, need_rows, links)
     return some.unionByName(none)
 
 

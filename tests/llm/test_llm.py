@@ -153,6 +153,43 @@ def test_chosen_path(docs, tile, monkeypatch):
     assert chosen_path.join(empty(docs)).count() == 0
 
 
+def test_chosen_path_splits_to_the_end(spark, monkeypatch):
+    """Large buckets: a passage that many share, and a large group of near copies; links of ids divisible by 20 against all rows."""
+    monkeypatch.setattr(chosen_path, "SMALL", 2)
+    monkeypatch.setattr(chosen_path, "TILE", 40)
+    monkeypatch.setattr(chosen_path, "TILE_SHINGLES", 3000)
+    r = random.Random(31)
+    passage, seed, rows = prose(60, r), prose(120, r).split(), []
+    for i in range(160):
+        rows.append((i, f"{passage} {prose(60, r)}"))
+    for i in range(160, 280):
+        w = list(seed)
+        w[r.randrange(120)] = f"w{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(280, 600):
+        if i % 2:
+            w = rows[-1][1].split()
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(len(w))] = f"v{i}"
+            rows.append((i, " ".join(w)))
+        else:
+            rows.append((i, prose(100, r)))
+    sets = {i: set(chosen_path.shingles(t).tolist()) for i, t in rows}
+    near = {(i, j) for i in sets for j in sets if i < j and (i % 20 == 0 or j % 20 == 0) and sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {x.doc_id: x for x in chosen_path.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = sum(got[i].class_id == got[j].class_id for i, j in near)
+    assert len(near) > 300 and met >= 0.9 * len(near)
+    links = {i: len({frozenset(sets[j]) for j in sets if sets[j] != sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}) for i in sets if i % 20 == 0}
+    assert sum(got[i].n_links == n for i, n in links.items()) >= 0.9 * len(links)
+    assert all(got[i].class_id == i and got[i].n_links == 0 for i in range(160))
+
+
+def test_survival_and_runs():
+    assert chosen_path.survival(0) == 1 and abs(chosen_path.survival(1) - (1 - 0.2 * 0.8)) < 1e-9
+    for depth in (1, 3, 8):
+        assert 1 - (1 - chosen_path.survival(depth)) ** chosen_path.runs_for(depth) >= chosen_path.RECALL
+
+
 def test_shingles_are_of_words():
     same = lambda a, b: chosen_path.shingles(a).tolist() == chosen_path.shingles(b).tolist()
     assert same("One, two three FOUR five six", "one two  three four. five six\n") and not same("a b c d e f", "a b c d e g")
@@ -307,6 +344,36 @@ def test_pii_network(docs):
     assert first == [("email", 3001, 3007)] and set(first) <= set(every)
 
 
+def test_pii_find_as_a_whole(spark):
+    """find() against spans put together here, and how well the net finds values that it hasn't seen."""
+    net, lines = pii.standard(), pii.labelled(150, seed=77)
+    docs = spark.createDataFrame([(f"d{i}", t) for i, (t, _) in enumerate(lines)] + [("none", None), ("none", "")], "doc_id string, text string")
+    got = {}
+    for x in pii.find(docs, net).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in x.spans.split(",") if s)]
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(s[0] == k for s in spans) for k in pii.KINDS]
+        assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        got[x.doc_id] = spans, x.base_sha256
+    right = said = wanted = 0
+    for i, (text, gold) in enumerate(lines):
+        import re
+
+        first = [(k, m.start(), m.end()) for k in pii.KINDS for m in re.finditer(pii.PATTERNS[k], text) if pii._valid(k, m.group())]
+        spans, digest = got[f"d{i}"]
+        assert digest == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in first).encode()).hexdigest() and set(first) <= set(spans)
+        for k, a, b in set(spans) - set(first):
+            digits = re.sub("[^0-9]", "", text[a:b])
+            assert k == "email" or all(int(x) <= 255 for x in re.findall("[0-9]+", text[a:b])) if k != "card" and k != "phone" else len(digits) >= 9
+            assert k != "card" or pii._luhn(digits)
+        right += len(set(spans) & set(gold))
+        said += len(spans)
+        wanted += len(gold)
+    assert got["none"] == ([], hashlib.sha256(b"").hexdigest())
+    assert right >= 0.85 * said and right >= 0.8 * wanted
+    for text in ("host 300.1.1.1 down", "pay 1234 5678 9012 3456 now"):
+        assert pii.spans_of(net, text) == ([], [])
+
+
 def test_pii_decodes_all_that_can_hold_a_span(monkeypatch):
     net, r = pii.standard(), random.Random(7)
     for value in ("jane.doe[at]example[dot]org", "tom_lind(at)webpost.de"):
@@ -322,24 +389,66 @@ def test_pii_decodes_all_that_can_hold_a_span(monkeypatch):
     assert some == [pii.spans_of(net, t) for t in texts]
 
 
-def test_fixity(spark):
-    rows = [(f, i, f"record {f} {i}") for f in range(3) for i in range(40)] + [(7, None, None), (7, None, None)]
-    first = spark.createDataFrame(rows, "file int, record_id long, record string")
+def brute_audit(first, second):
+    """(file, record_id, state) of rows (file, record_id, record): same id and content match, the rest of an id has changed."""
+    one, two = (Counter((f, i, t or "") for f, i, t in x) for x in (first, second))
+    gone, new = (Counter((f, i) for (f, i, _), n in x.items() for _ in range(n)) for x in (one - two, two - one))
+    changed = gone & new
+    return Counter({(*k, "changed"): n for k, n in changed.items()} | {(*k, "missing"): n for k, n in (gone - changed).items()} | {(*k, "added"): n for k, n in (new - changed).items()})
+
+
+def audited(got):
+    return Counter((r.file, r.b_record_id if r.state == "added" else r.a_record_id, r.state) for r in got.collect())
+
+
+@pytest.mark.parametrize("fan", [16, 3])
+def test_fixity(spark, fan, monkeypatch):
+    monkeypatch.setattr(fixity, "FAN", fan)
+    r = random.Random(12)
+    rows = [(f, i, f"record {f} {i} {'x' * (i % 7)}", "h") for f in range(3) for i in range(100)] + [(7, None, None, "h"), (7, None, None, "h"), (7, None, "x", "h"), (8, 4, "same id", "h"), (8, 4, "same id", "h"), (8, 4, "other", "h")]
+    schema = "file int, record_id long, record string, hash string"
+    first = spark.createDataFrame(rows, schema)
     assert fixity.audit(first, first).count() == 0 and fixity.audit(first.limit(0), first.limit(0)).count() == 0
-    other = [(f, i, "Record 1 5" if (f, i) == (1, 5) else t) for f, i, t in rows if (f, i) != (2, 39)]
-    got = {(r.file, r.state, r.a_record_id) for r in fixity.audit(first, spark.createDataFrame(other, first.schema)).collect()}
-    assert got == {(1, "changed", 5), (2, "missing", 39)}
-    more = spark.createDataFrame([*rows, (9, 1, "new")], first.schema)
-    assert {(r.file, r.state, r.b_record_id) for r in fixity.audit(first, more).collect()} == {(9, "added", 1)}
+    cases = [[x for x in rows if x[:2] != (1, k)] for k in (0, 50, 99)] + [[*rows, (0, k, "new", "h")] for k in (-1, 50, 500)]
+    messy = [x for x in rows if r.random() > 0.05] + [(f, r.randrange(120), "extra", "h") for f in (0, 1) for _ in range(4)] + [(9, 1, "new file", "h")]
+    messy = [(f, i, t + "!" if t and r.random() < 0.05 else t, h) for f, i, t, h in messy if (f, i) != (2, 0)]
+    for other in [cases[1], cases[4], messy] if fan == 3 else [*cases, messy, []]:
+        got = audited(fixity.audit(first, spark.createDataFrame(other, schema)))
+        assert got == brute_audit([x[:3] for x in rows], [x[:3] for x in other])
+    lost = fixity.audit(first, spark.createDataFrame(cases[1], schema)).collect()
+    assert [(x.state, x.a_record_id, x.a_pos, x.b_pos) for x in lost] == [("missing", 50, 50, None)]
 
 
 def test_fixity_query(spark, tmp_path):
     import zlib
 
     page = "page_id long, url string, html string"
-    spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" if i % 50 else None) for i in range(600)], page).write.parquet(str(tmp_path / "pages.parquet"))
-    got = {r.page_id for r in fixity.op7_fixity(spark, str(tmp_path)).collect() if r.corrupt}
-    assert got == {i for i in range(600) if zlib.crc32(str(i).encode()) % 97 == 3 and i % 50} and got
+    pages = [(i, f"http://h/{i}", f"<p>{i}</p>" if i % 50 else None) for i in range(600)] + [(None, "http://none", "x"), (5, "http://h/5", "<p>5</p>")]
+    spark.createDataFrame(pages, page).write.parquet(str(tmp_path / "pages.parquet"))
+    want = Counter()
+    for i, _, html in pages:
+        r = zlib.crc32(str(i).encode()) % 97 if i is not None else 0
+        want[i, "missing" if r == 5 else "changed" if r in (3, 7) and html else "intact"] += 1
+        want[i, "added"] += r == 11
+    got = Counter((x.page_id, x.state) for x in fixity.op7_fixity(spark, str(tmp_path)).collect())
+    assert got == +want and {s for _, s in got} == {"intact", "changed", "missing", "added"}
+    spark.createDataFrame([], page).write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert fixity.op7_fixity(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ids_come_back_as_they_are(spark, tmp_path):
+    """A doc_id that is a string, in every operator that carries it."""
+    r = random.Random(14)
+    rows = [(f"a{i}", prose(30, r), ["en", "de"][i % 2], i % 2, int(i % 5 == 0)) for i in range(40)] + [("a3", None, None, 1, 0), (None, prose(9, r), "en", None, None)]
+    t = spark.createDataFrame(rows, "doc_id string, text string, lang string, quality int, toxic int")
+    ids = Counter(x[0] for x in rows)
+    model = toxicity.learn(t, t.select("doc_id", "toxic"))
+    made = [toxicity.score(t, model), quality.score(t, quality.learn(t, t.select("doc_id", "quality"))), language_id.predict(t, language_id.learn(t, F.lit(True))), pii.find(t, pii.standard()), exact_dedup.dedup(t), chosen_path.join(t), suffix_dedup.remove(t)]
+    if (P := pytest.importorskip("public_tokenizers")) is not None:
+        made.append(byte_bpe.digests(t, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN))
+    for df in made:
+        assert Counter(x.doc_id for x in df.select("doc_id").collect()) == ids
+    assert toxicity.not_toxic(t, model).columns == t.columns
 
 
 def test_components(spark):
@@ -364,5 +473,9 @@ def test_pipeline(spark, tmp_path):
     rows += [(500, rows[1][1]), (501, rows[1][1] + " "), (502, rows[2][1] + " tail"), (503, f"{prose(30, r)} {passage} {prose(30, r)}"), (504, None)]
     for name, data, schema in (("documents", rows, "doc_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", [(1, passage)], "item_id long, text string")):
         spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    none = tmp_path / "none"
+    for name, schema in (("documents", "doc_id long, text string, k_id long, mark string"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(none / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
     left = {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert left == {i for i in range(240) if i % 6 and i not in (1, 2)} | {501, 2, 504}
