@@ -1,28 +1,36 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions alone.
 
-An item's words give a set of five-word shingles (an item of fewer words: one shingle of them all).
-Items are partitioned by the size of that set. In the partition of size n an item's sketch is its m
-shingles of least hash, with m = n - ceil(threshold * n) + 1. A document that holds at least
-ceil(threshold * n) of the n shingles misses m - 1 at most, so it holds one of the sketch: the
-search loses nothing, however long the document. Documents that meet a sketch are verified by the
-exact share of the item's shingles, as texts, that they hold.
-
-At scale: one pass over the documents' shingles, each an 8-byte hash that probes a broadcast of the
-sketches, which is used up to BROADCAST hashes; a larger benchmark is joined in a shuffle instead.
-Only documents that met a sketch are read again, with the items that they met.
+An item's words give a set of n five-word shingles (an item of fewer words: one shingle of them all).
+Items are partitioned by n into bands that double in size. A band has one sketch size: as many
+shingles as its largest item may miss, and one in SPARE of that size more. An item's MinHash sketch is
+that many of its shingles with the least hashes, those that few items share before others. The share
+of a sketch that a document holds estimates the containment; whatever the document's length, one
+that holds the threshold's share of an item hits its sketch at least so many times as the sketch has
+more shingles than the item may miss. So asking for these hits loses nothing. What has them is
+verified by the exact share of the item's shingles, as texts, that the document holds.
+
+At scale: one pass over the documents' shingles, all widths at once, each an 8-byte hash that probes a
+broadcast of the sketches, which is used up to BROADCAST hashes; a larger benchmark is joined in a
+shuffle instead, in which a shingle that very many documents hold is split. Only documents with a
+candidate are read again, and only shingles that their candidates have are counted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import base
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Sketch hashes (16 bytes each with the item) that are broadcast at most.
+#: A band's sketches have one spare shingle for so many of its largest item's, and so many hits more are asked for.
+SPARE = 16
+#: Items may share a shingle this often before it goes to the end of a sketch's order.
+COMMON = 8
+#: Sketch hashes (12 bytes each with the width) that are broadcast at most, and bytes of shingle texts.
 BROADCAST = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -39,23 +47,32 @@ def _shingles(w: Column, width: Column | int) -> Column:
 
 def _hashes(width: int) -> Column:
     """64-bit hashes of the shingles, from those of the words in ``h0``; equal shingles have equal hashes."""
-    out = F.col("h0")
-    for k in range(1, width):
-        out = F.zip_with(out, F.slice("h0", k + 1, F.greatest(F.size("h0") - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.slice(out, 1, F.greatest(F.size("h0") - (width - 1), F.lit(0)))
-
-
-def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, width, n (its shingles), shingles (texts), sketch (hashes) of each item that has a word."""
-    w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    w = w.withColumn("width", F.least(F.size("w"), F.lit(WORDS)))
-    w = w.withColumn("shingles", F.array_distinct(_shingles(F.col("w"), F.col("width")))).withColumn("n", F.size("shingles"))
-    hashed = None
+    n = F.size("h0") - width + 1
+    one = lambda i: F.xxhash64(*(F.get("h0", i + k) for k in range(width)))
+    return F.when(n < 1, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one))
+
+
+def sketches(items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(item_id, key, width, n, band, size, hits of each item that has a word; key, width, shingle, h, sketched of its
+    shingles). ``key`` tells items of one id and different texts apart."""
+    w = items.select("item_id", F.monotonically_increasing_id().alias("key"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = base.save(w.withColumn("width", F.least(F.size("w"), F.lit(WORDS))), "items")
+    rows = None
     for k in range(1, WORDS + 1):
-        part = w.where(F.col("width") == k).withColumn("h0", F.transform("w", lambda x: F.xxhash64(x))).withColumn("h", F.array_sort(F.array_distinct(_hashes(k))))
-        hashed = part if hashed is None else hashed.unionByName(part)
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    return hashed.select("item_id", "width", "n", "shingles", F.slice("h", 1, keep).alias("sketch"))
+        h0 = w.where(F.col("width") == k).withColumn("h0", F.transform("w", lambda x: F.xxhash64(x)))
+        part = h0.select("item_id", "key", "width", F.explode(F.arrays_zip(_shingles(F.col("w"), k).alias("shingle"), _hashes(k).alias("h"))).alias("x"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = base.save(rows.select("item_id", "key", "width", "x.shingle", "x.h").dropDuplicates(["key", "shingle"]), "item_shingles")
+    miss = lambda n: n - F.ceil(F.lit(threshold) * n - 1e-9)
+    sized = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("band", F.floor(F.log2("n") + 1e-9).cast("int"))
+    top = F.pow(F.lit(2), F.col("band") + 1) - 1
+    sized = sized.withColumn("size", F.least(F.col("n"), miss(top) + F.greatest(F.lit(1), F.floor(top / SPARE))).cast("int"))
+    sized = sized.withColumn("hits", F.col("size") - miss(F.col("n")))
+    shared = rows.groupBy("width", "h").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > COMMON)
+    ranked = rows.join(shared, ["width", "h"], "left").join(sized.select("key", "size"), "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("items").isNotNull(), "h", "shingle"))
+    ranked = ranked.withColumn("sketched", place <= F.col("size")).select("item_id", "key", "width", "shingle", "h", "sketched")
+    return rows.select("item_id", "key", "width").distinct().join(sized, "key"), ranked
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -67,44 +84,47 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return _met(docs, items, threshold).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
+def _exploded(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, t (hash of the text), width, h of every shingle of every document, for all widths in one pass."""
+    h0 = docs.select("doc_id", F.xxhash64("text").alias("t"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h0"))
+    named = lambda k: F.transform(_hashes(k), lambda h: F.struct(F.lit(k).alias("width"), h.alias("h")))
+    every = [named(k) for k in widths]
+    return h0.select("doc_id", "t", F.explode(F.concat(*every) if len(every) > 1 else every[0]).alias("x")).select("doc_id", "t", "x.width", "x.h")
+
+
 def _met(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """As contaminated(), with the hash t of the text that holds the item; a row for each text."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    found = base.save(sketches(items.select("item_id", "text").distinct(), threshold), "sketches")
-    probes = found.select("item_id", "width", F.explode("sketch").alias("h"))
-    size = probes.agg(F.count(F.lit(1)), F.collect_set("width")).first()
-    probe = F.broadcast(probes.select("width", "h").distinct()) if size[0] <= BROADCAST else probes.select("width", "h").distinct()
-    base_docs = docs.select("doc_id", "text")
-    w = base_docs.select("doc_id", "text", words(F.col("text")).alias("w"))
-    hits = None
-    for k in sorted(size[1]):
-        part = w.select("doc_id", F.xxhash64("text").alias("t"), F.transform("w", lambda x: F.xxhash64(x)).alias("h0"))
-        part = part.select("doc_id", "t", F.lit(k).alias("width"), F.explode(_hashes(k)).alias("h"))
-        part = part.join(probe, ["width", "h"])
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        return base_docs.select("doc_id", F.xxhash64("text").alias("t"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("containment")).limit(0)
-    hits = base.save(hits.distinct(), "hits")
-    few = hits.count() <= BROADCAST
-    met = hits.select("doc_id", "t", "width", "h")
-    ids = met.select(F.col("doc_id").alias("m"), F.col("t").alias("mt")).distinct()
-    again = base_docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("m")) & (F.xxhash64("text") == F.col("mt")), "left_semi").distinct()
-    pairs = met.join(F.broadcast(probes) if size[0] <= BROADCAST else probes, ["width", "h"]).select("doc_id", "t", "item_id", "width").distinct()
-    return _verified(again, pairs, found, threshold, size[0] <= BROADCAST)
-
-
-def _verified(texts: DataFrame, pairs: DataFrame, found: DataFrame, threshold: float, small: bool) -> DataFrame:
-    split = texts.select("doc_id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w"))
-    parts = None
-    for k in range(1, WORDS + 1):
-        part = split.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), F.array_distinct(_shingles(F.col("w"), k)).alias("has"), F.lit(k).alias("dw"))
-        parts = part if parts is None else parts.unionByName(part)
-    wide = found.select(F.col("item_id").alias("i"), "n", "shingles")
-    both = pairs.join(F.broadcast(wide) if small else wide, F.col("item_id").eqNullSafe(F.col("i")))
-    met = both.join(parts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")) & (F.col("width") == F.col("dw")))
-    share = F.size(F.array_intersect("shingles", "has")) / F.col("n")
-    return met.select("doc_id", "t", "item_id", share.alias("containment")).where(F.col("containment") >= threshold - 1e-9)
+    known, shingle_rows = sketches(items.select("item_id", "text").distinct(), threshold)
+    known, shingle_rows = base.save(known, "bands"), base.save(shingle_rows, "sketches")
+    docs = docs.select("doc_id", "text")
+    widths = sorted(r.width for r in known.select("width").distinct().collect())
+    if not widths:
+        return docs.select("doc_id", F.xxhash64("text").alias("t"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("containment")).limit(0)
+    probes = base.save(shingle_rows.where("sketched").select("width", "h", "key"), "probes")
+    size = shingle_rows.agg(F.count_if("sketched"), F.sum(F.octet_length("shingle") + 32)).first()
+    probe = base.save(probes.select("width", "h").distinct(), "probe")
+    small, light = size[0] <= BROADCAST, size[1] <= BROADCAST_BYTES
+    hits = base.save(_exploded(docs, widths).join(F.broadcast(probe) if small else probe, ["width", "h"]).distinct(), "hits")
+    found = hits.join(F.broadcast(probes) if small else probes, ["width", "h"]).groupBy("doc_id", "t", "key").agg(F.count(F.lit(1)).alias("got"))
+    rule = known.select("key", "item_id", "width", "n", "hits")
+    pairs = base.save(found.join(F.broadcast(rule) if light else rule, "key").where(F.col("got") >= F.col("hits")).select("doc_id", "t", "key", "item_id", "width", "n"), "pairs")
+    return _verified(docs, pairs, shingle_rows.select("key", "shingle"), threshold, light)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, shingle_rows: DataFrame, threshold: float, light: bool) -> DataFrame:
+    """Of the candidate pairs those whose document holds the threshold's share of the item's shingles, compared as texts."""
+    asked = pairs.groupBy("doc_id", "t").agg(F.collect_set("width").alias("widths")).select(F.col("doc_id").alias("m"), F.col("t").alias("mt"), "widths")
+    few = pairs.count() <= BROADCAST
+    texts = docs.join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("m")) & (F.xxhash64("text") == F.col("mt"))).select("doc_id", F.col("mt").alias("t"), "widths", words(F.col("text")).alias("w"))
+    has = texts.select("doc_id", "t", F.explode(F.flatten(F.transform("widths", lambda k: _shingles(F.col("w"), k)))).alias("shingle"))
+    every = shingle_rows.select("shingle").distinct()
+    has = has.join(F.broadcast(every) if light else every, "shingle", "left_semi").distinct().select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), F.col("shingle").alias("s"))
+    wanted = pairs.join(F.broadcast(shingle_rows) if light else shingle_rows, "key")
+    both = wanted.join(has, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")) & (F.col("shingle") == F.col("s")))
+    share = both.groupBy("doc_id", "t", "item_id", "key", "n").agg(F.count(F.lit(1)).alias("got")).withColumn("containment", F.col("got") / F.col("n"))
+    return share.where(F.col("containment") >= threshold - 1e-9).select("doc_id", "t", "item_id", "containment")
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
