@@ -9,7 +9,7 @@ models that didn't see the row, so a later link meets the errors that it will me
 
 At scale: the sample to learn from is bounded (MOST rows of each label, as bags of hashes made on the
 executors, and fitted in one task there); scoring is one pass without a shuffle over whole texts. A worker adds up the weights of
-a text's distinct words, looked up in a bounded cache.
+a text's distinct words, looked up in a bounded cache. To drop texts, the text alone goes to Python, and a number comes back.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from palimpsest.llm import base
 
@@ -34,8 +35,8 @@ FOLDS = 4
 MOST = 4000
 #: A word or stem counts if it is in so large a share of the toxic texts, and so many times as often as in clean ones.
 LEAST, LIFT = 0.005, 8
-#: Words a worker remembers; beyond that it starts afresh.
-CACHE = 300_000
+#: Characters of words that a worker remembers; beyond that it starts afresh.
+CACHE = 2_000_000
 
 _words = re.compile(r"\w+").findall
 
@@ -169,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
     ids = known.where("toxic = 1").orderBy(*order).limit(most).union(known.where("toxic = 0").orderBy(*order).limit(most))
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_bags, "doc_id long, toxic int, own binary, f binary")
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_bags, f"doc_id {base.id_type(docs)}, toxic int, own binary, f binary")
     got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(2 * most).mapInArrow(_fitted, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else train([], np.zeros(0, int))
 
@@ -191,7 +192,28 @@ def _bags(batches: Iterator) -> Iterator:
     for batch in batches:
         for part in base.slices(batch, 1):
             got = [bag(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2).cast(pa.int32()), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([b.tobytes() for _, b in got], pa.binary())], ["doc_id", "toxic", "own", "f"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([b.tobytes() for _, b in got], pa.binary())], ["doc_id", "toxic", "own", "f"])
+
+
+class _Said:
+    """The chain's probabilities for one text after another, words being looked up once while they are remembered."""
+
+    def __init__(self, model: Model):
+        self.model, self.cache, self.held = model, {}, 0
+
+    def __call__(self, text: str | None) -> list[float]:
+        words, cache = set(_words((text or "").lower())), self.cache
+        sums = np.zeros(len(self.model.bias))
+        for w in words:
+            if w not in cache:
+                if self.held > CACHE:
+                    cache.clear()
+                    self.held = 0
+                cache[w] = self.model.word(w)
+                self.held += len(w) + 8
+            if (x := cache[w]) is not None:
+                sums += x
+        return self.model.chain(sums)
 
 
 class _Score:
@@ -201,57 +223,31 @@ class _Score:
     def __call__(self, batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m, cache = self.model, {}
+        say = _Said(self.model)
         for batch in batches:
             for part in base.slices(batch, 1):
-                out = []
-                for t in part.column(1).to_pylist():
-                    words = set(_words((t or "").lower()))
-                    new = [w for w in words if w not in cache]
-                    if len(cache) + len(new) > CACHE:
-                        cache.clear()
-                        new = words
-                    for w in new:
-                        cache[w] = m.word(w)
-                    sums = np.zeros(len(m.bias))
-                    for w in words:
-                        if (x := cache[w]) is not None:
-                            sums += x
-                    out.append(m.chain(sums))
+                out = [say(t) for t in part.column(1).to_pylist()]
                 cols = [pa.array([x[k] for x in out], pa.float64()) for k in range(len(CATEGORIES))]
-                said = pa.array([int(x[-1] >= m.threshold) for x in out], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *cols, said], ["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
+                said = pa.array([int(x[-1] >= self.model.threshold) for x in out], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, said], ["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, p_open, p_coined, p_toxic (0 to 1) and toxic (1 from the threshold that the out-of-fold scores gave) for
     each row. A null text counts as empty; with nothing to learn from no text is toxic."""
-    return docs.select("doc_id", "text").mapInArrow(_Score(model), "doc_id long, p_open double, p_coined double, p_toxic double, toxic int")
+    return docs.select("doc_id", "text").mapInArrow(_Score(model), f"doc_id {base.id_type(docs)}, p_open double, p_coined double, p_toxic double, toxic int")
 
 
 def not_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the chain doesn't reject, with the columns they came with."""
-    marked = docs.mapInArrow(_Keep(model, docs.columns.index("text")), docs.schema)
-    return marked
-
-
-class _Keep:
-    """Rows below the threshold, untouched; the decision needs the text alone, so no join is needed."""
-
-    def __init__(self, model: Model, column: int):
-        self.model, self.column = model, column
-
-    def __call__(self, batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    import pyarrow as pa
 
-        import pyarrow.compute as pc
+    def kept(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        say = _Said(model)
+        for batch in texts:
+            yield pa.array([say(t.as_py())[-1] < model.threshold for t in batch], pa.bool_())
 
-        say = _Score(self.model)
-        for batch in batches:
-            ids = pa.array(range(batch.num_rows), pa.int64())
-            asked = pa.RecordBatch.from_arrays([ids, batch.column(self.column)], ["doc_id", "text"])
-            kept = [x for part in say(iter([asked])) for x in pc.equal(part.column(4), 0).to_pylist()]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+    return docs.where(F.arrow_udf(kept, "boolean", ArrowUDFType.SCALAR_ITER)(docs["text"]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
