@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import base
 from palimpsest.llm.base import slices
 
-#: Pre-tokens a worker remembers; beyond that it starts afresh.
-CACHE = 500_000
+#: Characters of pre-tokens that a worker remembers; beyond that it starts afresh.
+CACHE = 3_000_000
 
 
 def _varint(n: int) -> bytes:
@@ -77,15 +77,18 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.cut = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """New pre-tokens of all texts go to the model in one call, as a call costs far more than a token."""
         cut, cache = [self.cut(t) for t in texts], self.cache
         seen = set().union(*cut)
-        if len(cache) + len(seen) > CACHE:
+        if self.held > CACHE:
             cache.clear()
+            self.held = 0
         hard = []
         for t in [t for t in seen if t not in cache]:
+            self.held += len(t) + 8
             raw = t.encode()
             if (r := self.ranks.get(raw)) is not None:
                 cache[t] = r.to_bytes(4, "little")
@@ -116,12 +119,12 @@ def _codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (binary, little-endian 32-bit), decoded (binary) of each row. A null text counts as empty; special
     tokens are never made. ``path`` names a file of ranks that every executor's installation has."""
-    return docs.select("doc_id", "text").mapInArrow(_Encode(path, pattern, False), "doc_id long, ids binary, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(_Encode(path, pattern, False), f"doc_id {base.id_type(docs)}, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; ids don't leave the worker."""
-    return docs.select("doc_id", "text").mapInArrow(_Encode(path, pattern, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_Encode(path, pattern, True), f"doc_id {base.id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 class _Encode:
@@ -140,7 +143,7 @@ class _Encode:
                     cols = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([sha(x) for x in ids], pa.string()), "decoded_sha256": pa.array([sha(codec.decode(x)) for x in ids], pa.string())}
                 else:
                     cols = {"ids": pa.array(ids, pa.binary()), "decoded": pa.array([codec.decode(x) for x in ids], pa.binary())}
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *cols.values()], ["doc_id", *cols])
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols.values()], ["doc_id", *cols])
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ gradient descent in numpy. A temperature is then fitted on rows that training le
 the confidence under which only REJECT of them that were right fall: below it a text is rejected.
 
 At scale: the sample to learn from is bounded (MOST rows, as bags of at most BUCKETS counts, made on
-the executors); scoring is one pass without a shuffle, in pieces of bounded size, as the layer
+the executors and fitted in one task there); scoring is one pass without a shuffle, in pieces of bounded size, as the layer
 applied to an average of embeddings is the average of the layer's rows for each bucket.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -154,8 +155,20 @@ def learn(docs: DataFrame, allowed: Column, most: int = MOST) -> Model:
     """Fits on a bounded, deterministic sample of the rows of ``docs`` that are allowed and have a language."""
     ids = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.where(allowed & F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang")
-    got = rows.mapInArrow(_bags, "doc_id long, lang string, at binary, n binary").orderBy("doc_id", "lang", "at").limit(most).collect()
-    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32)) for r in got], [r["lang"] for r in got])
+    bags = rows.mapInArrow(_bags, f"doc_id {base.id_type(docs)}, lang string, at binary, n binary")
+    got = bags.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "at").limit(most).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else train([], [])
+
+
+def _fitted(batches: Iterator) -> Iterator:
+    """The model of the rows to learn from, trained where they are: only the model goes to the driver."""
+    import pyarrow as pa
+
+    bags, langs = [], []
+    for batch in batches:
+        langs += batch.column(1).to_pylist()
+        bags += [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(bags, langs))], pa.binary())], ["model"])
 
 
 def _bags(batches: Iterator) -> Iterator:
@@ -164,7 +177,7 @@ def _bags(batches: Iterator) -> Iterator:
     for batch in batches:
         for part in base.slices(batch, 1):
             got = [bag(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], ["doc_id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], ["doc_id", "lang", "at", "n"])
 
 
 class _Predict:
@@ -178,13 +191,13 @@ class _Predict:
             for part in base.slices(batch, 1):
                 got = [self.model.predict(t) if self.model.langs else ("und", 0.0, True) for t in part.column(1).to_pylist()]
                 cols = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *cols], ["doc_id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "lang_pred", "score", "rejected"])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected for each row. Null texts and texts without a letter are ``und`` with score 0;
     so is every text if there was nothing to learn from."""
-    return docs.select("doc_id", "text").mapInArrow(_Predict(model), "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(_Predict(model), f"doc_id {base.id_type(docs)}, lang_pred string, score double, rejected boolean")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

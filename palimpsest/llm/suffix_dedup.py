@@ -8,7 +8,8 @@ whole, and one of them stands for all. Regions that share an anchor but differ g
 a suffix array decides: suffixes are classified, the leftmost-smaller substrings sorted (recursively
 where their names aren't distinct), all suffixes induced from them in two linear scans, and
 common prefixes computed in text order (permuted). A string repeats where a neighbour in the array
-shares SPAN bytes. Found spans go back to all regions that the one stood for.
+shares SPAN bytes. Found spans go back to all regions that the one stood for. That regions are equal as
+a whole is told by the anchor's hash and two more polynomial hashes, 128 mixed bits, not by their bytes.
 
 At scale: a text is cut into anchors where it is read, one for about 70 bytes, and an anchor
 travels as a few integers. Only the regions that differ under one anchor travel as bytes. An anchor
@@ -216,7 +217,7 @@ def _anchored(batches: Iterator) -> Iterator:
             got = [anchors(np.frombuffer((t or "").encode(), np.uint8)) for t in part.column(2).to_pylist()]
             many = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), pa.int32())
             cols = [pa.array(np.concatenate([g[k] for g in got]), pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()).take(many), part.column(1).take(many), *cols], ["doc_id", "mark", "h", "d", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(many), part.column(1).take(many), *cols], ["doc_id", "mark", "h", "d", "lo", "hi"])
 
 
 def _cut(batches: Iterator) -> Iterator:
@@ -269,7 +270,7 @@ def _removed(batches: Iterator) -> Iterator:
 
     for batch in batches:
         for part in base.slices(batch, 2, 1 << 20):
-            ids, texts, spans = part.column(0).cast(pa.int64()), part.column(2).to_pylist(), part.column(3).to_pylist()
+            ids, texts, spans = part.column(0), part.column(2).to_pylist(), part.column(3).to_pylist()
             rows = []
             for text, runs in zip(texts, spans, strict=True):
                 raw = (text or "").encode()
@@ -288,7 +289,7 @@ def _removed(batches: Iterator) -> Iterator:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, mark (base.by_id of the text), a, b: the starts of repeated strings, as runs a to b, of each text."""
-    found = docs.select("doc_id", base.by_id().alias("mark"), "text").mapInArrow(_anchored, "doc_id long, mark long, h long, d long, lo long, hi long")
+    found = docs.select("doc_id", base.by_id().alias("mark"), "text").mapInArrow(_anchored, f"doc_id {base.id_type(docs)}, mark long, h long, d long, lo long, hi long")
     found = base.save(found, "anchors")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = base.save(base.attach(found, often, ["h"], "n").where("n > 1").drop("n"), "met")
@@ -318,6 +319,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     once = kinds.where("times = 1").select("h", "d", "times")
     part = by_sort.unionByName(by_count).join(once, ["h", "d"])
     spans = base.save(whole.unionByName(part.select("h", "d", "a", "b", "times")), "spans")
+    base.drop(found, keys, cut, done)
     # regions that stand for themselves need no join: their place is known
     single = spans.where("times = 1").join(kinds.where("times = 1").select("h", "d", "one"), ["h", "d"])
     single = single.select(F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark"), (F.col("one.lo") + F.col("a")).alias("a"), (F.col("one.lo") + F.col("b")).alias("b"))
@@ -335,7 +337,7 @@ def remove(docs: DataFrame) -> DataFrame:
     runs = base.save(runs, "runs")
     met = docs["doc_id"].eqNullSafe(F.col("k_id")) & (base.by_id() == F.col("k_mark"))
     rows = docs.select("doc_id", base.by_id().alias("mark"), "text").join(runs, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark")), "left")
-    return rows.select("doc_id", "mark", "text", "runs").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.select("doc_id", "mark", "text", "runs").mapInArrow(_removed, f"doc_id {base.id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
