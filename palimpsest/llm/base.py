@@ -7,9 +7,12 @@ columns that an operator doesn't name are ignored, whatever they are called) and
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +26,15 @@ HOT_ROWS = 2000
 BROADCAST_ROWS = 500_000
 
 
+#: Rows of an Arrow batch, where the session doesn't say; with Spark's own 10,000 whole texts take tens of MB in JVM and worker each.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input. Where the session sets no size of Arrow batches, BATCH_ROWS is set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +62,29 @@ def id_type(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
+def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that gives its memory back to the system at the end of a task: workers outlive their tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := _trim():
+            trim(0)
+
+    return run
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # no glibc
+        return None
+
+
 def slices(batch, column: int, most: int = 1 << 20) -> Iterator:
     """Parts of an Arrow batch whose texts take about ``most`` bytes, or one row that takes more."""
     import pyarrow.compute as pc
@@ -147,13 +181,18 @@ def components(edges: DataFrame) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
+    def tally(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    seen = tally(now)
     while True:
         large = save(least(both(now)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         down = least(large)
         small = down.select("u", F.col("m").alias("v")).union(down.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         new = save(small, "edges")
-        same = new.count() == now.count() and not new.join(now, ["u", "v"], "left_anti").head(1)
+        seen, before = tally(new), seen
+        same = seen == before and not new.join(now, ["u", "v"], "left_anti").head(1)
         drop(now, large)
         now = new
         if same:

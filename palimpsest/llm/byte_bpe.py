@@ -119,12 +119,12 @@ def _codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (binary, little-endian 32-bit), decoded (binary) of each row. A null text counts as empty; special
     tokens are never made. ``path`` names a file of ranks that every executor's installation has."""
-    return docs.select("doc_id", "text").mapInArrow(_Encode(path, pattern, False), f"doc_id {base.id_type(docs)}, ids binary, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(base.tidied(_Encode(path, pattern, False)), f"doc_id {base.id_type(docs)}, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; ids don't leave the worker."""
-    return docs.select("doc_id", "text").mapInArrow(_Encode(path, pattern, True), f"doc_id {base.id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(base.tidied(_Encode(path, pattern, True)), f"doc_id {base.id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 class _Encode:

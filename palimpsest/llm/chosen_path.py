@@ -44,6 +44,8 @@ TILE_SHINGLES = 2_000_000
 RECALL = 0.999
 #: How often a node samples a second coordinate, so that a pair at the threshold meets in one child on average.
 SECOND = 1 / THRESHOLD - 1
+#: The depth that the first runs are made for; more are added if buckets lie deeper.
+USUAL = 3
 #: Coordinates by which a set is compared with a bucket as a whole, and the mean share of the bucket that makes it central.
 PROBES = 8
 CENTRAL = THRESHOLD - 0.1
@@ -271,11 +273,12 @@ def _central(big: DataFrame, sets: DataFrame) -> DataFrame:
 def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], int]:
     """Runs ``first`` to ``last``: the buckets to compare (rid, path, n, central, mixed), and how deep the deepest of them lies."""
     starts = sets.select("rid", "sig", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run")).select("rid", "sig", F.xxhash64("run").alias("path"))
-    rows, found, depth = _children(starts), [], 0
+    rows, found, depth = base.save(_children(starts), "children"), [], 0
     while True:
         depth += 1
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = base.save(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         met = base.save(base.attach(rows, sizes, ["path"], "n").where("n > 1"), f"walk{depth}")
+        base.drop(rows, sizes)
         found.append(met.where(F.col("n") <= SMALL).withColumns({"central": F.lit(True), "mixed": F.lit(False)}))
         big = met.where(F.col("n") > SMALL)
         if not big.head(1):
@@ -283,7 +286,7 @@ def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], int]
         big = _central(big, sets)
         some = big.where("central").select("path").distinct()
         found.append(big.join(some, "path", "left_semi").select("rid", "path", "n", "central", F.lit(True).alias("mixed")))
-        rows = _children(big.where("NOT central").select("rid", "sig", "path"))
+        rows = base.save(_children(big.where("NOT central").select("rid", "sig", "path")), "children")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -296,21 +299,21 @@ def join(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     kind = base.id_type(docs)
-    signed = docs.select("doc_id", base.by_id().alias("mark"), "text").mapInArrow(_signed, f"doc_id {kind}, mark long, digest binary, sig binary, size long")
+    signed = docs.select("doc_id", base.by_id().alias("mark"), "text").mapInArrow(base.tidied(_signed), f"doc_id {kind}, mark long, digest binary, sig binary, size long")
     signed = base.save(signed.withColumn("rid", F.monotonically_increasing_id()), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     sets = signed.where("digest is not null").groupBy("digest").agg(
         F.count(F.lit(1)).alias("set_size"), F.min(order).alias("least"), F.min(F.struct("rid", "doc_id", "sig", "size")).alias("rep")
     )
     sets = base.save(sets.select("digest", "set_size", F.col("least.doc_id").alias("set_id"), F.col("least.rid").alias("head"), F.col("rep.rid").alias("rid"), F.col("rep.doc_id").alias("rep_doc"), F.col("rep.sig").alias("sig"), F.col("rep.size").alias("size")), "sets")
-    done, need, leaves = 0, runs_for(1), []
+    done, need, leaves = 0, runs_for(USUAL), []
     while done < need:
         found, depth = _walk(sets, done + 1, need)
         leaves += found
         done, need = need, max(need, runs_for(depth))
     met = functools.reduce(DataFrame.unionByName, leaves)
     carried = met.join(sets.select("rid", "sig"), "rid")
-    loose = _tiles(carried, "path", "sig", F.ceil(F.col("n") / TILE), F.col("central")).mapInArrow(_loose, "a long, b long")
+    loose = _tiles(carried, "path", "sig", F.ceil(F.col("n") / TILE), F.col("central")).mapInArrow(base.tidied(_loose), "a long, b long")
     comp = base.components(loose)
     wide = comp.join(sets.select(F.col("rid").alias("node"), "rep_doc", "digest", "size"), "node")
     sized = base.attach(wide, wide.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), ["root"], "n")
@@ -319,9 +322,9 @@ def join(docs: DataFrame) -> DataFrame:
     few = need_rows.count() <= base.BROADCAST_ROWS
     ids = need_rows.select(F.col("rep_doc").alias("k")).distinct()
     wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(F.col("k")), "left_semi").select("doc_id", "text")
-    own = wanted.mapInArrow(_filled, f"k_doc_id {kind}, k_digest binary, own binary")
+    own = wanted.mapInArrow(base.tidied(_filled), f"k_doc_id {kind}, k_digest binary, own binary")
     full = own.join(need_rows, F.col("k_doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("k_digest") == F.col("digest"))).dropDuplicates(["rid"])
-    links = base.save(_tiles(full, "root", "own", F.col("n")).mapInArrow(_exact, "a long, b long, n long"), "links")
+    links = base.save(_tiles(full, "root", "own", F.col("n")).mapInArrow(base.tidied(_exact), "a long, b long, n long"), "links")
     exact = base.components(links.where("b is not null").select("a", "b"))
     counts = links.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n_links"))
     known = sets.join(exact.select(F.col("node").alias("rid"), "root"), "rid", "left").join(counts, "rid", "left")

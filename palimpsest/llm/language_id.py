@@ -155,8 +155,8 @@ def learn(docs: DataFrame, allowed: Column, most: int = MOST) -> Model:
     """Fits on a bounded, deterministic sample of the rows of ``docs`` that are allowed and have a language."""
     ids = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.where(allowed & F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang")
-    bags = rows.mapInArrow(_bags, f"doc_id {base.id_type(docs)}, lang string, at binary, n binary")
-    got = bags.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "at").limit(most).mapInArrow(_fitted, "model binary").collect()
+    bags = rows.mapInArrow(base.tidied(_bags), f"doc_id {base.id_type(docs)}, lang string, at binary, n binary")
+    got = bags.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "at").limit(most).mapInArrow(base.tidied(_fitted), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else train([], [])
 
 
@@ -197,7 +197,7 @@ class _Predict:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected for each row. Null texts and texts without a letter are ``und`` with score 0;
     so is every text if there was nothing to learn from."""
-    return docs.select("doc_id", "text").mapInArrow(_Predict(model), f"doc_id {base.id_type(docs)}, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(base.tidied(_Predict(model)), f"doc_id {base.id_type(docs)}, lang_pred string, score double, rejected boolean")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -416,7 +416,7 @@ class _Find:
 
 def find(docs: DataFrame, net: Net) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans (kind:start:end in code points) of each row."""
-    return docs.select("doc_id", "text").mapInArrow(_Find(net), f"doc_id {base.id_type(docs)}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(base.tidied(_Find(net)), f"doc_id {base.id_type(docs)}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 @functools.lru_cache(1)
@@ -438,7 +438,7 @@ _NET: list[Net] = []
 def trained(spark: SparkSession) -> Net:
     """standard(), trained in a task rather than on the driver, once in a driver's life."""
     if not _NET:
-        _NET.append(pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(_trained, "net binary").first()["net"]))
+        _NET.append(pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(base.tidied(_trained), "net binary").first()["net"]))
     return _NET[0]
 
 

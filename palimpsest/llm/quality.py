@@ -176,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = (F.xxhash64("doc_id"), "doc_id")
     ids = known.where("quality = 1").orderBy(*order).limit(most).union(known.where("quality = 0").orderBy(*order).limit(most))
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality").mapInArrow(_measured, f"doc_id {base.id_type(docs)}, quality int, x array<double>")
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality").mapInArrow(base.tidied(_measured), f"doc_id {base.id_type(docs)}, quality int, x array<double>")
     got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * most).collect()
     return train(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in got], float))
 
@@ -205,7 +205,7 @@ class _Score:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1, higher for better texts) and predicted (1 from 0.5) for each row; empty and null texts are scored too."""
-    return docs.select("doc_id", "text").mapInArrow(_Score(model), f"doc_id {base.id_type(docs)}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(base.tidied(_Score(model)), f"doc_id {base.id_type(docs)}, score double, predicted int")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

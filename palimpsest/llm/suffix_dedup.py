@@ -289,7 +289,7 @@ def _removed(batches: Iterator) -> Iterator:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, mark (base.by_id of the text), a, b: the starts of repeated strings, as runs a to b, of each text."""
-    found = docs.select("doc_id", base.by_id().alias("mark"), "text").mapInArrow(_anchored, f"doc_id {base.id_type(docs)}, mark long, h long, d long, lo long, hi long")
+    found = docs.select("doc_id", base.by_id().alias("mark"), "text").mapInArrow(base.tidied(_anchored), f"doc_id {base.id_type(docs)}, mark long, h long, d long, lo long, hi long")
     found = base.save(found, "anchors")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = base.save(base.attach(found, often, ["h"], "n").where("n > 1").drop("n"), "met")
@@ -307,11 +307,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     few = keys.count() <= base.BROADCAST_ROWS
     ids = keys.select("k_id", "k_mark")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, met_text, "left_semi").withColumn("mark", base.by_id()).dropDuplicates(["doc_id", "mark"])
-    cut = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark"))).select("text", "asked").mapInArrow(_cut, "h long, d long, crowd boolean, blocks long, bytes binary")
+    cut = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark"))).select("text", "asked").mapInArrow(base.tidied(_cut), "h long, d long, crowd boolean, blocks long, bytes binary")
     cut = base.save(cut, "regions")
     plain = F.pmod(F.xxhash64("h"), F.lit(max(1, n // SHARD_REGIONS)))
     shards = cut.withColumn("shard", F.when(F.col("crowd"), F.xxhash64("h", F.pmod(F.xxhash64("d"), F.col("blocks")))).otherwise(plain)).select("shard", "h", "d", "bytes", "crowd")
-    done = shards.repartition("shard").sortWithinPartitions("shard", "h", "d").mapInArrow(_sorted_shards, "h long, d long, a long, b long, s binary, weight int")
+    done = shards.repartition("shard").sortWithinPartitions("shard", "h", "d").mapInArrow(base.tidied(_sorted_shards), "h long, d long, a long, b long, s binary, weight int")
     done = base.save(done, "sorted")
     by_sort = done.where("s is null").select("h", "d", "a", "b")
     times = done.where("s is not null").groupBy("s").agg(F.sum("weight").alias("n")).where("n > 1")
@@ -337,7 +337,7 @@ def remove(docs: DataFrame) -> DataFrame:
     runs = base.save(runs, "runs")
     met = docs["doc_id"].eqNullSafe(F.col("k_id")) & (base.by_id() == F.col("k_mark"))
     rows = docs.select("doc_id", base.by_id().alias("mark"), "text").join(runs, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark")), "left")
-    return rows.select("doc_id", "mark", "text", "runs").mapInArrow(_removed, f"doc_id {base.id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.select("doc_id", "mark", "text", "runs").mapInArrow(base.tidied(_removed), f"doc_id {base.id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,8 +170,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
     ids = known.where("toxic = 1").orderBy(*order).limit(most).union(known.where("toxic = 0").orderBy(*order).limit(most))
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_bags, f"doc_id {base.id_type(docs)}, toxic int, own binary, f binary")
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(2 * most).mapInArrow(_fitted, "model binary").collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").mapInArrow(base.tidied(_bags), f"doc_id {base.id_type(docs)}, toxic int, own binary, f binary")
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(2 * most).mapInArrow(base.tidied(_fitted), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else train([], np.zeros(0, int))
 
 
@@ -235,7 +235,7 @@ class _Score:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, p_open, p_coined, p_toxic (0 to 1) and toxic (1 from the threshold that the out-of-fold scores gave) for
     each row. A null text counts as empty; with nothing to learn from no text is toxic."""
-    return docs.select("doc_id", "text").mapInArrow(_Score(model), f"doc_id {base.id_type(docs)}, p_open double, p_coined double, p_toxic double, toxic int")
+    return docs.select("doc_id", "text").mapInArrow(base.tidied(_Score(model)), f"doc_id {base.id_type(docs)}, p_open double, p_coined double, p_toxic double, toxic int")
 
 
 def not_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -247,7 +247,7 @@ def not_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pa.array([say(t.as_py())[-1] < model.threshold for t in batch], pa.bool_())
 
-    return docs.where(F.arrow_udf(kept, "boolean", ArrowUDFType.SCALAR_ITER)(docs["text"]))
+    return docs.where(F.arrow_udf(base.tidied(kept), "boolean", ArrowUDFType.SCALAR_ITER)(docs["text"]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
