@@ -5,13 +5,14 @@ COORDS tokens, its min-hashes. In each of a number of runs the sets walk down ra
 samples coordinates, by a hash of the path to it (one always, a second with probability SECOND), and
 a set goes to a child for each of them, by its token there. A pair at the threshold so meets again in
 one child on average, however deep (``survival``). A bucket of SMALL sets or fewer is compared as it
-is; others are split on. In a bucket too large, the sets that share CENTRAL or more of its tokens on
-average can't be told apart by splitting: they are compared with all of the bucket and leave it, and
-so every bucket comes to an end, without a cap on depth or size. Runs are added until a pair at the
-threshold shares a bucket with probability RECALL at the deepest level that any bucket reached.
-
-Compared are min-hashes, in tiles of at most TILE by TILE sets, and what may be similar (LOOSE) is
-linked loosely. The sets that loose links connect then come together once, again in tiles, and every
+is; others are split on. Near copies of each other aren't told apart by splitting, so in a bucket too
+large all sets are first compared with one of them, the pivot: what may be similar is linked with it, and
+what seems as similar as the threshold leaves the bucket, as its other near copies are linked with the
+pivot too. So every bucket comes to an end, without a cap on depth or size, and never is a large one
+compared pair by pair. Runs are added until a pair at the threshold shares a bucket with probability
+RECALL at the deepest level that any bucket reached.
+
+Compared are min-hashes, and what may be similar (LOOSE) is linked loosely. The sets that loose links connect then come together once, in tiles, and every
 pair of them is verified by its exact Jaccard similarity, so a pair that no bucket held is found too
 if others connect it.
 
@@ -46,9 +47,6 @@ RECALL = 0.999
 SECOND = 1 / THRESHOLD - 1
 #: The depth that the first runs are made for; more are added if buckets lie deeper.
 USUAL = 3
-#: Coordinates by which a set is compared with a bucket as a whole, and the mean share of the bucket that makes it central.
-PROBES = 8
-CENTRAL = THRESHOLD - 0.1
 #: Estimated similarity from which sets are linked loosely: four standard errors under the threshold.
 LOOSE = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDS)
 
@@ -227,22 +225,14 @@ def _exact(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1, 2)], ["a", "b", "n"])
 
 
-def _tiles(rows: DataFrame, key: str, payload: str, blocks: Column, central: Column | None = None) -> DataFrame:
-    """Rows dealt to the tiles of their group: its blocks meet in pairs. With ``central``, blocks of rows that aren't meet only
-    those of rows that are; ``mixed`` tells if a group has both."""
-    side = F.lit(0) if central is None else F.when(central, 0).otherwise(1)
-    dealt = rows.withColumns({"blocks": blocks.cast("int"), "kind": side})
+def _tiles(rows: DataFrame, key: str, payload: str, blocks: Column) -> DataFrame:
+    """Rows dealt to the tiles of their group: its blocks meet in pairs."""
+    dealt = rows.withColumn("blocks", blocks.cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    if central is not None:
-        both = (F.col("kind") == 0) & F.col("mixed")
-        dealt = dealt.withColumn("met_kind", F.explode(F.when(both, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    else:
-        dealt = dealt.withColumn("met_kind", F.lit(0))
-    own, other = F.struct("kind", "block"), F.struct(F.col("met_kind").alias("kind"), F.col("met").alias("block"))
-    lo, hi = F.least(own, other), F.greatest(own, other)
-    tile = F.xxhash64(key, lo["kind"], lo["block"], hi["kind"], hi["block"])
-    dealt = dealt.select(tile.alias("tile"), "rid", payload, (own == other).alias("same"), (own == hi).cast("int").alias("side"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    tile = F.xxhash64(key, lo, hi)
+    dealt = dealt.select(tile.alias("tile"), "rid", payload, (F.col("block") == F.col("other")).alias("same"), (F.col("block") == hi).cast("int").alias("side"))
     return dealt.repartition("tile").sortWithinPartitions("tile", "rid")
 
 
@@ -259,34 +249,35 @@ def _children(rows: DataFrame) -> DataFrame:
     return made.select("rid", F.explode(F.when(F.col("two").isNull() | (F.col("one") == F.col("two")), F.array("one")).otherwise(F.array("one", "two"))).alias("path"))
 
 
-def _central(big: DataFrame, sets: DataFrame) -> DataFrame:
-    """rid, path, n, sig, central of the sets in buckets too large."""
+def _pivoted(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """rid, path, sig, pivot, share of the sets in buckets too large: what each shares with its bucket's pivot by their tokens."""
     rows = base.save(big.join(sets.select("rid", "sig"), "rid"), "big")
-    tokens = rows.select("rid", "path", "n", F.explode(F.array(*(_token("path", 100 + k) for k in range(PROBES)))).alias("token"))
-    times = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-    share = base.attach(tokens, times, ["token"], "times").groupBy("rid", "path").agg((F.sum(F.col("times") / F.col("n")) / PROBES).alias("share"))
-    out = base.save(rows.join(share, ["rid", "path"]).withColumn("central", F.col("share") >= CENTRAL).drop("share"), "central")
+    one = F.min_by(F.struct("rid", "sig"), F.xxhash64("rid", "path"))
+    pivots = rows.groupBy("path").agg(one.alias("chosen"), F.max("n").alias("n"))
+    met = base.attach(rows.drop("n"), pivots, ["path"], "n")
+    at = lambda c, k: F.substring(c, k * 4 + 1, F.lit(4))
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda k: at(F.col("sig"), k) == at(F.col("chosen.sig"), k)))
+    out = base.save(met.select("rid", "path", "sig", F.col("chosen.rid").alias("pivot"), (same / COORDS).alias("share")), "pivoted")
     base.drop(rows)
     return out
 
 
-def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], int]:
-    """Runs ``first`` to ``last``: the buckets to compare (rid, path, n, central, mixed), and how deep the deepest of them lies."""
+def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Runs ``first`` to ``last``: buckets to compare (rid, path, n), links with pivots (a, b), and how deep the deepest bucket lies."""
     starts = sets.select("rid", "sig", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run")).select("rid", "sig", F.xxhash64("run").alias("path"))
-    rows, found, depth = base.save(_children(starts), "children"), [], 0
+    rows, found, linked, depth = base.save(_children(starts), "children"), [], [], 0
     while True:
         depth += 1
         sizes = base.save(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         met = base.save(base.attach(rows, sizes, ["path"], "n").where("n > 1"), f"walk{depth}")
         base.drop(rows, sizes)
-        found.append(met.where(F.col("n") <= SMALL).withColumns({"central": F.lit(True), "mixed": F.lit(False)}))
+        found.append(met.where(F.col("n") <= SMALL))
         big = met.where(F.col("n") > SMALL)
         if not big.head(1):
-            return found, depth
-        big = _central(big, sets)
-        some = big.where("central").select("path").distinct()
-        found.append(big.join(some, "path", "left_semi").select("rid", "path", "n", "central", F.lit(True).alias("mixed")))
-        rows = base.save(_children(big.where("NOT central").select("rid", "sig", "path")), "children")
+            return found, linked, depth
+        big = _pivoted(big, sets)
+        linked.append(big.where((F.col("share") >= LOOSE) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
+        rows = base.save(_children(big.where((F.col("share") < THRESHOLD) & (F.col("rid") != F.col("pivot")))), "children")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -306,14 +297,16 @@ def join(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("set_size"), F.min(order).alias("least"), F.min(F.struct("rid", "doc_id", "sig", "size")).alias("rep")
     )
     sets = base.save(sets.select("digest", "set_size", F.col("least.doc_id").alias("set_id"), F.col("least.rid").alias("head"), F.col("rep.rid").alias("rid"), F.col("rep.doc_id").alias("rep_doc"), F.col("rep.sig").alias("sig"), F.col("rep.size").alias("size")), "sets")
-    done, need, leaves = 0, runs_for(USUAL), []
+    done, need, leaves, linked = 0, runs_for(USUAL), [], []
     while done < need:
-        found, depth = _walk(sets, done + 1, need)
+        found, more, depth = _walk(sets, done + 1, need)
         leaves += found
+        linked += more
         done, need = need, max(need, runs_for(depth))
     met = functools.reduce(DataFrame.unionByName, leaves)
     carried = met.join(sets.select("rid", "sig"), "rid")
-    loose = _tiles(carried, "path", "sig", F.ceil(F.col("n") / TILE), F.col("central")).mapInArrow(base.tidied(_loose), "a long, b long")
+    loose = _tiles(carried, "path", "sig", F.lit(1)).mapInArrow(base.tidied(_loose), "a long, b long")
+    loose = functools.reduce(DataFrame.unionByName, [loose, *linked])
     comp = base.components(loose)
     wide = comp.join(sets.select(F.col("rid").alias("node"), "rep_doc", "digest", "size"), "node")
     sized = base.attach(wide, wide.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), ["root"], "n")
@@ -334,7 +327,7 @@ def join(docs: DataFrame) -> DataFrame:
     some = base.attach(signed.where("digest is not null").select("digest", "doc_id", "mark", "rid"), known, ["digest"], "set_size")
     some = some.select("doc_id", "class_id", "set_id", "set_size", "n_links", "mark", (F.col("rid") == F.col("first_row")).alias("first"))
     none = signed.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("set_size"), F.lit(0).cast("long").alias("n_links"), "mark", F.lit(True).alias("first"))
-    base.drop(*leaves, sets, need_rows, links)
+    base.drop(*leaves, *linked, sets, need_rows, links)
     return some.unionByName(none)
 
 
