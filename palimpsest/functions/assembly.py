@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import expressions as E
 
 #: Block kinds of which a page's last may go on in the next page's first, and how a finished block ends.
-JOINABLE = ("p", "li", "figcaption", "blockquote", "pre", "table")
+JOINABLE = ("p", "li", "figcaption", "blockquote", "pre")
 FINAL = (".", "!", "?", ":", ";", "”", "\"", "»", ")")
 
 
@@ -21,8 +21,9 @@ def strip_fence(text: Column) -> Column:
 
 
 def model_box(box: Column, scale: float = 1000.0) -> Column:
-    """``ymin,xmin,ymax,xmax`` in thousandths as struct<x0, y0, x1, y1> from 0 to 1, sides in order; null unless it is four numbers."""
-    parts = F.transform(F.split(box, ","), lambda v: F.trim(v).try_cast("double") / scale)
+    """``ymin,xmin,ymax,xmax`` in thousandths as struct<x0, y0, x1, y1> from 0 to 1, sides in order; blanks part numbers as
+    commas do; null unless it is four numbers."""
+    parts = F.transform(F.filter(F.split(box, "[, ]"), lambda v: F.trim(v) != ""), lambda v: F.trim(v).try_cast("double") / scale)
     side = lambda k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.get(parts, F.lit(k))))
     fine = (F.size(parts) == 4) & F.forall(parts, lambda v: v.isNotNull() & ~F.isnan(v))
     made = F.struct(F.least(side(1), side(3)).alias("x0"), F.least(side(0), side(2)).alias("y0"), F.greatest(side(1), side(3)).alias("x1"), F.greatest(side(0), side(2)).alias("y1"))
@@ -43,9 +44,10 @@ def noise(kind: Column, text: Column) -> Column:
 def continued(tail_kind: Column, tail: Column, head_kind: Column, head: Column) -> Column:
     """Whether a page's first block seems to go on from the last block of the page before: kinds alike; then a tail in ``-``
     does, one that is finished doesn't, else a head that begins in lower case or with a digit does.
-    A null never does."""
-    last, first = F.substring(F.rtrim(tail), -1, 1), F.substring(F.ltrim(head), 1, 1)
-    looks = F.when(last.isNull(), False).when(last == "-", True).when(last.isin(*FINAL), False).otherwise(first.rlike(r"^[\p{Ll}\p{N}]"))
+    A null never does, nor does a blank tail or head, nor a table."""
+    flat = lambda c, p: F.regexp_replace(c, p, "")
+    last, first = F.substring(flat(tail, r"(?U)\s+$"), -1, 1), F.substring(flat(head, r"(?U)^\s+"), 1, 1)
+    looks = F.when(last.isNull() | (last == "") | first.isNull() | (first == ""), False).when(last == "-", True).when(last.isin(*FINAL), False).otherwise(first.rlike(r"^[\p{Ll}\p{N}]"))
     return F.coalesce((tail_kind == head_kind) & tail_kind.isin(*JOINABLE) & looks, F.lit(False))
 
 

@@ -160,8 +160,10 @@ def row_count(text: Column, header: Column) -> Column:
 
 
 def page_range(spec: Column, total: Column) -> Column:
-    """``1-5,8`` as sorted distinct page numbers within 1 to total; blank means all."""
-    piece = lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.get(F.split(p, "-"), F.size(F.split(p, "-")) - 1).cast("int"))
+    """``1-5,8`` as sorted distinct page numbers within 1 to total; blank means all, and a range that falls has none."""
+    side = lambda p, k: F.get(F.split(p, "-"), k).cast("int")
+    last = lambda p: side(p, F.size(F.split(p, "-")) - 1)
+    piece = lambda p: F.when(side(p, F.lit(0)) <= last(p), F.sequence(side(p, F.lit(0)), F.greatest(last(p), side(p, F.lit(0))))).otherwise(F.array().cast("array<int>"))
     given = F.flatten(F.transform(F.filter(F.transform(F.split(spec, ","), lambda v: F.trim(v)), lambda p: p.rlike(r"^\d+(-\d+)?$")), piece))
     whole = F.when(total >= 1, F.sequence(F.lit(1), F.greatest(total, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.when(F.trim(spec) == "", whole).otherwise(F.array_sort(F.array_distinct(F.filter(given, lambda n: (n >= 1) & (n <= total)))))

@@ -105,3 +105,10 @@ def envelope(lo: str, hi: str) -> list:
     a, b = F.min(lo), F.max(hi)
     fine = F.coalesce(a <= b, F.lit(True))
     return [F.when(fine, a).alias("env_lo"), F.when(fine, b).alias("env_hi")]
+
+
+def dated_ancestor(nodes: DataFrame, dated: DataFrame) -> DataFrame:
+    """Nodes with ``above``, the path of their nearest ancestor among ``dated`` (content_id, path); null if none is."""
+    up = nodes.select("content_id", "path", F.explode(E.ancestors(F.col("path"), own=False)).alias("above"))
+    near = up.join(dated.select("content_id", F.col("path").alias("above")), ["content_id", "above"], "left_semi").groupBy("content_id", "path").agg(F.max("above").alias("above"))
+    return nodes.join(near, ["content_id", "path"], "left")

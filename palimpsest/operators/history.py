@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NOISE = ("id", "created", "modified", "version", "owner_id")
 
@@ -73,21 +74,34 @@ def hard_delete(log: DataFrame, ids: DataFrame) -> DataFrame:
 
 def diff(log: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Each version with ``changes``: array<struct<field, old, new>> against the one before, sorted by field. A first version
-    lists what isn't null, empty, zero or false."""
+    lists what isn't null, an empty string, a zero or false, each by the column's type. Nested values show as JSON with keys in order."""
     fields = sorted(f for f in fields if f not in NOISE)
+    kinds = {f.name: f.dataType for f in log.schema}
     w = Window.partitionBy("obj_id").orderBy("version")
     before = log.withColumn("prev", F.lag(F.struct("version", *fields)).over(w))
     first = F.col("prev").isNull()
     rows = []
     for f in fields:
         old, new = F.col(f"prev.{f}"), F.col(f)
-        text = lambda c: c.cast("string")
-        empty = new.isNull() | text(new).isin("", "0", "0.0", "false") | F.coalesce(text(new).rlike(r"^0+(\.0+)?$"), F.lit(False))
-        changed = F.when(first, ~empty).otherwise(~old.eqNullSafe(new))
+        text = lambda c, k=kinds[f]: rendered(c, k)
+        blank = new == "" if isinstance(kinds[f], T.StringType) else ~new if isinstance(kinds[f], T.BooleanType) else new == 0 if isinstance(kinds[f], T.NumericType) else F.lit(False)
+        changed = F.when(first, new.isNotNull() & ~blank).otherwise(differs(old, new, kinds[f]))
         rows.append(F.when(changed, F.struct(F.lit(f).alias("field"), text(old).alias("old"), text(new).alias("new"))))
     return before.withColumn("changes", F.filter(F.array(*rows), lambda x: x.isNotNull())).drop("prev")
 
 
+def rendered(value: Column, kind: T.DataType) -> Column:
+    """A value as a revision shows it: null stays null, structs, maps and arrays as JSON (maps with keys in order), else as text."""
+    if isinstance(kind, T.MapType):
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(value))))
+    return F.to_json(value) if isinstance(kind, (T.StructType, T.ArrayType)) else value.cast("string")
+
+
+def differs(old: Column, new: Column, kind: T.DataType) -> Column:
+    """Null-safe; maps, which don't compare, by what they show."""
+    return ~rendered(old, kind).eqNullSafe(rendered(new, kind)) if isinstance(kind, T.MapType) else ~old.eqNullSafe(new)
+
+
 def untracked(log: DataFrame, schemas: DataFrame, now: Sequence[str]) -> DataFrame:
     """Fields of today that a version's schema tag didn't track; all of them under an unknown tag. ``schemas``: schema_tag, fields."""
     return log.join(F.broadcast(schemas), "schema_tag", "left").withColumn("untracked", F.array_except(F.array(*map(F.lit, now)), F.coalesce("fields", F.array().cast("array<string>"))))
@@ -98,3 +112,56 @@ def runs(revisions: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("context_id").cast("string"), F.concat(F.lit("orphan:"), F.col("event_id").cast("string")))
     members = F.array_sort(F.collect_list(F.struct("event_id", "obj_id", "version")))
     return revisions.groupBy(key.alias("run")).agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("n"), members.alias("members"))
+
+
+def schema_at(schemas: DataFrame, tag: str) -> DataFrame:
+    """The fields of each label under a schema tag; no row where it is unknown. ``schemas``: tag, label, fields."""
+    return schemas.where(F.col("tag") == tag).select("label", "fields")
+
+
+def schema_fold(known: DataFrame, new: DataFrame) -> DataFrame:
+    """The schema log with ``new`` rows for tags and labels that it doesn't have; old ones are never rewritten."""
+    return known.unionByName(new.join(known.select("tag", "label"), ["tag", "label"], "left_anti"))
+
+
+def field_changes(then: Column, now: Column) -> Column:
+    """Fields of one of two schemas alone, in order."""
+    return F.array_sort(F.array_union(F.array_except(then, now), F.array_except(now, then)))
+
+
+def tagged_diff(log: DataFrame, fields: Sequence[str], schemas: DataFrame) -> DataFrame:
+    """diff() under schema tags (``schemas``: schema_tag, fields): changes of fields that both versions track, and ``unknown``, those
+    of one alone. Under an unknown tag all is unknown (``*``); after a version under one, all fields of today's."""
+    known = log.join(F.broadcast(schemas.select("schema_tag", F.col("fields").alias("now_fields"))), "schema_tag", "left")
+    w = Window.partitionBy("obj_id").orderBy("version")
+    known = known.withColumns({"then_fields": F.lag("now_fields").over(w), "is_first": F.lag("version").over(w).isNull()})
+    out = diff(known, fields)
+    none = F.array().cast("array<string>")
+    names = F.array(*map(F.lit, sorted(f for f in fields if f not in NOISE)))
+    mine = lambda c: F.array_sort(F.array_intersect(F.col(c), names))
+    allowed = F.when(F.col("is_first"), mine("now_fields")).otherwise(F.array_intersect(mine("now_fields"), mine("then_fields")))
+    kept = F.filter("changes", lambda c: F.coalesce(F.array_contains(allowed, c["field"]), F.lit(False)))
+    unknown = F.when(F.col("now_fields").isNull(), F.array(F.lit("*"))).when(F.col("is_first"), none).when(F.col("then_fields").isNull(), mine("now_fields")).otherwise(field_changes(mine("then_fields"), mine("now_fields")))
+    return out.withColumns({"changes": kept, "unknown": unknown}).drop("now_fields", "then_fields", "is_first")
+
+
+def with_children(own: DataFrame, children: DataFrame) -> DataFrame:
+    """An object's own revisions and those of its child rows (obj_id, event_id, at, label), newest first by (at, event_id)."""
+    both = own.select("obj_id", "event_id", "at", F.lit(None).cast("string").alias("label"), F.lit(False).alias("is_related"))
+    both = both.unionByName(children.select("obj_id", "event_id", "at", "label", F.lit(True).alias("is_related")))
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy("obj_id").orderBy(F.desc("at"), F.desc("event_id"), "is_related")))
+
+
+def bulk_update(log: DataFrame, which: Column, values: dict[str, Column]) -> DataFrame:
+    """Appends a version with new values to each live object that matches; no edges come of it."""
+    return append(log, latest(log).where(which & ~F.col("deleted")).withColumns(values).drop("version"))
+
+
+def saved(log: DataFrame, edges: DataFrame, rows: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A write with its sources: (log, edges) with the next version of each of ``rows`` and an edge from it to the current version
+    of each of its ``sources`` (obj_id, source_obj); a row isn't its own source, and repeats count once."""
+    after = append(log, rows)
+    new = after.join(log.select("obj_id", "version"), ["obj_id", "version"], "left_anti").select("obj_id", F.col("version").alias("target_version"))
+    top = log.groupBy(F.col("obj_id").alias("source_obj")).agg(F.max("version").alias("source_version"))
+    made = sources.where("obj_id <> source_obj").select("obj_id", "source_obj").distinct().join(new, "obj_id").join(top, "source_obj")
+    return after, edges.unionByName(made.select(*edges.columns))

@@ -48,3 +48,68 @@ def graph(edges: DataFrame, root: str, depth: int = 3) -> DataFrame:
         if known.count() >= MAX_NODES or not frontier.head(1):
             break
     return known
+
+
+# --- reads over edges (target_event, source_obj, source_version, created) and versions (obj_id, version, event_id)
+
+
+def _of_object(edges: DataFrame, versions: DataFrame) -> DataFrame:
+    return edges.join(versions.select(F.col("event_id").alias("target_event"), "obj_id", "version"), "target_event")
+
+
+def sources_of(edges: DataFrame, versions: DataFrame) -> DataFrame:
+    """Edges of each object's current version, with obj_id and version."""
+    top = versions.groupBy("obj_id").agg(F.max_by("event_id", "version").alias("event_id"), F.max("version").alias("version"))
+    return _of_object(edges, top)
+
+
+def sources_of_version(edges: DataFrame, versions: DataFrame, version: int) -> DataFrame:
+    return _of_object(edges, versions.where(F.col("version") == version))
+
+
+def all_sources(edges: DataFrame, versions: DataFrame) -> DataFrame:
+    """Edges of any version of each object."""
+    return _of_object(edges, versions)
+
+
+def derived_from_version(edges: DataFrame, version: int) -> DataFrame:
+    """Edges to what derives from that version of each source, by source_obj."""
+    return edges.where(F.col("source_version") == version)
+
+
+def distinct_ends(edges: DataFrame, by: str, end: list[str]) -> DataFrame:
+    """The far ends of each ``by``, each once, numbered in order of their first edge (by created, then end)."""
+    first = edges.groupBy(by, *end).agg(F.min("created").alias("created"))
+    return first.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy("created", *end)))
+
+
+def source_refs(edges: DataFrame, versions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges with the source's label (obj_id, label; null if it is gone) and whether it has a later version."""
+    top = versions.groupBy(F.col("obj_id").alias("source_obj")).agg(F.max("version").alias("latest"))
+    named = labels.select(F.col("obj_id").alias("source_obj"), "label")
+    return edges.join(top, "source_obj", "left").join(named, "source_obj", "left").withColumn("is_stale", F.coalesce(F.col("source_version") < F.col("latest"), F.lit(False)))
+
+
+def stale_counts(edges: DataFrame, versions: DataFrame) -> DataFrame:
+    """How many edges of each source are stale."""
+    top = versions.groupBy(F.col("obj_id").alias("source_obj")).agg(F.max("version").alias("latest"))
+    return edges.join(top, "source_obj").groupBy("source_obj").agg(F.count_if(F.col("source_version") < F.col("latest")).alias("stale"))
+
+
+def deleted_ends(edges: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Edges whose source is deleted now (``deleted``: obj_id)."""
+    return edges.join(deleted.select(F.col("obj_id").alias("source_obj")), "source_obj", "left_semi")
+
+
+def paired(edges: DataFrame, versions: DataFrame) -> DataFrame:
+    """Edges with the version at their source; what can't be resolved is left out."""
+    v = versions.select(F.col("obj_id").alias("source_obj"), F.col("version").alias("source_version"), F.col("event_id").alias("source_event"))
+    return edges.join(v, ["source_obj", "source_version"])
+
+
+def graph_edges(edges: DataFrame, nodes: DataFrame, latest: DataFrame) -> DataFrame:
+    """The newest edge of each pair between nodes that graph() found, with is_stale (``latest``: obj_id, latest)."""
+    inside = lambda c: nodes.select(F.col("node").alias(c))
+    pairs = newest_pairs(edges).join(F.broadcast(inside("source_id")), "source_id", "left_semi").join(F.broadcast(inside("target_id")), "target_id", "left_semi")
+    top = latest.select(F.col("obj_id").alias("source_id"), "latest")
+    return pairs.join(top, "source_id", "left").withColumn("is_stale", F.coalesce(F.col("source_version") < F.col("latest"), F.lit(False)))

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What each tag is to the tree.
-LEAF = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "figcaption", "li", "dt", "dd"}
-CONTAINER = {"section", "article", "ul", "ol", "blockquote", "figure", "table", "dl"}
+LEAF = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "figcaption", "li"}
+CONTAINER = {"section": "section", "article": "section", "main": "section", "ul": "ul", "ol": "ol", "blockquote": "blockquote", "figure": "figure"}
 SKIP = {"script", "style", "noscript", "template", "head", "svg"}
+WORD_START = "_-. "
+#: Tags that part text but aren't nodes: what they hold comes loose.
+PARTS = {"table", "div", "tr", "dl", "dt", "dd", "address"}
 
 NODE = "array<struct<nid:int,parent:int,path:string,tag:string,text:string>>"
 
@@ -41,14 +44,20 @@ class _Tree(HTMLParser):
         while self.open and self.nodes[self.open[-1] - 1]["tag"] in LEAF:
             self.open.pop()
 
+    def _end_paragraph(self):
+        while self.open and self.nodes[self.open[-1] - 1]["tag"] == "p":
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
         if tag == "title":
             self.in_title = True
         elif tag in SKIP:
             self.skip += tag != "head"
-        elif not self.skip and tag in LEAF | CONTAINER:
+        elif not self.skip and tag in LEAF | CONTAINER.keys():
             self._end_leaf()
-            self._add(tag)
+            self._add(CONTAINER.get(tag, tag))
+        elif not self.skip and tag in PARTS:
+            self._end_paragraph()
         elif tag == "br" and self.open:
             self.nodes[self.open[-1] - 1]["text"] += "\n"
 
@@ -57,9 +66,11 @@ class _Tree(HTMLParser):
             self.in_title = False
         elif tag in SKIP:
             self.skip = max(0, self.skip - (tag != "head"))
-        elif tag in LEAF | CONTAINER and any(self.nodes[n - 1]["tag"] == tag for n in self.open):
-            while self.nodes[self.open.pop() - 1]["tag"] != tag:
+        elif tag in LEAF | CONTAINER.keys() and any(self.nodes[n - 1]["tag"] == CONTAINER.get(tag, tag) for n in self.open):
+            while self.nodes[self.open.pop() - 1]["tag"] != CONTAINER.get(tag, tag):
                 pass
+        elif tag in PARTS:
+            self._end_paragraph()
 
     def handle_data(self, data):
         if self.in_title:
@@ -117,10 +128,18 @@ def ocr_words(lines: DataFrame) -> DataFrame:
 
 
 def ocr_paragraphs(words: DataFrame, width: float, height: float) -> DataFrame:
-    """Words joined by (page, block, par), with the box they span as shares of the page and their mean confidence."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "word", "text"))), lambda w: w["text"]), " ")
+    """Words joined by (page, block, par), with the box they span as shares of the page, their mean confidence, and the words:
+    array<struct<x0, y0, x1, y1, start, end, conf>>, offsets being those in the joined text."""
+    words = words.withColumnRenamed("text", "said").withColumnRenamed("conf", "sure")
+    shown = F.array_sort(F.collect_list(F.struct("line", "word", "said", "left", "top", "width", "height", "sure")))
+    text = F.array_join(F.transform(shown, lambda w: w["said"]), " ")
+    start = lambda i: F.aggregate(F.slice(shown, 1, i), F.lit(0), lambda s, w: s + F.length(w["said"]) + 1)
+    made = lambda w, i: F.struct(
+        (w["left"] / width).alias("x0"), (w["top"] / height).alias("y0"), ((w["left"] + w["width"]) / width).alias("x1"), ((w["top"] + w["height"]) / height).alias("y1"),
+        start(i).alias("start"), (start(i) + F.length(w["said"])).alias("end"), w["sure"].alias("conf"),
+    )
     box = {"x0": F.min("left") / width, "y0": F.min("top") / height, "x1": F.max(F.col("left") + F.col("width")) / width, "y1": F.max(F.col("top") + F.col("height")) / height}
-    return words.groupBy("page", "block", "par").agg(text.alias("text"), *(v.alias(k) for k, v in box.items()), F.avg("conf").alias("conf"))
+    return words.groupBy("page", "block", "par").agg(text.alias("text"), *(v.alias(k) for k, v in box.items()), F.avg("sure").alias("conf"), F.transform(shown, made).alias("words"))
 
 
 def stored_pages(payload: DataFrame) -> DataFrame:
@@ -132,27 +151,37 @@ def stored_pages(payload: DataFrame) -> DataFrame:
 
 def fuzzy_score(term: str, text: str) -> int | None:
     """Subsequence score of one term: runs and word starts gain, skips lose; a prefix or substring gains more."""
-    if not term:
-        return 0
-    text, score, last = text.lower(), 0, -1
-    for c in term.lower():
-        at = text.find(c, last + 1)
-        if at < 0:
+    term, text, score, at = term.strip().lower(), text.lower(), 0, -1
+    for k, c in enumerate(term):
+        found = text.find(c, at + 1)
+        if found < 0:
             return None
-        score += 8 if last >= 0 and at == last + 1 else 0
-        score += 4 if at == 0 or not text[at - 1].isalnum() else 0
-        score -= at - last - 1 if last >= 0 else at
-        last = at
-    return score + (40 if text.startswith(term.lower()) else 20 if term.lower() in text else 0)
+        score += 8 * (k > 0 and found == at + 1) + 4 * (found == 0 or text[found - 1] in WORD_START) - (found - at - 1)
+        at = found
+    return score + (0 if not term else 40 if text.startswith(term) else 20 if term in text else 0)
+
+
+#: What a hit in a description loses against one in a name.
+HELP_PENALTY = 30
 
 
-def fuzzy(df: DataFrame, column: str, query: str) -> DataFrame:
-    """Rows in which every term of the query is found as a subsequence, with the sum of their scores."""
+def fuzzy(df: DataFrame, column: str, query: str, help_column: str | None = None) -> DataFrame:
+    """Rows in which every term of the query is found as a subsequence of the column, or with ``help_column`` of that for
+    HELP_PENALTY less, with the better sum of their scores. A blank query finds all rows, with 0."""
     terms = query.split()
 
+    def total(text: str | None) -> int | None:
+        got = [fuzzy_score(t, text or "") for t in terms]
+        return None if None in got else sum(got)
+
     @F.pandas_udf("int")
-    def scored(s: pd.Series) -> pd.Series:
-        got = [[fuzzy_score(t, x or "") for t in terms] for x in s]
-        return pd.Series([None if None in g else sum(g) for g in got], dtype="Int32")
+    def scored(name: pd.Series, about: pd.Series) -> pd.Series:
+        both = [(total(x), None if help_column is None or not terms else total(y)) for x, y in zip(name, about, strict=True)]
+        return pd.Series([max((v for v in (a, None if b is None else b - HELP_PENALTY) if v is not None), default=None) for a, b in both], dtype="Int32")
+
+    return df.withColumn("score", scored(F.col(column), F.col(help_column or column))).where("score IS NOT NULL")
+
 
-    return df.withColumn("score", scored(F.col(column))).where("score IS NOT NULL")
+def ranked(found: DataFrame, key: str, recent: DataFrame, position: str) -> DataFrame:
+    """What fuzzy() found, best first; of equal scores the most recently used (``recent``: key, recency from 0), then by position."""
+    return found.join(F.broadcast(recent.select(key, "recency")), key, "left").orderBy(F.desc("score"), F.asc_nulls_last("recency"), position)

@@ -12,7 +12,8 @@ def one(spark):
 
 
 def test_boxes(one):
-    assert tuple(one(A.model_box(F.lit("900, 100,200,1200")))) == (0.1, 0.2, 1.0, 0.9)
+    for said in ("900, 100,200,1200", "900 100 200  1200"):
+        assert tuple(one(A.model_box(F.lit(said)))) == (0.1, 0.2, 1.0, 0.9)
     for bad in ("1,2,3", "a,1,2,3", "", "1,2,3,4,5"):
         assert one(A.model_box(F.lit(bad))) is None
     assert one(A.box_attribute(A.model_box(F.lit("0,0,500,1000")))) == "0.0000,0.0000,1.0000,0.5000"
@@ -26,7 +27,7 @@ def test_fence_and_noise(one):
 
 
 def test_continued(one):
-    cases = [("p", "word-", "p", "Next", True), ("p", "done.", "p", "next", False), ("p", "and", "p", "then", True), ("p", "and", "p", "Then", False), ("p", "in", "p", "1943", True), ("p", "and", "li", "then", False), ("h2", "and", "h2", "then", False), ("p", None, "p", "then", False)]
+    cases = [("p", "word-", "p", "Next", True), ("p", "done.", "p", "next", False), ("p", "and", "p", "then", True), ("p", "and", "p", "Then", False), ("p", "in", "p", "1943", True), ("p", "and", "li", "then", False), ("h2", "and", "h2", "then", False), ("p", None, "p", "then", False), ("table", "a", "table", "b", False), ("p", "word-", "p", " ", False), ("p", "word-\n", "p", "Next", True)]
     assert [one(A.continued(F.lit(a), F.lit(t).cast("string"), F.lit(b), F.lit(h))) for a, t, b, h, _ in cases] == [x for *_, x in cases]
     assert one(A.appended(F.lit("hy-"), F.lit("phen"))) == "hyphen" and one(A.appended(F.lit("two"), F.lit("words"))) == "two words"
 

@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans import listings, registry
+from palimpsest.plans import listings, reads, registry
 
 DATA = "/root/testdata/sf0.001"
-NAMES = [n for n, f in registry.QUERIES.items() if f.__module__ == listings.__name__]
+NAMES = [n for n, f in registry.QUERIES.items() if f.__module__ in (listings.__name__, reads.__name__) and n in registry.ORACLE]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
