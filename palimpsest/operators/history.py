@@ -149,7 +149,7 @@ def with_children(own: DataFrame, children: DataFrame) -> DataFrame:
     """An object's own revisions and those of its child rows (obj_id, event_id, at, label), newest first by (at, event_id)."""
     both = own.select("obj_id", "event_id", "at", F.lit(None).cast("string").alias("label"), F.lit(False).alias("is_related"))
     both = both.unionByName(children.select("obj_id", "event_id", "at", "label", F.lit(True).alias("is_related")))
-    return both.withColumn("pos", F.row_number().over(Window.partitionBy("obj_id").orderBy(F.desc("at"), F.desc("event_id"), "is_related")))
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy("obj_id").orderBy(F.desc("at"), F.desc("event_id"), "is_related", "label")))
 
 
 def bulk_update(log: DataFrame, which: Column, values: dict[str, Column]) -> DataFrame:

@@ -137,7 +137,7 @@ def U4_tagged_diff(spark, d):
     return got.select("obj_id", "version", F.array_join(F.transform("changes", lambda c: c["field"]), ",").alias("changed"), F.array_join("unknown", ",").alias("unknown"))
 
 
-@query("SELECT obj_id, event_id, label, row_number() OVER (PARTITION BY obj_id ORDER BY \"at\" DESC, event_id DESC, is_related) AS pos FROM (SELECT o_custkey AS obj_id, o_orderkey AS event_id, o_orderdate AS \"at\", NULL AS label, FALSE AS is_related FROM orders UNION ALL SELECT o_custkey, l_orderkey, l_shipdate, p_name || ', ' || s_name, TRUE FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)")
+@query("SELECT obj_id, event_id, label, row_number() OVER (PARTITION BY obj_id ORDER BY \"at\" DESC, event_id DESC, is_related, label) AS pos FROM (SELECT o_custkey AS obj_id, o_orderkey AS event_id, o_orderdate AS \"at\", NULL AS label, FALSE AS is_related FROM orders UNION ALL SELECT o_custkey, l_orderkey, l_shipdate, p_name || ', ' || s_name, TRUE FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)")
 def D2_revisions_with_children(spark, d):
     own = t(spark, d, "orders").select(F.col("o_custkey").alias("obj_id"), F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("at"))
     kids = t(spark, d, "lineitem").join(own.select("obj_id", F.col("event_id").alias("l_orderkey")), "l_orderkey").select("obj_id", F.col("l_orderkey").alias("event_id"), F.col("l_shipdate").alias("at"), "l_partkey", "l_suppkey")
