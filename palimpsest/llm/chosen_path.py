@@ -38,7 +38,8 @@ from palimpsest.llm import base
 WORDS = 5
 THRESHOLD = 0.8
 COORDS = 48
-SMALL = 64
+#: Sets of a bucket that is compared as it is: one tile.
+SMALL = 1000
 TILE = 1000
 #: Shingles of a block, on average at most; two blocks make a tile.
 TILE_SHINGLES = 2_000_000
