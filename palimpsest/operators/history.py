@@ -50,12 +50,17 @@ def with_current(log: DataFrame) -> DataFrame:
     return log.withColumn("is_current", F.col("version") == F.max("version").over(Window.partitionBy("obj_id")))
 
 
+def counted_on(tops: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows with version and seq that count on from their object's last (obj_id, top, top_seq)."""
+    n = F.row_number().over(Window.partitionBy("obj_id").orderBy("seq"))
+    new = rows.join(tops, "obj_id", "left").withColumns({"version": F.coalesce("top", F.lit(0)) + n, "seq": F.coalesce("top_seq", F.lit(0)) + n})
+    return new.drop("top", "top_seq")
+
+
 def append(log: DataFrame, rows: DataFrame) -> DataFrame:
     """The log with further versions of its objects: each counts on from the object's last."""
-    top = log.groupBy("obj_id").agg(F.max("version").alias("top"), F.max("seq").alias("top_seq"))
-    n = F.row_number().over(Window.partitionBy("obj_id").orderBy("seq"))
-    new = rows.join(top, "obj_id", "left").withColumns({"version": F.coalesce("top", F.lit(0)) + n, "seq": F.coalesce("top_seq", F.lit(0)) + n})
-    return log.unionByName(new.select(*log.columns))
+    tops = log.groupBy("obj_id").agg(F.max("version").alias("top"), F.max("seq").alias("top_seq"))
+    return log.unionByName(counted_on(tops, rows).select(*log.columns))
 
 
 def restore(log: DataFrame, version: int) -> DataFrame:

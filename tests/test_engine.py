@@ -145,6 +145,21 @@ def test_streamed_capture_counts_versions(spark, tmp_path):
     assert got == {("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), ("a", 3, "w")}
 
 
+def test_capture_counts_on_over_compacted_tops_and_replays(spark, tmp_path, monkeypatch):
+    from palimpsest.streaming import capture as c
+
+    monkeypatch.setattr(c, "COMPACT", 2)
+    log, schema = str(tmp_path / "log"), "obj_id string, seq int, name string"
+    batches = [[("a", 4, "a1"), ("b", 9, "b1")], [("a", 1, "a2")], [("c", 1, "c1")], [], [("b", 2, "b3"), ("b", 1, "b2"), ("a", 1, "a3")], [("c", 7, "c2"), (None, 1, "n")]]
+    for epoch, rows in enumerate(batches):
+        for _ in range(1 + (epoch in (0, 2, 4))):  # replays of batches with all objects
+            c.write_batch(spark.createDataFrame(rows, schema), epoch, log)
+    got = {(r.name, r.version) for r in spark.read.parquet(log).collect()}
+    assert got == {("a1", 1), ("a2", 2), ("a3", 3), ("b1", 1), ("b2", 2), ("b3", 3), ("c1", 1), ("c2", 2), ("n", 1)}
+    tops = spark.read.parquet(log + "-tops")
+    assert {(r.obj_id, r.top) for r in tops.where("batch = 4").collect()} == {("a", 3), ("b", 3), ("c", 1)} and tops.where("batch = 5").count() == 2
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 
