@@ -78,10 +78,12 @@ def snippet(text, at, before: int = 60, after: int = 120):
     return F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(end < F.length(text), "…").otherwise(""))
 
 
-def interpolate(pages: DataFrame) -> DataFrame:
+def interpolate(pages: DataFrame, priors: DataFrame | None = None) -> DataFrame:
     """Pages (content_id, number, lo, hi) with est_lo, est_hi and conf from the nearest dated page on either side.
 
     Not for contents whose dated pages aren't in order. Between two: 0.7 less 0.1 a page, 0.2 at least; at an end 0.5, 0.1 at least.
+    An estimate with an open side is narrowed to what it shares with its content's prior (content_id, prior_lo, prior_hi;
+    one row a content, null is open); if they share no day it stays as it is.
     """
     w = Window.partitionBy("content_id").orderBy("number")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
@@ -97,6 +99,13 @@ def interpolate(pages: DataFrame) -> DataFrame:
     dist = F.least(F.col("number") - F.col("p.number"), F.col("n.number") - F.col("number"))
     conf = F.when(both, F.greatest(F.lit(20), 70 - 10 * (dist - 1))).otherwise(F.greatest(F.lit(10), 50 - 10 * (dist - 1))) / 100
     use = ~dated & F.col("ordered") & (F.col("p").isNotNull() | F.col("n").isNotNull())
+    got = got.withColumns({"low": lo, "high": hi})
+    lo, hi = F.col("low"), F.col("high")
+    if priors is not None:
+        got = got.join(priors.select("content_id", "prior_lo", "prior_hi"), "content_id", "left")
+        low, high = F.greatest("low", "prior_lo"), F.least("high", "prior_hi")
+        narrow = (lo.isNull() | hi.isNull()) & F.coalesce(low <= high, F.lit(True))
+        lo, hi = F.when(narrow, low).otherwise(lo), F.when(narrow, high).otherwise(hi)
     return got.select("content_id", "number", F.when(dated, F.col("lo")).when(use, lo).alias("est_lo"), F.when(dated, F.col("hi")).when(use, hi).alias("est_hi"), F.when(use, conf).alias("conf"))
 
 

@@ -17,7 +17,7 @@ from palimpsest.operators import history as H
 from palimpsest.operators import lineage as L
 from palimpsest.operators import projections as P
 from palimpsest.operators import reads as R
-from palimpsest.plans.registry import LOG, _tree, log, query, t
+from palimpsest.plans.registry import LOG, PAGES, _tree, log, query, t
 
 # --- lineage
 
@@ -489,3 +489,17 @@ def E17_created_day(spark, d):
 def K9_flipped_title(spark, d):
     title = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "scan.pdf").otherwise(F.col("c_name"))
     return t(spark, d, "customer").select("c_custkey", R.flipped_title(title, F.lit("scan.pdf"), F.lit("found")).alias("title"))
+
+
+@query(PAGES + """, w AS (SELECT *, max(CASE WHEN d IS NOT NULL THEN number END) OVER b AS pn, last_value(d IGNORE NULLS) OVER b AS pd, min(CASE WHEN d IS NOT NULL THEN number END) OVER a AS nn, first_value(d IGNORE NULLS) OVER a AS nd
+  FROM pg WINDOW b AS (PARTITION BY content_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY content_id ORDER BY number ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+q AS (SELECT *, CASE WHEN content_id % 3 > 0 THEN DATE '1993-01-01' END AS lo, CASE WHEN content_id % 3 = 1 THEN DATE '1996-12-31' END AS hi FROM w)
+SELECT content_id, number, CASE WHEN d IS NOT NULL THEN d WHEN pd IS NOT NULL AND nd IS NOT NULL THEN pd WHEN pd IS NOT NULL THEN CASE WHEN hi < pd OR lo IS NULL THEN pd ELSE greatest(pd, lo) END WHEN nd >= lo THEN lo END AS est_lo,
+  CASE WHEN d IS NOT NULL THEN d WHEN pd IS NOT NULL AND nd IS NOT NULL THEN nd WHEN nd IS NOT NULL THEN CASE WHEN lo > nd OR hi IS NULL THEN nd ELSE least(nd, hi) END WHEN pd <= hi THEN hi END AS est_hi FROM q""")
+def E10_narrowed_by_prior(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate").cast("date"))
+    pages = t(spark, d, "orders").select(F.col("o_custkey").alias("content_id"), F.row_number().over(w).alias("number"), day.alias("lo"), day.alias("hi"))
+    k, on = F.col("c_custkey"), lambda s: F.lit(s).cast("date")
+    priors = t(spark, d, "customer").select(k.alias("content_id"), F.when(k % 3 > 0, on("1993-01-01")).alias("prior_lo"), F.when(k % 3 == 1, on("1996-12-31")).alias("prior_hi"))
+    return D.interpolate(pages, priors).select("content_id", "number", "est_lo", "est_hi")

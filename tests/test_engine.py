@@ -110,6 +110,16 @@ def test_interpolation(spark):
     assert D.interpolate(wrong).where("conf IS NOT NULL").count() == 0
 
 
+def test_prior_narrows_open_estimates_alone(spark):
+    rows = [(c, n, d, d) for c in (1, 2, 3) for n, d in ((1, None), (2, "1944-05-01"), (3, None), (4, "1944-07-01"), (5, None))]
+    pages = spark.createDataFrame(rows, "content_id int, number int, lo string, hi string").selectExpr("content_id", "number", "date(lo) lo", "date(hi) hi")
+    priors = spark.createDataFrame([(1, "1944-01-01", "1944-12-31"), (2, "1944-06-01", None)], "content_id int, prior_lo string, prior_hi string")
+    got = {(r.content_id, r.number): (r.est_lo and str(r.est_lo), r.est_hi and str(r.est_hi)) for r in D.interpolate(pages, priors.selectExpr("content_id", "date(prior_lo) prior_lo", "date(prior_hi) prior_hi")).collect()}
+    assert got[1, 1] == ("1944-01-01", "1944-05-01") and got[1, 5] == ("1944-07-01", "1944-12-31") and got[1, 3] == ("1944-05-01", "1944-07-01")
+    assert got[2, 1] == (None, "1944-05-01") and got[2, 5] == ("1944-07-01", None)  # the prior starts after the first anchor
+    assert got[3, 1] == (None, "1944-05-01") and got[3, 5] == ("1944-07-01", None)
+
+
 def test_rebuild_is_idempotent(spark):
     have = spark.createDataFrame([(1, "a", False), (2, "b", False), (3, "c", True)], "id int, p string, retired boolean")
     want = spark.createDataFrame([(1, "a"), (3, "c"), (4, "d")], "id int, p string")
