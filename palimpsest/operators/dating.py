@@ -63,7 +63,7 @@ def _found(line: Column, heading: Column, form: str, groups: tuple) -> Column:
         return F.struct((at + size).alias("at"), F.when(stands, p["lo"]).otherwise(s["lo"]).alias("lo"), F.when(stands, p["hit"]).otherwise(s["said"]).alias("said"))
 
     last = lambda s: F.struct(s["lo"].alias("lo"), (F.last_day(s["lo"]) if d is None else s["lo"]).alias("hi"), s["said"].alias("said"))
-    return F.when(read.rlike(r"(?U)\d{4}"), F.aggregate(dates, start, step, last))  # no form is without a year of four digits
+    return F.when(read.rlike(f"(?U){form}"), F.aggregate(dates, start, step, last))
 
 
 def datelines(blocks: DataFrame, text: str = "text", heading: str = "heading") -> DataFrame:
