@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions import expressions as E
 from palimpsest.operators import dating as T
 from palimpsest.operators import history as H
 from palimpsest.operators import pages as B
 from palimpsest.operators import requests as Q
+from palimpsest.operators import snapshot as Z
 from palimpsest.plans.registry import LOG, log, query, t
 
 # --- dates
@@ -207,3 +209,86 @@ def T4_policy_drift(spark, d):
 def G19_tag_list(spark, d):
     tags = F.array(F.concat(F.lit(" "), "p_brand"), F.lit("é"), F.lower("p_brand"), F.lit(" "), F.lit("É"), "p_name")
     return t(spark, d, "part").select("p_partkey", F.array_join(Q.normalised_tags(tags), "|").alias("tags"))
+
+
+# --- trees as they are stored: a conversation's sections of two turns each
+
+
+TURNS = """WITH lf AS (SELECT conv_id AS content_id, lpad(CAST(turn // 2 + 1 AS VARCHAR), 4, '0') AS up, turn % 2 + 1 AS k, CASE WHEN turn % 5 = 2 THEN 'pre' WHEN turn % 7 = 0 THEN 'h2' ELSE 'p' END AS tag, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT content_id, up || '.' || lpad(CAST(k AS VARCHAR), 4, '0') AS path, tag, text FROM lf UNION ALL SELECT DISTINCT content_id, up, 'section', NULL FROM lf),
+p AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY path) AS nid, text IS NOT NULL AS leaf FROM n),
+o AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY content_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS text_start FROM p),
+h AS (SELECT *, '<' || tag || ' data-nid="' || nid || '">' || CASE WHEN leaf THEN CASE tag WHEN 'pre' THEN chr(10) ELSE '' END || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</' || tag || '>' ELSE '' END AS piece FROM p),
+s AS (SELECT content_id, substr(path, 1, 4) AS up, string_agg(piece, '' ORDER BY path) || '</section>' AS part FROM h GROUP BY 1, 2),
+d AS (SELECT content_id, string_agg(part, '' ORDER BY up) AS html FROM s GROUP BY 1) """
+
+
+def _plan(spark, d):
+    seg = lambda c: F.lpad(c.cast("string"), 4, "0")
+    up = seg(F.floor(F.col("turn") / 2) + 1)
+    tag = F.when(F.col("turn") % 5 == 2, "pre").when(F.col("turn") % 7 == 0, "h2").otherwise("p")
+    turns = t(spark, d, "conversations").withColumn("up", up)
+    leaves = turns.select(F.col("conv_id").alias("content_id"), F.concat_ws(".", "up", seg(F.col("turn") % 2 + 1)).alias("path"), tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    tops = turns.select(F.col("conv_id").alias("content_id"), F.col("up").alias("path")).distinct().select("content_id", "path", F.lit("section").alias("tag"), F.lit(None).cast("string").alias("text"))
+    return Z.planned(leaves.unionByName(tops))
+
+
+@query(TURNS + "SELECT content_id, path, nid, leaf, CAST(text_start AS BIGINT) AS text_start, CAST(CASE WHEN leaf THEN text_start + length(text) ELSE max(text_start + length(text)) OVER (PARTITION BY content_id, substr(path, 1, 4)) END AS BIGINT) AS text_end FROM o")
+def X30_plan(spark, d):
+    return _plan(spark, d).select("content_id", "path", "nid", "leaf", "text_start", "text_end")
+
+
+@query("SELECT p_partkey, unnest(list_filter([CASE WHEN p_size % 5 = 0 THEN 'tag' END, CASE WHEN p_size % 3 = 0 THEN 'both' END, CASE WHEN p_size % 7 = 0 THEN 'siblings' END], lambda x: x IS NOT NULL)) AS problem FROM part")
+def X30_plan_problems(spark, d):
+    k = F.col("p_size")
+    tree = t(spark, d, "part").select("p_partkey", k, F.col("p_partkey").alias("content_id"), F.when(k % 7 == 0, "10000").otherwise("0001").alias("path"))
+    top = tree.select("content_id", "path", F.when(k % 5 == 0, "script").otherwise("section").alias("tag"), F.when(k % 3 == 0, "x").alias("text"))
+    low = tree.select("content_id", F.concat("path", F.lit(".0001")).alias("path"), F.lit("p").alias("tag"), F.lit("y").alias("text"))
+    found = Z.plan_problems(Z.planned(top.unionByName(low)))
+    return found.where("nid = 1").select(F.col("content_id").alias("p_partkey"), "problem")
+
+
+@query(TURNS + "SELECT content_id, html FROM d")
+def X32_rendered(spark, d):
+    return Z.rendered(_plan(spark, d))
+
+
+@query(TURNS + "SELECT content_id, nid, html_start, html_start + CASE WHEN leaf THEN length(piece) ELSE strpos(substr(html, html_start + 1), '</section>') + 9 END AS html_end FROM (SELECT h.*, html, strpos(html, ' data-nid=\"' || nid || '\">') - length(tag) - 2 AS html_start FROM h JOIN d USING (content_id))")
+def X34_located(spark, d):
+    return Z.located(_plan(spark, d))
+
+
+@query(TURNS + "SELECT content_id, nid, 'slice' AS problem FROM p WHERE nid % 10 = 3 UNION ALL SELECT content_id, nid, 'parent' FROM p WHERE leaf AND nid % 10 = 3 AND path LIKE '%.0002'")
+def X36_enclosure(spark, d):
+    plan = _plan(spark, d)
+    off = F.when(F.col("nid") % 10 == 3, 1).otherwise(0)  # a node is stored one place off
+    kept = plan.join(Z.located(plan), ["content_id", "nid"])
+    last = F.col("leaf") & F.col("path").endswith(".0002")
+    moved = kept.withColumns({"html_start": F.col("html_start") + off, "text_end": F.col("text_end") + F.when(last, off).otherwise(0)})
+    return Z.enclosure_problems(moved, Z.rendered(plan))
+
+
+@query("""WITH i AS (SELECT conv_id AS content_id, turn AS item, CASE WHEN turn % 6 = 0 THEN 'h2' WHEN turn % 6 < 3 THEN 'li' WHEN turn % 6 = 3 THEN 'figcaption' WHEN turn % 6 = 4 THEN 'figure' ELSE CASE WHEN conv_id % 2 = 0 THEN 'figcaption' ELSE 'p' END END AS kind FROM conversations),
+g AS (SELECT *, lag(kind) OVER w AS before FROM i WINDOW w AS (PARTITION BY content_id ORDER BY item))
+SELECT content_id, item, CASE WHEN kind = 'li' THEN 'list' WHEN kind = 'h2' THEN 'heading' WHEN kind = 'figure' OR (kind = 'figcaption' AND lead(kind) OVER w = 'figure') THEN 'figure' ELSE 'block' END AS shape,
+  sum(CASE WHEN kind = 'li' AND before = 'li' THEN 0 WHEN kind = 'figure' AND before = 'figcaption' THEN 0 ELSE 1 END) OVER (PARTITION BY content_id ORDER BY item)::BIGINT AS grp FROM g WINDOW w AS (PARTITION BY content_id ORDER BY item)""")
+def X24_groups(spark, d):
+    k = F.col("turn") % 6
+    kind = F.when(k == 0, "h2").when(k < 3, "li").when(k == 3, "figcaption").when(k == 4, "figure").when(F.col("conv_id") % 2 == 0, "figcaption").otherwise("p")
+    return Z.grouped(t(spark, d, "conversations").select(F.col("conv_id").alias("content_id"), F.col("turn").alias("item"), kind.alias("kind"))).select("content_id", "item", "shape", "grp")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'name' || chr(9) || 'size' || chr(10) ELSE '' END || p_name || chr(9) || p_size || chr(10) || CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN '' ELSE CASE WHEN p_size % 3 = 0 THEN 'name' || chr(9) || 'size' || chr(10) ELSE 'Name' || chr(9) || 'size' || chr(10) END END || p_brand || chr(9) AS text FROM part")
+def X23_table_appended(spark, d):
+    row = lambda a, b: F.array(a, b)
+    size, head = F.col("p_size"), row(F.lit("name"), F.lit("size"))
+    first = row(F.col("p_name"), size.cast("string"))
+    table = Z.table_of(F.when(size % 2 == 0, F.array(head, first)).otherwise(F.array(first)), size % 2 == 0)
+    more = Z.table_of(F.array(F.when(size % 3 == 0, head).otherwise(row(F.lit("Name"), F.lit("size"))), row(F.col("p_brand"), F.lit(None).cast("string"))), size % 5 == 0)
+    return t(spark, d, "part").select("p_partkey", Z.table_text(Z.table_appended(table, more)).alias("text"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size = 1")
+def F15_subtree(spark, d):
+    path = F.when(F.col("p_partkey") % 4 == 0, F.col("p_size").cast("string")).otherwise(F.concat_ws(".", F.col("p_size").cast("string"), F.col("p_partkey").cast("string")))
+    return t(spark, d, "part").where(E.in_subtree(path, F.lit("1"))).select("p_partkey")
