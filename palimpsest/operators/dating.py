@@ -1,4 +1,4 @@
-"""Datelines, and what must hold once a document is dated. All stays in the JVM."""
+"""Datelines, the dates of a document's nodes and pages, and what must hold of them. All stays in the JVM."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import expressions as E
+from palimpsest.functions import layout as Y
+from palimpsest.operators import documents as D
 
 #: German and English names of the months.
 MONTHS = {
@@ -97,3 +99,71 @@ def violations(nodes: DataFrame, contents: DataFrame) -> DataFrame:
     back = F.get(F.transform(F.array(E.edtf_of(F.col("lo"), F.col("hi"))), lambda said: pair(*E.edtf_bounds(said))), F.lit(0))  # bound once by the lambda: inlined it would grow past what can be compiled
     turned = nodes.where(~back.eqNullSafe(pair(F.col("lo"), F.col("hi"))))
     return named(low.where(leaves), "parent").unionByName(named(all_of.where(leaves), "content")).unionByName(named(turned, "round trip"))
+
+
+def _spanned(rows: DataFrame, keys: list[str], date: str, source: str, alias: str) -> DataFrame:
+    """The envelope of dates by keys as struct<lo, hi, conf, source>, as sure as the least sure; null if their bounds contradict."""
+    lo, hi = F.min(f"{date}.lo"), F.max(f"{date}.hi")
+    made = F.struct(lo.alias("lo"), hi.alias("hi"), F.min(f"{date}.conf").alias("conf"), F.lit(source).alias("source"))
+    return rows.groupBy(*keys).agg(F.when(F.coalesce(lo <= hi, F.lit(True)), made).alias(alias))
+
+
+def dated(plan: DataFrame, on_pages: DataFrame, pages: DataFrame, priors: DataFrame, inferred: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (content_id, nid, path), pages (content_id, number) and contents (content_id), each with ``date``: struct<lo, hi, conf, source>.
+
+    ``plan`` is of ``snapshot.planned``; on_pages (content_id, nid, page) says which pages a leaf is on, priors (content_id, hint, metadata)
+    what is known of a content before, inferred (content_id, nid, lo, hi, conf) what a model made of a node. Datelines come first (EXPLICIT),
+    then what was inferred; a page spans its datelines (AGGREGATED), pages between are INTERPOLATED; a container spans what is dated below
+    it, a content its pages and topmost nodes, else it has its prior. The rest inherits, from its pages within the nearest dated
+    ancestor, from that, or from a content with a prior. A container whose leaves contradict each other is undated as long as it doesn't inherit.
+
+    A node's ancestors, at most as many as a path has segments, meet in one array; no other group is gathered.
+    """
+    key = ["content_id", "path"]
+    heads = datelines(plan.where("leaf").withColumn("heading", F.col("tag").rlike("^h[1-6]$"))).select(*key, "dateline")
+    said = F.when(F.col("dateline").isNotNull(), F.struct("dateline.lo", "dateline.hi", "dateline.conf", F.lit("EXPLICIT").alias("source")))
+    guess = F.when(F.col("g.lo").isNotNull() | F.col("g.hi").isNotNull(), F.struct("g.lo", "g.hi", F.col("g.conf").cast("double").alias("conf"), F.lit("INFERRED").alias("source")))
+    given = inferred.select("content_id", "nid", F.struct("lo", "hi", "conf").alias("g"))
+    nodes = plan.select("content_id", "nid", "path", "depth", "leaf").join(heads, key, "left").join(given, ["content_id", "nid"], "left").withColumn("own", F.coalesce(said, guess))
+
+    met = nodes.where("own.source = 'EXPLICIT'").join(on_pages, ["content_id", "nid"])
+    anchors = _spanned(met, ["content_id", "page"], "own", "AGGREGATED", "seen").withColumnRenamed("page", "number")
+    bounds = lambda c: F.get(F.transform(F.array(c), lambda said: F.struct(*(b.alias(n) for b, n in zip(E.edtf_bounds(said), ("lo", "hi"), strict=True)))), F.lit(0))  # noqa: E731  bound once, as above
+    said_so = lambda c, conf, source: F.when(F.col(f"{c}.lo").isNotNull() | F.col(f"{c}.hi").isNotNull(), F.struct(f"{c}.lo", f"{c}.hi", F.lit(conf).alias("conf"), F.lit(source).alias("source")))
+    known = priors.select("content_id", bounds(F.col("hint")).alias("h"), bounds(F.col("metadata")).alias("m")).select("content_id", F.coalesce(said_so("h", 0.5, "INFERRED"), said_so("m", 0.3, "METADATA")).alias("prior"))
+    numbered = pages.select("content_id", "number").join(anchors, ["content_id", "number"], "left")
+    between = D.interpolate(numbered.select("content_id", "number", "seen.lo", "seen.hi"), known.select("content_id", F.col("prior.lo").alias("prior_lo"), F.col("prior.hi").alias("prior_hi")))
+    guessed = F.when(F.col("est_lo").isNotNull() | F.col("est_hi").isNotNull(), F.struct(F.col("est_lo").alias("lo"), F.col("est_hi").alias("hi"), F.col("conf").cast("double").alias("conf"), F.lit("INTERPOLATED").alias("source")))
+    leaves = numbered.join(between, ["content_id", "number"]).select("content_id", "number", F.coalesce("seen", guessed).alias("date"))
+
+    above = lambda df: df.withColumn("top", F.explode(E.ancestors(F.col("path"), own=False)))
+    tops = above(nodes.where("own IS NOT NULL")).select("content_id", F.col("top").alias("path")).distinct()
+    lowest = nodes.where("own IS NOT NULL").join(tops, key, "left_anti")
+    spans = _spanned(above(lowest), ["content_id", "top"], "own", "AGGREGATED", "span").withColumnRenamed("top", "path").withColumn("spanned", F.lit(True))
+    nodes = nodes.join(spans, key, "left").withColumn("own", F.when(F.col("spanned"), F.col("span")).otherwise(F.col("own"))).drop("span", "spanned", "dateline", "g")
+
+    parts = nodes.where("depth = 0 AND own IS NOT NULL").select("content_id", F.col("own").alias("date")).unionByName(leaves.where("date IS NOT NULL").select("content_id", "date"))
+    whole = plan.select("content_id").unionByName(pages.select("content_id")).distinct()
+    whole = whole.join(_spanned(parts, ["content_id"], "date", "AGGREGATED", "span"), "content_id", "left").join(known, "content_id", "left").select("content_id", F.coalesce("span", "prior").alias("date"))
+
+    down = lambda d, lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"), Y.inherited(d["conf"]).alias("conf"), F.lit("INHERITED").alias("source"))
+    as_is = lambda d: down(d, d["lo"], d["hi"])
+    fill = F.when(F.col("c.source").isin("INFERRED", "METADATA"), F.col("c"))
+    full = leaves.join(whole.select("content_id", F.col("date").alias("c")), "content_id", "left").withColumn("fill", fill)
+    full = full.select("content_id", "number", F.coalesce("date", F.when(F.col("fill").isNotNull(), as_is(F.col("fill")))).alias("date"))
+
+    spots = on_pages.join(plan.select("content_id", "nid", "path"), ["content_id", "nid"]).withColumn("path", F.explode(E.ancestors(F.col("path")))).select(*key, F.col("page").alias("number")).distinct()
+    drawn = _spanned(spots.join(full.where("date IS NOT NULL"), ["content_id", "number"]), key, "date", "AGGREGATED", "drawn")
+    nodes = nodes.join(drawn, key, "left")
+    chain = nodes.select("content_id", "nid", "path", F.explode(E.ancestors(F.col("path"))).alias("top")).join(nodes.select("content_id", F.col("path").alias("top"), "own", "drawn"), ["content_id", "top"])
+    chain = chain.groupBy("content_id", "nid", "path").agg(F.array_sort(F.collect_list(F.struct("top", "own", "drawn"))).alias("chain"))
+    chain = chain.join(whole.select("content_id", F.col("date").alias("c")), "content_id", "left").withColumn("fill", fill)
+
+    def step(near: Column, x: Column) -> Column:
+        lo, hi = E.intersect(x["drawn"]["lo"], x["drawn"]["hi"], near["lo"], near["hi"])
+        meets = lo.isNotNull() | hi.isNotNull()
+        narrowed = down(x["drawn"], F.when(meets, lo).otherwise(near["lo"]), F.when(meets, hi).otherwise(near["hi"]))
+        return F.when(x["own"].isNotNull(), x["own"]).when(x["drawn"].isNotNull() & near.isNotNull(), narrowed).when(x["drawn"].isNotNull(), as_is(x["drawn"])).when(near.isNotNull(), as_is(near)).when(F.col("fill").isNotNull(), as_is(F.col("fill")))
+
+    none = F.lit(None).cast("struct<lo:date,hi:date,conf:double,source:string>")
+    return chain.select("content_id", "nid", "path", F.aggregate("chain", none, step).alias("date")), full, whole

@@ -55,6 +55,19 @@ def E13_dating_violations(spark, d):
     return T.violations(n.unionByName(s).withColumn("content_id", F.lit(1)), whole).select("path", "problem")
 
 
+@query()  # held against plain Python in tests/test_dating.py
+def E8_dated_nodes(spark, d):
+    plan = _plan(spark, d)
+    said = F.when(F.col("nid") % 8 == 3, F.concat(F.lit("Altdorf, "), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("nid") * 3).cast("int")), "dd.MM.yyyy")))
+    plan = plan.withColumn("text", F.when(F.col("leaf"), F.coalesce(said, F.lit("text"))))
+    spots = plan.where("leaf").select("content_id", "nid", F.ceil(F.col("nid") / 4).cast("int").alias("page"))
+    pages = spots.select("content_id", F.col("page").alias("number")).distinct()
+    priors = plan.select("content_id").distinct().select("content_id", F.when(F.col("content_id") % 3 == 0, "1990").alias("hint"), F.lit(None).cast("string").alias("metadata"))
+    guesses = plan.where("nid % 11 = 5").select("content_id", "nid", F.lit("1990-02-01").cast("date").alias("lo"), F.lit("1990-02-28").cast("date").alias("hi"), F.lit(0.6).alias("conf"))
+    nodes, _, _ = T.dated(plan, spots, pages, priors, guesses)
+    return nodes.select("content_id", "nid", "date.lo", "date.hi", "date.conf", "date.source")
+
+
 # --- pages
 
 
