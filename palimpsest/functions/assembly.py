@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import expressions as E
 
 #: Block kinds of which a page's last may go on in the next page's first, and how a finished block ends.
-JOINABLE = ("p", "li", "figcaption", "blockquote", "pre")
+JOINABLE = ("p", "li", "figcaption", "blockquote", "pre", "table")
 FINAL = (".", "!", "?", ":", ";", "”", "\"", "»", ")")
 
 
@@ -41,6 +41,12 @@ def noise(kind: Column, text: Column) -> Column:
     return ~kind.isin("table", "figure") & (F.length(flat) <= 4) & ~flat.rlike(r"[\p{L}\p{N}]")
 
 
+def compatible(tail_kind: Column, head_kind: Column, merge_tables: bool = True) -> Column:
+    """Whether a block of a kind may go on from one of another: kinds alike among JOINABLE, tables only where they are merged."""
+    fine = (tail_kind == head_kind) & tail_kind.isin(*JOINABLE)
+    return F.coalesce(fine if merge_tables else fine & (head_kind != "table"), F.lit(False))
+
+
 def continued(tail_kind: Column, tail: Column, head_kind: Column, head: Column) -> Column:
     """Whether a page's first block seems to go on from the last block of the page before: kinds alike; then a tail in ``-``
     does, one that is finished doesn't, else a head that begins in lower case or with a digit does.
@@ -48,7 +54,7 @@ def continued(tail_kind: Column, tail: Column, head_kind: Column, head: Column)
     flat = lambda c, p: F.regexp_replace(c, p, "")
     last, first = F.substring(flat(tail, r"(?U)\s+$"), -1, 1), F.substring(flat(head, r"(?U)^\s+"), 1, 1)
     looks = F.when(last.isNull() | (last == "") | first.isNull() | (first == ""), False).when(last == "-", True).when(last.isin(*FINAL), False).otherwise(first.rlike(r"^[\p{Ll}\p{N}]"))
-    return F.coalesce((tail_kind == head_kind) & tail_kind.isin(*JOINABLE) & looks, F.lit(False))
+    return F.coalesce(compatible(tail_kind, head_kind, merge_tables=False) & looks, F.lit(False))
 
 
 def appended(tail: Column, head: Column) -> Column:

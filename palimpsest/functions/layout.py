@@ -74,8 +74,14 @@ def shown_date(lo: Column, hi: Column) -> Column:
 
 
 def inherited(conf: Column) -> Column:
-    """What is left of a confidence one step down: nine tenths, to two places, as binary fractions round (0.95 gives 0.85)."""
-    return F.when(F.round(conf, 2) == 0.95, 0.85).otherwise(F.round(conf * 0.9, 2))
+    """What is left of a confidence from 0 to 1 one step down: nine tenths as a double, rounded to two places by its exact value (so 0.95 gives
+    0.85), a tie to the even side."""
+    # the double is a whole number of 2**-60, unless it is under 2**-8, where what is cut off decides nothing
+    whole = F.lit(2**61).cast("decimal(20,0)")
+    parts = (conf * 0.9 * 2.0**60).cast("long").cast("decimal(30,0)") * 200 + 2**60
+    step = ((parts - parts % whole) / whole).cast("long")
+    step = F.when((parts % whole == 0) & (step % 2 == 1), step - 1).otherwise(step)
+    return step / 100
 
 
 def created_day(stamp: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import expressions as E
 from palimpsest.functions import layout as Y
 from palimpsest.operators import documents as D
+from palimpsest.sources.staging import settled
 
 #: German and English names of the months.
 MONTHS = {
@@ -108,6 +111,25 @@ def _spanned(rows: DataFrame, keys: list[str], date: str, source: str, alias: st
     return rows.groupBy(*keys).agg(F.when(F.coalesce(lo <= hi, F.lit(True)), made).alias(alias))
 
 
+def _spans(live: DataFrame) -> DataFrame:
+    """(content_id, path, span) of every container above the dated nodes ``live`` (content_id, path, own): the envelope of its dated children; null where
+    they contradict. A container spans what its lowest dated descendants do, but for those below one that contradicts itself; the
+    lowest such containers are settled first and taken out with all below them, so there is a round for each level of them, mostly one."""
+    above = lambda df, own: df.withColumn("top", F.explode(E.ancestors(F.col("path"), own=own)))
+    tops = lambda df: above(df, False).select("content_id", F.col("top").alias("path")).distinct()
+    done = []
+    while True:
+        lowest = live.join(tops(live), ["content_id", "path"], "left_anti")
+        spans = settled(_spanned(above(lowest, False), ["content_id", "top"], "own", "AGGREGATED", "span").withColumnRenamed("top", "path"), "spans")
+        wrong = spans.where("span IS NULL")
+        if not wrong.head(1):
+            return functools.reduce(DataFrame.unionByName, [*done, spans])
+        low = wrong.join(tops(wrong), ["content_id", "path"], "left_anti").select("content_id", F.col("path").alias("top"))
+        under = lambda df, low=low: above(df, True).join(low, ["content_id", "top"], "left_semi").select("content_id", "path").distinct()
+        done.append(spans.join(under(spans), ["content_id", "path"], "left_semi"))
+        live = settled(live.join(under(live), ["content_id", "path"], "left_anti"), "live")
+
+
 def dated(plan: DataFrame, on_pages: DataFrame, pages: DataFrame, priors: DataFrame, inferred: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (content_id, nid, path), pages (content_id, number) and contents (content_id), each with ``date``: struct<lo, hi, conf, source>.
 
@@ -115,7 +137,8 @@ def dated(plan: DataFrame, on_pages: DataFrame, pages: DataFrame, priors: DataFr
     what is known of a content before, inferred (content_id, nid, lo, hi, conf) what a model made of a node. Datelines come first (EXPLICIT),
     then what was inferred; a page spans its datelines (AGGREGATED), pages between are INTERPOLATED; a container spans what is dated below
     it, a content its pages and topmost nodes, else it has its prior. The rest inherits, from its pages within the nearest dated
-    ancestor, from that, or from a content with a prior. A container whose leaves contradict each other is undated as long as it doesn't inherit.
+    ancestor, from that, or from a content with a prior. A container whose children contradict each other is undated as long as it doesn't inherit,
+    and so adds nothing to what is above it. Nodes and their spans are written to the shared folder.
 
     A node's ancestors, at most as many as a path has segments, meet in one array; no other group is gathered.
     """
@@ -125,6 +148,7 @@ def dated(plan: DataFrame, on_pages: DataFrame, pages: DataFrame, priors: DataFr
     guess = F.when(F.col("g.lo").isNotNull() | F.col("g.hi").isNotNull(), F.struct("g.lo", "g.hi", F.col("g.conf").cast("double").alias("conf"), F.lit("INFERRED").alias("source")))
     given = inferred.select("content_id", "nid", F.struct("lo", "hi", "conf").alias("g"))
     nodes = plan.select("content_id", "nid", "path", "depth", "leaf").join(heads, key, "left").join(given, ["content_id", "nid"], "left").withColumn("own", F.coalesce(said, guess))
+    nodes = settled(nodes.drop("dateline", "g"), "dating")
 
     met = nodes.where("own.source = 'EXPLICIT'").join(on_pages, ["content_id", "nid"])
     anchors = _spanned(met, ["content_id", "page"], "own", "AGGREGATED", "seen").withColumnRenamed("page", "number")
@@ -137,10 +161,9 @@ def dated(plan: DataFrame, on_pages: DataFrame, pages: DataFrame, priors: DataFr
     leaves = numbered.join(between, ["content_id", "number"]).select("content_id", "number", F.coalesce("seen", guessed).alias("date"))
 
     above = lambda df: df.withColumn("top", F.explode(E.ancestors(F.col("path"), own=False)))
-    tops = above(nodes.where("own IS NOT NULL")).select("content_id", F.col("top").alias("path")).distinct()
-    lowest = nodes.where("own IS NOT NULL").join(tops, key, "left_anti")
-    spans = _spanned(above(lowest), ["content_id", "top"], "own", "AGGREGATED", "span").withColumnRenamed("top", "path").withColumn("spanned", F.lit(True))
-    nodes = nodes.join(spans, key, "left").withColumn("own", F.when(F.col("spanned"), F.col("span")).otherwise(F.col("own"))).drop("span", "spanned", "dateline", "g")
+    spans = _spans(nodes.where("own IS NOT NULL").select(*key, "own")).withColumn("spanned", F.lit(True))
+    nodes = nodes.join(spans, key, "left").withColumn("own", F.when(F.col("spanned"), F.col("span")).otherwise(F.col("own"))).drop("span", "spanned")
+    nodes = settled(nodes, "spanned")
 
     parts = nodes.where("depth = 0 AND own IS NOT NULL").select("content_id", F.col("own").alias("date")).unionByName(leaves.where("date IS NOT NULL").select("content_id", "date"))
     whole = plan.select("content_id").unionByName(pages.select("content_id")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import expressions as E
@@ -30,29 +30,51 @@ def text_offsets(leaves: DataFrame) -> DataFrame:
 
 
 def deepest(hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each hit (content_id, hit, at) with the smallest node whose range holds it; of equal ones the larger nid."""
-    met = hits.join(nodes, "content_id").where((F.col("text_start") <= F.col("at")) & (F.col("at") < F.col("text_end")))
-    best = F.min_by(F.col("nid"), F.struct((F.col("text_end") - F.col("text_start")).alias("w"), (-F.col("nid")).alias("n")))
-    return met.groupBy("content_id", "hit", "at").agg(best.alias("nid"))
+    """Each hit (content_id, hit, at) with the smallest node whose range holds it; of equal ones the larger nid.
+
+    Ranges lie within each other or apart, as a tree's do. The last node that starts at or before a hit holds it, or one of its
+    ancestors does (by ``path``; without that column the nodes are leaves), so a hit meets as many nodes as a path has segments."""
+    from palimpsest.operators.lineage import latest_before
+
+    tree = "path" in nodes.columns
+    start = F.col("text_start").alias("at")
+    size = F.col("text_end") - F.col("text_start")
+    mark = F.struct((-size).alias("inner"), "nid", F.col("text_end").alias("end"), *(["path"] if tree else [])).alias("found")
+    met = latest_before(hits, nodes.select("content_id", start, mark), "content_id", "at", F.floor(F.col("at") / 65536)).where("found IS NOT NULL")
+    if not tree:
+        return met.where(F.col("at") < F.col("found.end")).select("content_id", "hit", "at", F.col("found.nid").alias("nid"))
+    up = met.select("content_id", "hit", "at", F.explode(E.ancestors(F.col("found.path"))).alias("path")).join(nodes.select("content_id", "path", "nid", "text_start", "text_end"), ["content_id", "path"])
+    up = up.where((F.col("text_start") <= F.col("at")) & (F.col("at") < F.col("text_end")))
+    return up.groupBy("content_id", "hit", "at").agg(F.min_by("nid", F.struct(size.alias("w"), (-F.col("nid")).alias("n"))).alias("nid"))
+
+
+def celled(boxes: DataFrame, box: Column) -> DataFrame:
+    """Boxes (struct<x0, y0, x1, y1>) on the cells (grid, cx, cy) they lie on, 25 at most: a grid's cells measure a quarter to half of a box's longer side."""
+    side = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    rows = boxes.withColumn("grid", F.coalesce(F.least(F.ceil(1 - F.log2(side)), F.lit(40)), F.lit(40)).cast("int"))
+    for k in "xy":
+        rows = rows.withColumn(f"c{k}", F.explode(F.sequence(_cell(box[f"{k}0"]), _cell(box[f"{k}1"]))))
+    return rows
+
+
+def _cell(c: Column) -> Column:
+    return F.floor(c * F.pow(F.lit(2.0), F.col("grid")))
+
+
+def on_cells(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points (page, x, y) with the boxes of their page (``celled``) whose cell they lie on: on each page one cell of each grid that it has."""
+    placed = points.join(boxes.select("page", "grid").distinct(), "page").withColumns({"cx": _cell(F.col("x")), "cy": _cell(F.col("y"))})
+    return placed.join(boxes, ["page", "grid", "cx", "cy"])
 
 
 def hit(points: DataFrame, regions: DataFrame) -> DataFrame:
     """Each point (page, point, x, y) with the nid of the smallest shape that holds it: box first, then ring, smallest area first.
 
-    Points and shapes meet on cells of a grid. A shape's grid has cells of a quarter to half its box's longer side, so it lies on
-    25 cells at most; a point lies on one cell of each grid that a shape has.
+    Points and shapes meet on cells of grids, see ``celled``.
     """
-    box = E.ring_box(F.col("ring"))
     x, y = F.col("x"), F.col("y")
-    shaped = regions.withColumns({"box": box, "area": E.ring_area(F.col("ring"))})
-    side = F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"))
-    shaped = shaped.withColumn("grid", F.coalesce(F.least(F.ceil(1 - F.log2(side)), F.lit(40)), F.lit(40)).cast("int"))
-    cell = lambda c: F.floor(c * F.pow(F.lit(2.0), F.col("grid")))
-    grids = F.broadcast(shaped.select("grid").distinct())
-    for k in "xy":
-        shaped = shaped.withColumn(f"c{k}", F.explode(F.sequence(cell(F.col(f"box.{k}0")), cell(F.col(f"box.{k}1")))))
-    placed = points.crossJoin(grids).withColumns({"cx": cell(x), "cy": cell(y)})
-    met = placed.join(shaped, ["page", "grid", "cx", "cy"]).where((x >= F.col("box.x0")) & (x <= F.col("box.x1")) & (y >= F.col("box.y0")) & (y <= F.col("box.y1")) & E.point_in_ring(F.col("ring"), x, y))
+    shaped = celled(regions.withColumns({"box": E.ring_box(F.col("ring")), "area": E.ring_area(F.col("ring"))}), F.col("box"))
+    met = on_cells(points, shaped).where((x >= F.col("box.x0")) & (x <= F.col("box.x1")) & (y >= F.col("box.y0")) & (y <= F.col("box.y1")) & E.point_in_ring(F.col("ring"), x, y))
     return met.groupBy("page", "point").agg(F.min_by("nid", F.struct(F.round("area", 12), "nid")).alias("nid"))
 
 

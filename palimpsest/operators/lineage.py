@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_DEPTH, MAX_NODES = 10, 200
@@ -10,9 +10,26 @@ MAX_DEPTH, MAX_NODES = 10, 200
 
 def pinned(edges: DataFrame, versions: DataFrame) -> DataFrame:
     """Edges (target_id, source_id, at) with the source's version current at that time. ``versions``: obj_id, version, from_at, to_at."""
-    v = versions.select(F.col("obj_id").alias("source_id"), F.col("version").alias("source_version"), "from_at", "to_at")
-    met = edges.join(v, "source_id").where((F.col("at") >= F.col("from_at")) & (F.col("to_at").isNull() | (F.col("at") < F.col("to_at"))))
-    return met.drop("from_at", "to_at")
+    v = versions.select(F.col("obj_id").alias("source_id"), F.col("from_at").alias("at"), F.struct("version", "to_at").alias("found"))
+    met = latest_before(edges, v, "source_id", "at", F.date_trunc("month", "at"))
+    return met.where(F.col("found").isNotNull() & (F.col("found.to_at").isNull() | (F.col("at") < F.col("found.to_at")))).withColumn("source_version", F.col("found.version")).drop("found")
+
+
+def latest_before(rows: DataFrame, marks: DataFrame, key: str, at: str, slot: Column) -> DataFrame:
+    """Rows with ``found``, that of the last mark (key, at, found; of equal times the largest) of their key at or before their time; null if there is none.
+
+    Both sides sort together once; nothing is paired. ``slot`` cuts a key's time in pieces that are sorted apart, each beginning with what the pieces
+    before ended with, so a key with many rows isn't one task's.
+    """
+    lines = rows.withColumns({"is_row": F.lit(True), "mark": F.lit(None).cast(marks.schema["found"].dataType)}).unionByName(
+        marks.select(key, at, F.lit(False).alias("is_row"), F.col("found").alias("mark")), allowMissingColumns=True
+    ).withColumn("slot", slot)
+    ends = lines.where(~F.col("is_row")).groupBy(key, "slot").agg(F.max(F.struct(at, "mark")).alias("end"))
+    seen = lines.select(key, "slot").distinct().join(ends, [key, "slot"], "left")
+    carried = seen.withColumn("carry", F.last("end.mark", True).over(Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)))
+    within = Window.partitionBy(key, "slot").orderBy(at, "is_row", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    own = lines.withColumn("own", F.last("mark", True).over(within)).where("is_row")
+    return own.join(carried.select(key, "slot", "carry"), [key, "slot"]).withColumn("found", F.coalesce("own", "carry")).select(*rows.columns, "found")
 
 
 def stale(edges: DataFrame, versions: DataFrame) -> DataFrame:

@@ -36,29 +36,39 @@ def labels(seen: DataFrame) -> DataFrame:
     return shown.groupBy("content_id", "page").agg(F.min_by(text, "pos").alias("label"))
 
 
-def fragments(kept: DataFrame, pages: DataFrame) -> DataFrame:
+def fragments(kept: DataFrame, pages: DataFrame, merge_tables: bool = True) -> DataFrame:
     """Kept blocks (content_id, page, pos, kind, text, aside, continues) with the item that each is part of, its [start, stop) in the item's
     text, and ``piece``, what it adds to it.
 
     A page's first block goes on from the block before if that ends the page read just before, both have the same ``aside``, and
     ``continues`` says so for kinds alike, or, where that is null, the texts look like it. A hyphen at the break goes, else a space comes.
+    Tables go on only where ``continues`` says so and ``merge_tables`` holds: their rows follow on lines of their own, without a first row that repeats
+    the first table's header (column ``header``, the text of a table's header row; null or no such column: it has none).
     """
+    if "header" not in kept.columns:
+        kept = kept.withColumn("header", F.lit(None).cast("string"))
     w = Window.partitionBy("content_id").orderBy("page", "pos")
     read = pages.where(~F.coalesce("failed", F.lit(False))).select("content_id", "page", F.row_number().over(Window.partitionBy("content_id").orderBy("page")).alias("nth"))
     rows = kept.join(read, ["content_id", "page"]).withColumn("before", F.lag(F.struct("nth", "kind", "text", "aside")).over(w))
     p: Column = F.col("before")
-    alike = (p["kind"] == F.col("kind")) & F.col("kind").isin(*A.JOINABLE)
+    alike = A.compatible(p["kind"], F.col("kind"), merge_tables)
     said = F.when(F.col("continues").isNull(), A.continued(p["kind"], p["text"], F.col("kind"), F.col("text"))).otherwise(F.col("continues") & alike)
     goes_on = F.coalesce((p["nth"] == F.col("nth") - 1) & p["aside"].eqNullSafe(F.col("aside")) & said, F.lit(False))
     rows = rows.withColumn("goes_on", goes_on).withColumn("ahead", F.coalesce(F.lead("goes_on").over(w), F.lit(False)))
     rows = rows.withColumn("item", F.sum((~F.col("goes_on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    hyphen = F.col("ahead") & F.col("text").endswith("-")
-    own = F.when(hyphen, F.length("text") - 1).otherwise(F.length("text"))
-    piece = F.when(hyphen, F.substring("text", F.lit(1), F.length("text") - 1)).when(F.col("ahead"), F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    inside = Window.partitionBy("content_id", "item").orderBy("page", "pos")
+    table, top = F.col("kind") == "table", F.first("header").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    again = F.col("goes_on") & table & F.coalesce(F.substring_index("text", "\n", 1) == top, F.lit(False))
+    rest = F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise("")
+    body = F.when(again, rest).otherwise(F.col("text"))
+    rows = rows.withColumn("body", F.when(table & F.col("goes_on") & (F.length(body) > 0), F.concat(F.lit("\n"), body)).otherwise(body))
+    hyphen = F.col("ahead") & ~table & F.col("text").endswith("-")
+    own = F.when(hyphen, F.length("body") - 1).otherwise(F.length("body"))
+    piece = F.when(hyphen, F.substring("body", F.lit(1), F.length("body") - 1)).when(F.col("ahead") & ~table, F.concat("body", F.lit(" "))).otherwise(F.col("body"))
     rows = rows.withColumns({"piece": piece, "own": own})
-    back = Window.partitionBy("content_id", "item").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("piece")).over(back), F.lit(0))
-    return rows.withColumn("start", start).withColumn("stop", start + F.col("own")).drop("before", "goes_on", "ahead", "own", "nth")
+    before = F.coalesce(F.sum(F.length("piece")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"before": before, "skip": (table & F.col("goes_on") & (F.length("piece") > 0)).cast("int")})  # a row's line end belongs to neither
+    return rows.withColumn("start", F.col("before") + F.col("skip")).withColumn("stop", F.col("before") + F.col("own")).drop("before", "goes_on", "ahead", "own", "nth", "body", "skip", "header")
 
 
 def items(parts: DataFrame) -> DataFrame:

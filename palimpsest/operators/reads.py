@@ -70,11 +70,11 @@ def page_text(nodes: DataFrame, drawn: DataFrame) -> DataFrame:
 
 def hit_word(points: DataFrame, words: DataFrame) -> DataFrame:
     """Each point (page, point, x, y) with the first word, of the region of least area, whose box holds it, edges included.
-    ``words``: page, region, area, seq, x0, y0, x1, y1. Words meet points in cells of a grid as fine as a tenth of the page."""
-    cell = lambda c: F.floor(c * 10).cast("int")
-    spread = words.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
-    met = points.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))}).join(spread, ["page", "cx", "cy"])
-    inside = met.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    ``words``: page, region, area, seq, x0, y0, x1, y1, in any unit. They meet on cells of grids, see documents.celled."""
+    from palimpsest.operators.documents import celled, on_cells
+
+    boxed = celled(words.withColumn("box", F.struct("x0", "y0", "x1", "y1")), F.col("box")).drop("box")
+    inside = on_cells(points, boxed).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     best = F.min(F.struct("area", "region", "seq")).alias("best")
     return inside.groupBy("page", "point").agg(best).select("page", "point", "best.region", "best.seq")
 

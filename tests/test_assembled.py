@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import layout
 from palimpsest.operators import dating, pages, requests
 
 LINES = ["12. Mai 1843", "Seedorf, den 3. Hornung 1843", "Seedorf, den 3. März 1843 und 4. April 1844", "30. Februar 1843", "on 1st of June 1901", "June 2, 1901", "5/6/1901", "1843-02", "1843-02-30", "1843-02-03-04", "im 1843", "1843", " 1843 x", "a line that goes on for long, until 1. Mai 1843",
@@ -95,3 +96,22 @@ def test_requests_and_tenants(spark):
     assert p.described() == {"a.b": "x"}
     tags = spark.createDataFrame([(["e\u0301 ", "É", " ", None, "x" * 120],), ([],), (None,)], "t array<string>")
     assert [r[0] for r in tags.select(requests.normalised_tags("t")).collect()] == [["é", "x" * 100], [], None]
+
+
+def test_tables_go_on_where_they_are_merged(spark):
+    """A continued table's rows follow on lines of their own, without a repeated header; fragments cut the item's text."""
+    rows = [(1, 1, 0, "table", "a\tb\n1\t2", None, "a\tb", None), (1, 2, 0, "table", "a\tb\n3\t4\n5\t6", None, None, True), (1, 3, 0, "table", "a\tb", None, None, True), (1, 4, 0, "table", "7\t8", None, None, None), (1, 5, 0, "p", "a\tb", None, None, True)]
+    kept = spark.createDataFrame(rows, "content_id int, page int, pos int, kind string, text string, aside string, header string, continues boolean")
+    read = kept.select("content_id", "page").distinct().selectExpr("*", "false AS failed")
+    parts = pages.fragments(kept, read)
+    items = {r.item: (r.kind, r.text) for r in pages.items(parts).collect()}
+    assert items == {1: ("table", "a\tb\n1\t2\n3\t4\n5\t6"), 2: ("table", "7\t8"), 3: ("p", "a\tb")}
+    assert {r.page: items[r.item][1][r.start : r.stop] for r in parts.collect()} == {1: "a\tb\n1\t2", 2: "3\t4\n5\t6", 3: "", 4: "7\t8", 5: "a\tb"}
+    assert pages.items(pages.fragments(kept, read, merge_tables=False)).count() == 5
+
+
+def test_inherited_confidence_rounds_as_doubles_do(spark):
+    rng = random.Random(4)
+    values = [rng.random() for _ in range(10_000)] + [k / 1000 for k in range(1001)] + [0.951, 0.953, 0.9549]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", layout.inherited(F.col("v")).alias("x")).collect()
+    assert all(r.x == round(r.v * 0.9, 2) for r in got)

@@ -71,7 +71,7 @@ def plain(nodes, on, numbers, prior, guesses):
 
 def test_stage(spark):
     rng = random.Random(8)
-    rows, spots, numbers, priors, guesses, want = [], [], [], [], [], {}
+    rows, spots, numbers, priors, guesses, want, openings = [], [], [], [], [], {}, []
     for c in range(40):
         paths = []
         for a in range(1, rng.randrange(2, 5)):
@@ -85,6 +85,10 @@ def test_stage(spark):
         on = {p: [1 + i * 6 // len(paths)] for i, p in enumerate(paths) if p not in inner and rng.random() < 0.8}
         prior = rng.choice([None, (dt.date(1900, 1, 1), dt.date(1900, 12, 31), 0.5, "INFERRED"), (dt.date(1900, 3, 1), dt.date(1900, 3, 31), 0.3, "METADATA")])
         known = {p: (DAY, DAY + dt.timedelta(rng.randrange(300)), 0.6, "INFERRED") for p in paths if rng.random() < rate / 3}
+        if c % 3 == 0:  # bounds that are open on a side, so that children contradict each other
+            day = lambda: DAY + dt.timedelta(rng.randrange(300))
+            known |= {p: rng.choice([(day(), None, 0.4, "INFERRED"), (None, day(), 0.7, "INFERRED")]) for p in paths if rng.random() < 0.5}
+        openings.append({p: g for p, g in known.items() if None in g})
         want[c] = plain(nodes, on, range(1, 7), prior, known)
         rows += [(c, p, "section" if p in inner else "p", None if p in inner else f"{d}" if d else "text") for p, (_, d) in nodes.items()]
         spots += [(c, nodes[p][0], n) for p, ns in on.items() for n in ns]
@@ -105,4 +109,18 @@ def test_stage(spark):
         got[r.content_id] = (*got[r.content_id][:2], as_tuple(r.date))
     for c in want:
         assert got[c] == want[c], c
+    assert any(known and span([known[p] for p in known]) is None for known in openings)
     assert dating.dated(plan.limit(0), *(a.limit(0) for a in args))[0].count() == 0
+
+
+def test_contradictions_end_where_they_arise(spark):
+    """Leaves that contradict each other leave their section undated, and it says nothing to the root."""
+    rows = [(1, p, "p" if p.count(".") == 2 else "section", "text" if p.count(".") == 2 else None) for p in ("0001", "0001.0001", "0001.0001.0001", "0001.0001.0002", "0001.0002", "0001.0002.0001")]
+    plan = snapshot.planned(spark.createDataFrame(rows, "content_id int, path string, tag string, text string"))
+    day = dt.date.fromisoformat
+    known = [(1, 3, None, day("1900-01-10"), 0.6), (1, 4, day("1900-02-01"), None, 0.6), (1, 6, day("1900-06-01"), day("1900-06-30"), 0.6)]
+    made = spark.createDataFrame
+    nodes, _, _ = dating.dated(plan, made([], "content_id int, nid int, page int"), made([], "content_id int, number int"), made([], "content_id int, hint string, metadata string"), made(known, "content_id int, nid int, lo date, hi date, conf double"))
+    got = {r.path: (r.date.lo, r.date.hi, r.date.source) if r.date else None for r in nodes.collect()}
+    assert got["0001"] == (day("1900-06-01"), day("1900-06-30"), "AGGREGATED")
+    assert got["0001.0001"] == (day("1900-06-01"), day("1900-06-30"), "INHERITED") and got["0001.0001.0001"][2] == "INFERRED"
