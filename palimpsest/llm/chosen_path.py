@@ -4,22 +4,20 @@ Documents of one shingle set are one class, and each class is handled once. A se
 COORDS tokens, its min-hashes. In each of a number of runs the sets walk down random paths: a node
 samples coordinates, by a hash of the path to it (one always, a second with probability SECOND), and
 a set goes to a child for each of them, by its token there. A pair at the threshold so meets again in
-one child on average, however deep (``survival``). A bucket of SMALL sets or fewer is compared as it
-is; others are split on. Near copies of each other aren't told apart by splitting, so in a bucket too
-large all sets are first compared with one of them, the pivot: what may be similar is linked with it, and
-what seems as similar as the threshold leaves the bucket, as its other near copies are linked with the
-pivot too. So every bucket comes to an end, without a cap on depth or size, and never is a large one
-compared pair by pair. Runs are added until a pair at the threshold shares a bucket with probability
-RECALL at the deepest level that any bucket reached.
-
-Compared are min-hashes, and what may be similar (LOOSE) is linked loosely. The sets that loose links connect then come together once, in tiles, and every
-pair of them is verified by its exact Jaccard similarity, so a pair that no bucket held is found too
-if others connect it.
-
-At scale: pairs are never written down; a tile gives back a spanning forest and each set's number of
-links. A walk carries two integers a row. Whole shingle sets travel once, and only those with a
-loose link. A bucket or component of any size is spread over tiles, which are bounded in sets and in
-shingles; nothing is capped. Shingles are compared by 64-bit hashes.
+one child on average, however deep (``survival``). A bucket of SMALL sets or fewer isn't split, nor is one that
+splitting wouldn't part: a larger one is split unless half its sets or more seem near to one of them. No set leaves
+a bucket before it is compared, so runs are added until a pair at the threshold shares a bucket with
+probability RECALL at the deepest level that any bucket reached.
+
+Buckets are brute-forced, twice: first by min-hashes, which says who may have a partner (LOOSE) that it has
+met in no earlier bucket; then those sets alone, by their exact Jaccard similarity. A pair that shares
+several buckets is compared and counted in the one with the least path, as each set carries the paths of its buckets.
+
+At scale: pairs are never written down; a bucket gives back a spanning forest and each set's number of
+links. A walk carries two integers a row, the first comparison min-hashes, the second whole sets, but only where they
+may have a partner. Rows are linear in sets times runs, but for buckets of over TILE sets, all near each other: there every set has
+a link to be counted with nearly every other, so blocks meet in pairs, and a row goes to as many tiles as there are blocks.
+A tile is bounded in sets and in shingles; nothing is capped. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,10 +36,10 @@ from palimpsest.llm import base
 WORDS = 5
 THRESHOLD = 0.8
 COORDS = 48
-#: Sets of a bucket that is compared as it is: one tile.
+#: Sets of a bucket that isn't split, and of a block at most, on average; two blocks make a tile.
 SMALL = 1000
-TILE = 1000
-#: Shingles of a block, on average at most; two blocks make a tile.
+TILE = 2000
+#: Shingles of a block, on average at most.
 TILE_SHINGLES = 2_000_000
 RECALL = 0.999
 #: How often a node samples a second coordinate, so that a pair at the threshold meets in one child on average.
@@ -50,7 +48,8 @@ SECOND = 1 / THRESHOLD - 1
 USUAL = 3
 #: Estimated similarity from which sets are linked loosely: four standard errors under the threshold.
 LOOSE = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDS)
-
+#: Estimated similarity from which a set is near enough to a bucket's pivot that splitting hardly parts them: half of those margins.
+DENSE = (THRESHOLD + LOOSE) / 2
 
 
 def survival(depth: int) -> float:
@@ -166,23 +165,50 @@ def _ids(t) -> np.ndarray:
     return t.column("rid").to_numpy()
 
 
+def met_before(t, u, path: int) -> np.ndarray:
+    """Which pairs of two tables (with the column ``paths``, each row's buckets) share a bucket before this one."""
+    seen = np.zeros((t.num_rows, u.num_rows), bool)
+    sides = []
+    for s in (t, u):
+        lists = s.column("paths").combine_chunks()
+        ids, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        keep = ids < path
+        order = np.argsort(ids[keep], kind="stable")
+        ids, rows = ids[keep][order], rows[keep][order]
+        sides.append((*np.unique(ids, return_index=True), rows))
+    (ka, ia, ra), (kb, ib, rb) = sides
+    ea, eb = np.append(ia[1:], len(ra)), np.append(ib[1:], len(rb))
+    for k in np.intersect1d(ka, kb, assume_unique=True):
+        i, j = np.searchsorted(ka, k), np.searchsorted(kb, k)
+        seen[np.ix_(ra[ia[i] : ea[i]], rb[ib[j] : eb[j]])] = True
+    return seen
+
+
+def _new(near: np.ndarray, x, y, same: bool) -> np.ndarray:
+    """Near pairs of a tile that are this bucket's to count."""
+    near = near & ~met_before(x, y, x.column("path")[0].as_py())
+    if same:
+        np.fill_diagonal(near, False)
+    return near
+
+
 def _loose(batches: Iterator) -> Iterator:
+    """(rid, path) of the sets that may have a partner in a bucket which they haven't met in an earlier one."""
     import pyarrow as pa
 
-    edges: list[tuple[int, int]] = []
     for t in base.runs(batches):
         x, y = _tile(t)
-        y = x if y is None else y
+        same = y is None
+        y = x if same else y
         if x.num_rows and y.num_rows:
             sx, sy = (np.frombuffer(b"".join(s.column("sig").to_pylist()), np.int32).reshape(-1, COORDS) for s in (x, y))
             near = np.zeros((len(sx), len(sy)), np.uint8)
             for k in range(COORDS):
                 near += sx[:, k, None] == sy[None, :, k]
-            edges += _forest(near >= LOOSE * COORDS, _ids(x), _ids(y))
-        if len(edges) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
-            edges = []
-    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+            near = _new(near >= LOOSE * COORDS, x, y, same)
+            ids = np.unique(np.concatenate([_ids(x)[near.any(1)], _ids(y)[near.any(0)]]))
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.column("path")[0].as_py()] * len(ids), pa.int64())], ["rid", "path"])
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -216,9 +242,7 @@ def _exact(batches: Iterator) -> Iterator:
             hx, hy = ([np.frombuffer(b, np.uint64) for b in s.column("own").to_pylist()] for s in (x, y))
             both = overlaps(hx, hy)
             nx, ny = (np.array([len(h) for h in s], np.float64) for s in (hx, hy))
-            near = both >= THRESHOLD * (nx[:, None] + ny[None, :] - both) - 1e-6
-            if same:
-                np.fill_diagonal(near, False)
+            near = _new(both >= THRESHOLD * (nx[:, None] + ny[None, :] - both) - 1e-6, x, y, same)
             rows += [(a, b, 0) for a, b in _forest(near, _ids(x), _ids(y))]
             rows += [(int(i), None, int(n)) for i, n in zip(_ids(x), near.sum(1), strict=True) if n]
             if not same:
@@ -226,14 +250,14 @@ def _exact(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1, 2)], ["a", "b", "n"])
 
 
-def _tiles(rows: DataFrame, key: str, payload: str, blocks: Column) -> DataFrame:
-    """Rows dealt to the tiles of their group: its blocks meet in pairs."""
+def _tiles(rows: DataFrame, payload: str, blocks: Column) -> DataFrame:
+    """Rows (rid, path, paths) dealt to the tiles of their bucket: its blocks meet in pairs."""
     dealt = rows.withColumn("blocks", blocks.cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    tile = F.xxhash64(key, lo, hi)
-    dealt = dealt.select(tile.alias("tile"), "rid", payload, (F.col("block") == F.col("other")).alias("same"), (F.col("block") == hi).cast("int").alias("side"))
+    tile = F.xxhash64("path", lo, hi)
+    dealt = dealt.select(tile.alias("tile"), "rid", "path", "paths", payload, (F.col("block") == F.col("other")).alias("same"), (F.col("block") == hi).cast("int").alias("side"))
     return dealt.repartition("tile").sortWithinPartitions("tile", "rid")
 
 
@@ -250,23 +274,23 @@ def _children(rows: DataFrame) -> DataFrame:
     return made.select("rid", F.explode(F.when(F.col("two").isNull() | (F.col("one") == F.col("two")), F.array("one")).otherwise(F.array("one", "two"))).alias("path"))
 
 
-def _pivoted(big: DataFrame, sets: DataFrame) -> DataFrame:
-    """rid, path, sig, pivot, share of the sets in buckets too large: what each shares with its bucket's pivot by their tokens."""
+def _dense(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """rid, path, n, sig, dense of the sets in large buckets: whether half of the bucket or more seems near to one of it, by their tokens."""
     rows = base.save(big.join(sets.select("rid", "sig"), "rid"), "big")
-    one = F.min_by(F.struct("rid", "sig"), F.xxhash64("rid", "path"))
-    pivots = rows.groupBy("path").agg(one.alias("chosen"), F.max("n").alias("n"))
-    met = base.attach(rows.drop("n"), pivots, ["path"], "n")
+    pivots = rows.groupBy("path").agg(F.min_by("sig", F.xxhash64("rid", "path")).alias("pivot"), F.max("n").alias("size"))
+    met = base.attach(rows, pivots, ["path"], "size")
     at = lambda c, k: F.substring(c, k * 4 + 1, F.lit(4))
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda k: at(F.col("sig"), k) == at(F.col("chosen.sig"), k)))
-    out = base.save(met.select("rid", "path", "sig", F.col("chosen.rid").alias("pivot"), (same / COORDS).alias("share")), "pivoted")
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda k: at(F.col("sig"), k) == at(F.col("pivot"), k)))
+    shares = met.groupBy("path").agg((F.avg((same >= DENSE * COORDS).cast("int")) >= 0.5).alias("dense"), F.max("n").alias("size"))
+    out = base.save(base.attach(rows, shares, ["path"], "size").select("rid", "path", "n", "sig", "dense"), "dense")
     base.drop(rows)
     return out
 
 
-def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], list[DataFrame], int]:
-    """Runs ``first`` to ``last``: buckets to compare (rid, path, n), links with pivots (a, b), and how deep the deepest bucket lies."""
+def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], int]:
+    """Runs ``first`` to ``last``: buckets to compare (rid, path, n), and how deep the deepest lies."""
     starts = sets.select("rid", "sig", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run")).select("rid", "sig", F.xxhash64("run").alias("path"))
-    rows, found, linked, depth = base.save(_children(starts), "children"), [], [], 0
+    rows, found, depth = base.save(_children(starts), "children"), [], 0
     while True:
         depth += 1
         sizes = base.save(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
@@ -275,10 +299,10 @@ def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], list
         found.append(met.where(F.col("n") <= SMALL))
         big = met.where(F.col("n") > SMALL)
         if not big.head(1):
-            return found, linked, depth
-        big = _pivoted(big, sets)
-        linked.append(big.where((F.col("share") >= LOOSE) & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
-        rows = base.save(_children(big.where((F.col("share") < THRESHOLD) & (F.col("rid") != F.col("pivot")))), "children")
+            return found, depth
+        big = _dense(big, sets)
+        found.append(big.where("dense").select("rid", "path", "n"))
+        rows = base.save(_children(big.where("NOT dense")), "children")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -298,27 +322,26 @@ def join(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("set_size"), F.min(order).alias("least"), F.min(F.struct("rid", "doc_id", "sig", "size")).alias("rep")
     )
     sets = base.save(sets.select("digest", "set_size", F.col("least.doc_id").alias("set_id"), F.col("least.rid").alias("head"), F.col("rep.rid").alias("rid"), F.col("rep.doc_id").alias("rep_doc"), F.col("rep.sig").alias("sig"), F.col("rep.size").alias("size")), "sets")
-    done, need, leaves, linked = 0, runs_for(USUAL), [], []
+    done, need, leaves = 0, runs_for(USUAL), []
     while done < need:
-        found, more, depth = _walk(sets, done + 1, need)
+        found, depth = _walk(sets, done + 1, need)
         leaves += found
-        linked += more
         done, need = need, max(need, runs_for(depth))
-    met = functools.reduce(DataFrame.unionByName, leaves)
-    carried = met.join(sets.select("rid", "sig"), "rid")
-    loose = _tiles(carried, "path", "sig", F.lit(1)).mapInArrow(base.tidied(_loose), "a long, b long")
-    loose = functools.reduce(DataFrame.unionByName, [loose, *linked])
-    comp = base.components(loose)
-    wide = comp.join(sets.select(F.col("rid").alias("node"), "rep_doc", "digest", "size"), "node")
-    sized = base.attach(wide, wide.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), ["root"], "n")
-    blocks = F.ceil(F.greatest(F.col("n") / TILE, F.col("total") / TILE_SHINGLES))
-    need_rows = base.save(sized.select(F.col("node").alias("rid"), "root", blocks.alias("n"), "rep_doc", "digest"), "need")
+    met = base.save(functools.reduce(DataFrame.unionByName, leaves), "met")
+    base.drop(*leaves)
+    carried = sets.select("rid", "sig").join(met.groupBy("rid").agg(F.collect_list("path").alias("paths")), "rid")
+    maybe = base.save(_tiles(met.join(carried, "rid"), "sig", F.ceil(F.col("n") / TILE)).mapInArrow(base.tidied(_loose), "rid long, path long").distinct(), "maybe")
+    wide = maybe.join(sets.select("rid", "size"), "rid")
+    sized = base.attach(maybe, wide.groupBy("path").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("total")), ["path"], "sets")
+    blocks = F.ceil(F.greatest(F.col("sets") / TILE, F.col("total") / TILE_SHINGLES))
+    need_rows = base.save(maybe.select("rid").distinct().join(sets.select("rid", "rep_doc", "digest"), "rid"), "need")
     few = need_rows.count() <= base.BROADCAST_ROWS
     ids = need_rows.select(F.col("rep_doc").alias("k")).distinct()
     wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(F.col("k")), "left_semi").select("doc_id", "text")
     own = wanted.mapInArrow(base.tidied(_filled), f"k_doc_id {kind}, k_digest binary, own binary")
-    full = own.join(need_rows, F.col("k_doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("k_digest") == F.col("digest"))).dropDuplicates(["rid"])
-    links = base.save(_tiles(full, "root", "own", F.col("n")).mapInArrow(base.tidied(_exact), "a long, b long, n long"), "links")
+    full = own.join(need_rows, F.col("k_doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("k_digest") == F.col("digest"))).dropDuplicates(["rid"]).select("rid", "own")
+    placed = sized.select("rid", "path", blocks.alias("n")).join(carried.select("rid", "paths"), "rid").join(full, "rid")
+    links = base.save(_tiles(placed, "own", F.col("n")).mapInArrow(base.tidied(_exact), "a long, b long, n long"), "links")
     exact = base.components(links.where("b is not null").select("a", "b"))
     counts = links.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n_links"))
     known = sets.join(exact.select(F.col("node").alias("rid"), "root"), "rid", "left").join(counts, "rid", "left")
@@ -328,7 +351,7 @@ def join(docs: DataFrame) -> DataFrame:
     some = base.attach(signed.where("digest is not null").select("digest", "doc_id", "mark", "rid"), known, ["digest"], "set_size")
     some = some.select("doc_id", "class_id", "set_id", "set_size", "n_links", "mark", (F.col("rid") == F.col("first_row")).alias("first"))
     none = signed.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("set_size"), F.lit(0).cast("long").alias("n_links"), "mark", F.lit(True).alias("first"))
-    base.drop(*leaves, *linked, sets, need_rows, links)
+    base.drop(met, maybe, sets, need_rows, links)
     return some.unionByName(none)
 
 

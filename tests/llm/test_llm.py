@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import os
 import random
 import struct
 from collections import Counter, defaultdict
@@ -184,6 +185,38 @@ def test_chosen_path_splits_to_the_end(spark, monkeypatch):
     assert all(got[i].class_id == i and got[i].n_links == 0 for i in range(160))
 
 
+def test_rows_of_a_chain_stay_linear(spark, monkeypatch):
+    """One long chain of links, each text near to a few others alone: rows dealt to tiles don't grow with the square of the component."""
+    monkeypatch.setattr(chosen_path, "SMALL", 40)
+    monkeypatch.setattr(chosen_path, "TILE", 60)
+    dealt, tiles = [], chosen_path._tiles
+    monkeypatch.setattr(chosen_path, "_tiles", lambda rows, *rest: dealt.append((rows.count(), (out := tiles(rows, *rest)).count())) or out)
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghiklmno") for _ in range(6)) for _ in range(6200)]
+    rows = [(i, " ".join(words[i * 5 : i * 5 + 100])) for i in range(1200)]
+    got = {x.doc_id: x for x in chosen_path.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {x.class_id for x in got.values()} == {0}
+    assert sum(x.n_links == (min(i, 2) + min(1199 - i, 2)) for i, x in got.items()) >= 0.99 * len(rows)
+    runs = chosen_path.runs_for(3)
+    assert len(dealt) == 2 and all(out == into <= 4 * runs * len(rows) for into, out in dealt)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_on_documents(spark):
+    """Ids divisible by 20 against all rows of documents, as the module stands; what shares a shingle is found by an index here."""
+    docs = base.table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    rows = {r.doc_id: frozenset(chosen_path.shingles(r.text).tolist()) for r in docs.collect()}
+    got = {r.doc_id: r for r in chosen_path.join(docs).collect()}
+    asked = [i for i in rows if i % 20 == 0]
+    wanted, index = set().union(*(rows[i] for i in asked)), defaultdict(set)
+    for kind in set(rows.values()):
+        for h in kind & wanted:
+            index[h].add(kind)
+    near = {i: {k for k in set().union(*(index[h] for h in rows[i])) if k != rows[i] and len(rows[i] & k) >= 0.8 * len(rows[i] | k)} for i in asked}
+    assert sum(map(len, near.values())) >= 20 and len(got) == len(rows)
+    assert sum(got[i].n_links for i in asked) >= 0.9 * sum(map(len, near.values())) and all(got[i].n_links <= len(near[i]) for i in asked)
+
+
 def test_survival_and_runs():
     assert chosen_path.survival(0) == 1 and abs(chosen_path.survival(1) - (1 - 0.2 * 0.8)) < 1e-9
     for depth in (1, 3, 8):
