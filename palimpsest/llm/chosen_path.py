@@ -5,7 +5,7 @@ COORDS tokens, its min-hashes. In each of a number of runs the sets walk down ra
 samples coordinates, by a hash of the path to it (one always, a second with probability SECOND), and
 a set goes to a child for each of them, by its token there. A pair at the threshold so meets again in
 one child on average, however deep (``survival``). A bucket of SMALL sets or fewer isn't split, nor is one that
-splitting wouldn't part: a larger one is split unless half its sets or more seem near to one of them. No set leaves
+splitting wouldn't part: a larger one is split unless most of its sets seem near to each other. No set leaves
 a bucket before it is compared, so runs are added until a pair at the threshold shares a bucket with
 probability RECALL at the deepest level that any bucket reached.
 
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm import base
 
 WORDS = 5
-THRESHOLD = 0.8
+#: As a fraction too: sets that share s of their m and n elements are linked if s * (FOUR + FIVE) >= FOUR * (m + n).
+FOUR, FIVE = 4, 5
+THRESHOLD = FOUR / FIVE
 COORDS = 48
 #: Sets of a bucket that isn't split, and of a block at most, on average; two blocks make a tile.
 SMALL = 1000
@@ -48,8 +50,8 @@ SECOND = 1 / THRESHOLD - 1
 USUAL = 3
 #: Estimated similarity from which sets are linked loosely: four standard errors under the threshold.
 LOOSE = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDS)
-#: Estimated similarity from which a set is near enough to a bucket's pivot that splitting hardly parts them: half of those margins.
-DENSE = (THRESHOLD + LOOSE) / 2
+#: Estimated similarity from which splitting hardly parts two sets: half of that margin. So many sets of a large bucket are looked at.
+DENSE, LOOK = (THRESHOLD + LOOSE) / 2, 16
 
 
 def survival(depth: int) -> float:
@@ -241,8 +243,8 @@ def _exact(batches: Iterator) -> Iterator:
         if x.num_rows and y.num_rows:
             hx, hy = ([np.frombuffer(b, np.uint64) for b in s.column("own").to_pylist()] for s in (x, y))
             both = overlaps(hx, hy)
-            nx, ny = (np.array([len(h) for h in s], np.float64) for s in (hx, hy))
-            near = _new(both >= THRESHOLD * (nx[:, None] + ny[None, :] - both) - 1e-6, x, y, same)
+            nx, ny = (np.array([len(h) for h in s], np.int32) * FOUR for s in (hx, hy))
+            near = _new(both.astype(np.int32) * (FOUR + FIVE) >= nx[:, None] + ny[None, :], x, y, same)
             rows += [(a, b, 0) for a, b in _forest(near, _ids(x), _ids(y))]
             rows += [(int(i), None, int(n)) for i, n in zip(_ids(x), near.sum(1), strict=True) if n]
             if not same:
@@ -275,16 +277,13 @@ def _children(rows: DataFrame) -> DataFrame:
 
 
 def _dense(big: DataFrame, sets: DataFrame) -> DataFrame:
-    """rid, path, n, sig, dense of the sets in large buckets: whether half of the bucket or more seems near to one of it, by their tokens."""
-    rows = base.save(big.join(sets.select("rid", "sig"), "rid"), "big")
-    pivots = rows.groupBy("path").agg(F.min_by("sig", F.xxhash64("rid", "path")).alias("pivot"), F.max("n").alias("size"))
-    met = base.attach(rows, pivots, ["path"], "size")
+    """path of the large buckets in which most of LOOK sets, picked by hash, seem near to the first of them. They decide whether the bucket is split
+    or compared as it is, either of which is right; no set depends on being picked."""
     at = lambda c, k: F.substring(c, k * 4 + 1, F.lit(4))
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda k: at(F.col("sig"), k) == at(F.col("pivot"), k)))
-    shares = met.groupBy("path").agg((F.avg((same >= DENSE * COORDS).cast("int")) >= 0.5).alias("dense"), F.max("n").alias("size"))
-    out = base.save(base.attach(rows, shares, ["path"], "size").select("rid", "path", "n", "sig", "dense"), "dense")
-    base.drop(rows)
-    return out
+    near = lambda x: F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda k: at(x, k) == at(F.col("some")[0], k))) >= DENSE * COORDS
+    some = F.array(*[F.min_by("sig", F.xxhash64("rid", F.lit(seed))) for seed in range(LOOK)])
+    looked = big.join(sets.select("rid", "sig"), "rid").groupBy("path").agg(some.alias("some"))
+    return base.save(looked.where(F.size(F.filter("some", near)) * 2 >= LOOK).select("path"), "dense")
 
 
 def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], int]:
@@ -300,9 +299,10 @@ def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], int]
         big = met.where(F.col("n") > SMALL)
         if not big.head(1):
             return found, depth
-        big = _dense(big, sets)
-        found.append(big.where("dense").select("rid", "path", "n"))
-        rows = base.save(_children(big.where("NOT dense")), "children")
+        dense = _dense(big, sets)
+        dense = F.broadcast(dense) if dense.count() <= base.BROADCAST_ROWS else dense
+        found.append(big.join(dense, "path", "left_semi").select("rid", "path", "n"))
+        rows = base.save(_children(big.join(dense, "path", "left_anti").join(sets.select("rid", "sig"), "rid")), "children")
 
 
 def join(docs: DataFrame) -> DataFrame:
