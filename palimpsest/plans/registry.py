@@ -16,6 +16,7 @@ from palimpsest.operators import documents as D
 from palimpsest.operators import history as H
 from palimpsest.operators import lineage as L
 from palimpsest.operators import projections as P
+from palimpsest.sources import markup as M
 from palimpsest.sources import readers as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -499,15 +500,15 @@ def T8_scrub(spark, d):
     return P.scrub(rows, {"c_name": lambda c: F.concat(F.lit("name-"), F.col("c_custkey"))}, {"c_custkey", "c_mktsegment"})
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS titled FROM pages")
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def S8_html_title(spark, d):
-    got = S.html_nodes(t(spark, d, "pages").select(F.col("page_id").alias("content_id"), "html"))
-    return got.select(F.col("content_id").alias("page_id"), (F.coalesce("title", F.lit("")) != "").alias("titled"))
+    got = M.html_nodes(t(spark, d, "pages").select(F.col("page_id").alias("content_id"), "html"))
+    return got.select(F.col("content_id").alias("page_id"), "title")
 
 
 @query()
 def X2_html_tree(spark, d):
-    got = S.html_nodes(t(spark, d, "pages").select(F.col("page_id").alias("content_id"), "html"))
+    got = M.html_nodes(t(spark, d, "pages").select(F.col("page_id").alias("content_id"), "html"))
     return got.select("content_id", F.explode("nodes").alias("n")).select("content_id", "n.*")
 
 

@@ -1,112 +1,13 @@
-"""Sources that need a parser: HTML trees, OCR tables, stored page payloads, and fuzzy scores. Arrow batches, never row by row."""
+"""Sources: OCR tables, stored page payloads, text decoding, and fuzzy scores."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What each tag is to the tree.
-LEAF = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "figcaption", "li"}
-CONTAINER = {"section": "section", "article": "section", "main": "section", "ul": "ul", "ol": "ol", "blockquote": "blockquote", "figure": "figure"}
-SKIP = {"script", "style", "noscript", "template", "head", "svg"}
+#: What a word comes after; what a character gains in a run and at a word's start, and a term as the text's prefix or within it.
 WORD_START = "_-. "
-#: Tags that part text but aren't nodes: what they hold comes loose.
-PARTS = {"table", "div", "tr", "dl", "dt", "dd", "address"}
-
-NODE = "array<struct<nid:int,parent:int,path:string,tag:string,text:string>>"
-
-
-class _Tree(HTMLParser):
-    """Leaves and containers in document order; loose text becomes a paragraph, and a new leaf ends an open one."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.open: list[int] = []
-        self.kids = {0: 0}
-        self.skip, self.title, self.in_title = 0, "", False
-
-    def _add(self, tag: str) -> int:
-        parent = self.open[-1] if self.open else 0
-        self.kids[parent] += 1
-        segment = f"{self.kids[parent]:04d}"
-        nid = len(self.nodes) + 1
-        self.nodes.append({"nid": nid, "parent": parent, "path": f"{self.nodes[parent - 1]['path']}.{segment}" if parent else segment, "tag": tag, "text": ""})
-        self.kids[nid] = 0
-        self.open.append(nid)
-        return nid
-
-    def _end_leaf(self):
-        while self.open and self.nodes[self.open[-1] - 1]["tag"] in LEAF:
-            self.open.pop()
-
-    def _end_paragraph(self):
-        while self.open and self.nodes[self.open[-1] - 1]["tag"] == "p":
-            self.open.pop()
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "title":
-            self.in_title = True
-        elif tag in SKIP:
-            self.skip += tag != "head"
-        elif not self.skip and tag in LEAF | CONTAINER.keys():
-            self._end_leaf()
-            self._add(CONTAINER.get(tag, tag))
-        elif not self.skip and tag in PARTS:
-            self._end_paragraph()
-        elif tag == "br" and self.open:
-            self.nodes[self.open[-1] - 1]["text"] += "\n"
-
-    def handle_endtag(self, tag):
-        if tag == "title":
-            self.in_title = False
-        elif tag in SKIP:
-            self.skip = max(0, self.skip - (tag != "head"))
-        elif tag in LEAF | CONTAINER.keys() and any(self.nodes[n - 1]["tag"] == CONTAINER.get(tag, tag) for n in self.open):
-            while self.nodes[self.open.pop() - 1]["tag"] != CONTAINER.get(tag, tag):
-                pass
-        elif tag in PARTS:
-            self._end_paragraph()
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.skip and data.strip():
-            if not self.open or self.nodes[self.open[-1] - 1]["tag"] not in LEAF:
-                self._add("p")
-            self.nodes[self.open[-1] - 1]["text"] += data
-
-    def pruned(self) -> list[dict]:
-        """Without nodes that hold no text below; text collapsed but in ``pre``."""
-        full = set()
-        for n in reversed(self.nodes):
-            n["text"] = n["text"].strip("\n") if n["tag"] == "pre" else " ".join(n["text"].split())
-            if n["text"] or n["nid"] in full:
-                full |= {n["nid"], n["parent"]}
-        return [n for n in self.nodes if n["nid"] in full]
-
-
-def parse_html(html: str | None) -> tuple[str, list[dict]]:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    return " ".join(tree.title.split()), tree.pruned()
-
-
-def html_nodes(pages: DataFrame) -> DataFrame:
-    """content_id, title and nodes of each page of content_id, html."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [parse_html(h) for h in pdf["html"]]
-            yield pd.DataFrame({"content_id": pdf["content_id"], "title": [g[0] for g in got], "nodes": [g[1] for g in got]})
-
-    kind = pages.schema["content_id"].dataType.simpleString()
-    return pages.select("content_id", "html").mapInPandas(parse, f"content_id {kind}, title string, nodes {NODE}")
+RUN, START, PREFIX, INSIDE = 8, 4, 40, 20
 
 
 def decode(content: bytes) -> str:
@@ -149,16 +50,22 @@ def stored_pages(payload: DataFrame) -> DataFrame:
     return rows.select("content_id", "p.number", "p.width", "p.height", "p.html", F.coalesce("p.failed", F.lit(False)).alias("failed"), "p.error")
 
 
-def fuzzy_score(term: str, text: str) -> int | None:
-    """Subsequence score of one term: runs and word starts gain, skips lose; a prefix or substring gains more."""
-    term, text, score, at = term.strip().lower(), text.lower(), 0, -1
-    for k, c in enumerate(term):
-        found = text.find(c, at + 1)
-        if found < 0:
-            return None
-        score += 8 * (k > 0 and found == at + 1) + 4 * (found == 0 or text[found - 1] in WORD_START) - (found - at - 1)
-        at = found
-    return score + (0 if not term else 40 if text.startswith(term) else 20 if term in text else 0)
+def fuzzy_score(term: str, text: Column) -> Column:
+    """Subsequence score of one term in a text, each character at its first place after the one before: runs and word starts gain, what is skipped
+    loses; a prefix or substring gains more. Null where it isn't found; an empty term scores 0."""
+    term, low = term.strip().lower(), F.lower(F.coalesce(text, F.lit("")))
+    if not term:
+        return F.lit(0)
+
+    def step(acc: Column, char: Column) -> Column:
+        at = F.position(char, low, acc["next"])
+        skipped = at - acc["next"]
+        begins = (at == 1) | F.substring(low, at - 1, F.lit(1)).isin(*WORD_START)
+        gain = F.when((skipped == 0) & (acc["next"] > 1), RUN).otherwise(0) + F.when(begins, START).otherwise(0) - skipped
+        return F.struct((at + 1).alias("next"), F.when(at > 0, acc["score"] + gain).alias("score"))
+
+    walked = F.aggregate(F.array(*map(F.lit, term)), F.struct(F.lit(1).alias("next"), F.lit(0).alias("score")), step)
+    return walked["score"] + F.when(F.startswith(low, F.lit(term)), PREFIX).when(F.contains(low, F.lit(term)), INSIDE).otherwise(0)
 
 
 #: What a hit in a description loses against one in a name.
@@ -169,17 +76,9 @@ def fuzzy(df: DataFrame, column: str, query: str, help_column: str | None = None
     """Rows in which every term of the query is found as a subsequence of the column, or with ``help_column`` of that for
     HELP_PENALTY less, with the better sum of their scores. A blank query finds all rows, with 0."""
     terms = query.split()
-
-    def total(text: str | None) -> int | None:
-        got = [fuzzy_score(t, text or "") for t in terms]
-        return None if None in got else sum(got)
-
-    @F.pandas_udf("int")
-    def scored(name: pd.Series, about: pd.Series) -> pd.Series:
-        both = [(total(x), None if help_column is None or not terms else total(y)) for x, y in zip(name, about, strict=True)]
-        return pd.Series([max((v for v in (a, None if b is None else b - HELP_PENALTY) if v is not None), default=None) for a, b in both], dtype="Int32")
-
-    return df.withColumn("score", scored(F.col(column), F.col(help_column or column))).where("score IS NOT NULL")
+    total = lambda c: sum((fuzzy_score(t, F.col(c)) for t in terms), F.lit(0))  # noqa: E731  null where one term is missing
+    score = total(column) if help_column is None or not terms else F.greatest(total(column), total(help_column) - HELP_PENALTY)
+    return df.withColumn("score", score).where("score IS NOT NULL")
 
 
 def ranked(found: DataFrame, key: str, recent: DataFrame, position: str) -> DataFrame:

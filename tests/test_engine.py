@@ -1,6 +1,9 @@
-"""The engine's own operators on literal fixtures."""
+"""The engine's own operators against plain Python on generated inputs, and on small fixtures."""
 
+import calendar
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,22 +18,43 @@ from palimpsest.sources import readers as S
 day = dt.date.fromisoformat
 
 
+def _days(kind, y, m, d):
+    """A period with its bounds by the calendar alone."""
+    last = lambda y, m: calendar.monthrange(y, m)[1]
+    return {
+        "year": (f"{y:04d}", dt.date(y, 1, 1), dt.date(y, 12, 31)),
+        "decade": (f"{y // 10:03d}X", dt.date(y // 10 * 10, 1, 1), dt.date(y // 10 * 10 + 9, 12, 31)),
+        "month": (f"{y:04d}-{m:02d}", dt.date(y, m, 1), dt.date(y, m, last(y, m))),
+        "day": (f"{y:04d}-{m:02d}-{min(d, last(y, m)):02d}", *[dt.date(y, m, min(d, last(y, m)))] * 2),
+    }[kind]
+
+
 def test_edtf_bounds(spark):
-    cases = {
-        "1943": ("1943-01-01", "1943-12-31"), "1943-XX": ("1943-01-01", "1943-12-31"), "1943?": ("1943-01-01", "1943-12-31"), "1943~": ("1943-01-01", "1943-12-31"),
-        "1943-05": ("1943-05-01", "1943-05-31"), "1943-05-12": ("1943-05-12", "1943-05-12"), "194X": ("1940-01-01", "1949-12-31"),
-        "1943-05-12/1943-05-20": ("1943-05-12", "1943-05-20"), "../1943-05": (None, "1943-05-31"), "1943-05/..": ("1943-05-01", None),
-    }
-    cases |= dict.fromkeys(("nope", "1943-13", "1943-05-32", "0000", "1943-05-12T10:00", "", "../..", "1944/1943"), (None, None))
-    lo, hi = E.edtf_bounds(F.col("e"))
-    got = {r.e: (r.lo, r.hi) for r in spark.createDataFrame([(k,) for k in cases], "e string").select("e", lo.alias("lo"), hi.alias("hi")).collect()}
-    assert got == {k: tuple(x and day(x) for x in v) for k, v in cases.items()}
+    r, cases = random.Random(7), {}
+    for _ in range(400):
+        kind = r.choice(["year", "decade", "month", "day"])
+        y, m, d = r.randint(1000, 2099), r.randint(1, 12), r.randint(1, 31)
+        said, lo, hi = _days(kind, y, m, d)
+        other, lo2, hi2 = _days(r.choice(["year", "month", "day"]), y + r.randint(-2, 2), r.randint(1, 12), r.randint(1, 31))
+        cases[said + (r.choice(["", "?", "~"]) if kind == "year" else "")] = (lo, hi)
+        cases |= {f"../{said}": (None, hi), f"{said}/..": (lo, None), f"{said}/{other}": (lo, hi2) if lo <= hi2 else (None, None)}
+        wrong = [f"{y}-{r.randint(13, 99)}", f"{y}-{m:02d}-{calendar.monthrange(y, m)[1] + 1}", f"{said} {said}", said[:-1] + "?" * 2, f"{said}/{said}/{said}", f"{y}-{m:02d}-{d:02d}T12:00", "".join(r.choice("xyz/") for _ in range(5))]
+        cases |= dict.fromkeys(wrong, (None, None))
+    low, high = E.edtf_bounds(F.col("e"))
+    got = {x.e: (x.lo, x.hi) for x in spark.createDataFrame([(k,) for k in cases], "e string").select("e", low.alias("lo"), high.alias("hi")).collect()}
+    assert {k: (v, cases[k]) for k, v in got.items() if v != cases[k]} == {}
 
 
 def test_edtf_of(spark):
-    rows = [("1943-05-12", "1943-05-12", "1943-05-12"), ("1943-05-01", "1943-05-31", "1943-05"), ("1943-01-01", "1943-12-31", "1943"), ("1940-01-01", "1949-12-31", "194X"), (None, "1943-05-12", "../1943-05-12"), ("1943-05-12", None, "1943-05-12/.."), ("1943-05-12", "1943-05-20", "1943-05-12/1943-05-20"), (None, None, None)]
-    df = spark.createDataFrame([(a and day(a), b and day(b), e) for a, b, e in rows], "lo date, hi date, e string")
-    assert all(r.got == r.e for r in df.select("e", E.edtf_of(F.col("lo"), F.col("hi")).alias("got")).collect())
+    """The shortest form of whole days, months, years and decades, of other periods both ends; it reads back as the period."""
+    r, rows = random.Random(8), [(None, None, None)]
+    for _ in range(200):
+        said, lo, hi = _days(r.choice(["year", "decade", "month", "day"]), r.randint(1000, 2090), r.randint(1, 12), r.randint(1, 31))
+        rows += [(lo, hi, said), (lo, None, f"{lo}/.."), (None, hi, f"../{hi}"), (lo + dt.timedelta(1), hi + dt.timedelta(400), f"{lo + dt.timedelta(1)}/{hi + dt.timedelta(400)}")]
+    df = spark.createDataFrame(rows, "lo date, hi date, e string").withColumn("got", E.edtf_of(F.col("lo"), F.col("hi")))
+    back = E.edtf_bounds(F.col("got"))
+    found = df.select("*", back[0].alias("b_lo"), back[1].alias("b_hi")).collect()
+    assert [(x.e, x.got) for x in found if x.got != x.e] == [] and all((x.b_lo, x.b_hi) == (x.lo, x.hi) for x in found)
 
 
 def test_sketch_laws(spark):
@@ -50,15 +74,34 @@ def test_ring(spark):
 
 
 def test_text(spark):
-    one = lambda c: spark.range(1).select(c.alias("x")).first().x
-    assert one(E.paragraphs(F.lit("One\r\nline\r\n\r\n  Two  \n\n\n"))) == ["One\nline", "Two"]
-    for text, header, n in (("name,amount\npear,4\nfig,7\n", True, 2), ("name,amount\npear,4\nfig,7\n", False, 3), ("name\npear\nfig", True, 2), ("name,amount\n", True, 0)):
-        assert one(E.row_count(F.lit(text), F.lit(header))) == n
-    assert one(E.page_range(F.lit("5-3,2"), F.lit(10))) == [2]
-    assert one(E.page_range(F.lit("1-3, 8,2,99"), F.lit(10))) == [1, 2, 3, 8] and one(E.page_range(F.lit(""), F.lit(2))) == [1, 2]
-    assert one(E.csv_tags(F.lit("soup, rye, Soup,"))) == "rye, soup" and one(E.human_size(F.lit(1536))) == "1.5 KB"
-    assert one(E.in_subtree(F.lit("10000.0001"), F.lit("1000"))) is False and one(E.ancestors(F.lit("1.2.3"))) == ["1", "1.2", "1.2.3"]
-    assert one(E.ratio(F.lit(""), F.lit(""))) == 1.0 and abs(one(E.ratio(F.lit("abcd"), F.lit("bcde"))) - 0.75) < 1e-12
+    r = random.Random(12)
+    spaces = lambda: "".join(r.choice(" \t") for _ in range(r.randint(0, 2)))
+    rows = []
+    for k in range(150):
+        blocks = [[f"w{r.randrange(99)}" for _ in range(r.randint(1, 3))] for _ in range(r.randint(0, 4))]
+        end = r.choice(["\n", "\r\n", "\r"])
+        text = (end * 2).join(end.join(spaces() + x + spaces() for x in b) for b in blocks) + end * r.randint(0, 4)
+        cells = [",".join(str(r.randrange(9)) for _ in range(2)) for _ in range(r.randint(0, 5))]
+        table = "\n".join(cells) + "\n" * (bool(cells) and r.random() < 0.5)
+        lo, hi, one, total = (r.randint(1, 12) for _ in range(4))
+        tags = [r.choice(["Kiln", "kiln", "Ash", "ash ", " oak", "", "ELM"]) for _ in range(r.randint(0, 5))]
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 5))) for _ in range(2))
+        rows.append((k, text, ["\n".join(b) for b in blocks], table, r.random() < 0.5, cells, f"{lo}-{hi},{one}", total, sorted({n for n in [*range(lo, hi + 1), one] if n <= total}), ",".join(tags), tags, r.randrange(1 << r.randint(1, 45)), a, b))
+    names = "k int, text string, blocks array<string>, table string, header boolean, cells array<string>, pages string, total int, wanted array<int>, tags string, listed array<string>, size long, a string, b string"
+    df = spark.createDataFrame(rows, names).select("*", E.paragraphs(F.col("text")).alias("x_blocks"), E.row_count(F.col("table"), F.col("header")).alias("x_rows"), E.page_range(F.col("pages"), F.col("total")).alias("x_pages"), E.csv_tags(F.col("tags")).alias("x_tags"), E.human_size(F.col("size")).alias("x_size"), E.ratio(F.col("a"), F.col("b")).alias("x_ratio"))
+    for x in df.collect():
+        first = {}
+        for tag in (t.strip() for t in x.listed):
+            first.setdefault(tag.lower(), tag) if tag else None
+        step = next(n for n in range(4, -1, -1) if x.size >= 1024**n or n == 0)
+        assert x.x_blocks == x.blocks and x.x_pages == x.wanted and x.x_rows == max(0, len(x.cells) - x.header)
+        assert x.x_tags == ", ".join(first[t] for t in sorted(first)) and x.x_size == (f"{x.size} B" if step == 0 else f"{x.size / 1024**step:.1f} {['KB', 'MB', 'GB', 'TB'][step - 1]}")
+        assert x.x_ratio == pytest.approx(2 * (Counter(x.a) & Counter(x.b)).total() / len(x.a + x.b) if x.a + x.b else 1.0)
+    paths = [".".join(str(r.randrange(12)) for _ in range(r.randint(1, 4))) for _ in range(40)]
+    pairs = spark.createDataFrame([(p, q) for p in paths for q in paths], "p string, q string").select("*", E.in_subtree(F.col("p"), F.col("q")).alias("inside"), E.ancestors(F.col("p")).alias("up"))
+    for x in pairs.collect():
+        parts, top = x.p.split("."), x.q.split(".")
+        assert x.inside == (parts[: len(top)] == top) and x.up == [".".join(parts[: i + 1]) for i in range(len(parts))]
 
 
 def test_diff_and_runs(spark):
@@ -93,11 +136,22 @@ def test_scope_fails_closed(spark):
 
 
 def test_graph(spark):
-    pairs = ["North Dawn", "South Dawn", "South Dusk", "West Dusk", "Dawn Day", "Dusk Day"]
-    e = spark.createDataFrame([(*p.split(), i, i, 1) for i, p in enumerate(pairs)], "source_id string, target_id string, created int, edge_id int, source_version int")
-    got = {r.node: r.generation for r in L.graph(e, "Dawn", 3).collect()}
-    assert got == {"North": -1, "South": -1, "West": -1, "Dawn": 0, "Dusk": 0, "Day": 1}
-    assert [r.node for r in L.graph(e, "alone", 3).collect()] == ["alone"]
+    """Random graphs: nodes within some steps of a root, each with the generation by which a breadth-first walk first meets it, sources' edges first."""
+    r = random.Random(21)
+    for depth in (1, 3):
+        pairs = sorted({(f"n{r.randrange(14)}", f"n{r.randrange(14)}") for _ in range(16)})
+        e = spark.createDataFrame([(a, b, i, i, 1) for i, (a, b) in enumerate(pairs)], "source_id string, target_id string, created int, edge_id int, source_version int")
+        want, frontier = {"n0": 0}, {"n0": 0}
+        for _ in range(depth):
+            found = {}
+            for i, (a, b) in enumerate(pairs):
+                for side, here, there, way in ((0, a, b, 1), (1, b, a, -1)):
+                    if here in frontier and there not in want:
+                        found.setdefault(there, []).append((side, -i, frontier[here] + way))
+            frontier = {n: min(v)[2] for n, v in found.items()}
+            want |= frontier
+        assert {x.node: x.generation for x in L.graph(e, "n0", depth).collect()} == want
+    assert [x.node for x in L.graph(e, "alone", 3).collect()] == ["alone"]
 
 
 def test_interpolation(spark):
@@ -132,16 +186,44 @@ def test_scrub_refuses_unknown(spark):
 
 
 def test_sources(spark):
-    title, nodes = S.parse_html("<html><head><title>Harvest list</title><script>x</script></head><body><h1>Title</h1>Between two heads<p>First of two<p>Second<ul><li>A<li>B</ul><pre>\n  code\n  more\n</pre><div></div></body></html>")
-    assert S.parse_html("<main><table><tr><td>cell</td></tr></table><article><p>a</article></main>")[1][0]["tag"] == "section"
-    assert title == "Harvest list" and [(n["tag"], n["text"]) for n in nodes] == [("h1", "Title"), ("p", "Between two heads"), ("p", "First of two"), ("p", "Second"), ("ul", ""), ("li", "A"), ("li", "B"), ("pre", "  code\n  more")]
-    assert S.decode(b"caf\xe9") == "café" and S.decode("﻿x".encode()) == "x"
-    lines = ["1\t1\t0\t0\t0\t0\t0\t0\t200\t100\t-1\t", "5\t1\t1\t1\t1\t1\t10\t20\t30\t10\t95.5\tApfel", "5\t1\t1\t1\t1\t2\t50\t20\t40\t10\t88\trot", "5\t1\t2\t1\t1\t1\t10\t60\t60\t10\t70\tKiste", "5\tbroken"]
-    words = S.ocr_words(spark.createDataFrame([(x,) for x in lines], "value string"))
-    got = {r.text: (r.x0, r.y0, r.x1) for r in S.ocr_paragraphs(words, 200, 100).collect()}
-    assert got == {"Apfel rot": (0.05, 0.2, 0.45), "Kiste": (0.05, 0.6, 0.35)}
-    assert S.fuzzy_score("b", "a(b") == 18 and S.fuzzy_score("b", "a-b") == 22
-    assert S.fuzzy_score("", "x") == 0 and S.fuzzy_score("zzz", "hello_world") is None and S.fuzzy_score("del", "delete_tenant") > S.fuzzy_score("del", "model_load")
+    r = random.Random(30)
+    for _ in range(50):
+        text = "".join(r.choice("aé€ß ") for _ in range(r.randint(0, 8)))
+        assert S.decode(text.encode()) == text == S.decode(text.encode("utf-8-sig"))
+    odd = bytes([0x41, 0xE9, 0xFF])
+    assert S.decode(odd) == "".join(map(chr, odd))
+    lines, want = [], {}
+    for page in (1, 2):
+        for par in (1, 2, 3):
+            said = []
+            for word in range(1, r.randint(2, 6)):
+                box = (r.randrange(50), r.randrange(50), r.randint(1, 40), r.randint(1, 40))
+                said.append((f"w{r.randrange(99)}", box, r.randint(0, 100)))
+                lines.append("\t".join(map(str, (5, page, 1, par, 1, word, *box, said[-1][2], said[-1][0]))))
+            want[page, par] = (" ".join(w for w, *_ in said), min(b[0] for _, b, _ in said) / 200, min(b[1] for _, b, _ in said) / 100, max(b[0] + b[2] for _, b, _ in said) / 200, max(b[1] + b[3] for _, b, _ in said) / 100, sum(c for *_, c in said) / 100 / len(said))
+            lines += ["\t".join(map(str, (4, page, 1, par, 1, 0, 0, 0, 9, 9, -1, "line"))), "\t".join(map(str, (5, page, 1, par, 1, 9, 0, 0, 9, 9, 50, " "))), f"5\t{page}", "\t".join(map(str, (5, page, 1, par, 1, 9, "x", 0, 9, 9, 50, "word")))]
+    r.shuffle(lines)
+    got = {(x.page, x.par): (x.text, x.x0, x.y0, x.x1, x.y1, x.conf) for x in S.ocr_paragraphs(S.ocr_words(spark.createDataFrame([(x,) for x in lines], "value string")), 200, 100).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == v[0] and got[k][1:] == pytest.approx(v[1:]) for k, v in want.items())
+
+
+def test_fuzzy_scores(spark):
+    """Each character at its first place after the one before, scored place by place."""
+    r = random.Random(31)
+    texts = ["".join(r.choice("abAB_-. (") for _ in range(r.randint(0, 12))) for _ in range(120)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for term in ("a", "ab", "ba", "aab", "b_a", ""):
+        for x in df.select("t", S.fuzzy_score(term, F.col("t")).alias("s")).collect():
+            low, places = (x.t or "").lower(), []
+            for c in term:
+                ahead = [i for i, y in enumerate(low) if y == c and i > (places[-1] if places else -1)]
+                places.append(ahead[0] if ahead else len(low))
+            if len(low) in places:
+                assert x.s is None
+                continue
+            gaps = [b - a - 1 for a, b in zip([-1, *places], places, strict=False)]
+            score = sum(8 for g in gaps[1:] if g == 0) + sum(4 for p in places if p == 0 or low[p - 1] in "_-. ") - sum(gaps)
+            assert x.s == score + ((40 if low.startswith(term) else 20 if term in low else 0) if term else 0)
 
 
 def test_streamed_capture_counts_versions(spark, tmp_path):
