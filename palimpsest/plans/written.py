@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palimpsest.operators import snapshot as Z
 from palimpsest.operators import written as V
 from palimpsest.plans import assembled as P
-from palimpsest.plans.registry import query, t
+from palimpsest.plans.registry import log, query, t
 from palimpsest.sources import markup as M
+from palimpsest.sources import snapshots as S
 
 LINES = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10))"
 READ = P.TURNS + f", r AS (SELECT content_id, nid, path, tag, CASE WHEN NOT leaf THEN '' WHEN tag = 'pre' THEN chr(10) || text ELSE {LINES} END AS text, leaf FROM p) "
@@ -87,3 +90,39 @@ def X31_regions(spark, d):
 def X33_sanitised(spark, d):
     bad = F.replace(F.replace("html", F.lit("<p data"), F.lit('<P onclick="a>b" data')), F.lit("</p>"), F.lit("<script>1</script> < <b title='<p>'>x</b><!-- y --></p>"))
     return Z.rendered(P._plan(spark, d)).select("content_id", V.sanitised(bad).alias("html"))
+
+
+def _stored(spark, d):
+    """The documents of X25, stored as one batch in the shared folder: its root."""
+    from palimpsest.operators import stored
+    from palimpsest.sources.staging import shared_folder
+
+    b, pages = P._blocks(spark, d)
+    root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stored-{uuid.uuid4().hex}"
+    stored.store(root, "first", V.assembled(b.withColumn("box", F.lit(None).cast(V.BOX)), pages), pages.select("content_id", F.col("page").cast("int").alias("page")))
+    return root
+
+
+LEFT = WHOLE + f", y AS (SELECT *, {LINES} AS line FROM k), z AS (SELECT * FROM y WHERE line <> '') "
+
+
+@query(LEFT + "SELECT content_id, string_agg(line, chr(10) || chr(10) ORDER BY item) AS text, count(*) + count(DISTINCT CASE WHEN kind = 'li' THEN grp END) AS nodes, sum(len(on_pages))::BIGINT AS regions FROM z GROUP BY 1")
+def K8_stored_documents(spark, d):
+    from palimpsest.operators import stored
+
+    root, kind = _stored(spark, d), "content_id long"
+    read = lambda name, more: S.published(spark, root, name, f"{kind}, {more}")
+    count = lambda name, more: read(name, more).groupBy("content_id").agg(F.count(F.lit(1)).alias(name))
+    return read("contents", "html string, text string").select("content_id", "text").join(count("nodes", stored.NODE), "content_id").join(count("regions", stored.REGION), "content_id")
+
+
+@query("SELECT user_id AS obj_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, event_type FROM events")
+def K13_dump_and_load(spark, d):
+    """A log is dumped, one owner of three erased, and the dump loaded: all is there as it was."""
+    from palimpsest.operators import stored
+    from palimpsest.sources.staging import shared_folder
+
+    rows = log(spark, d)
+    root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/dump-{uuid.uuid4().hex}"
+    stored.dump(root, "whole", rows)
+    return stored.load(root, "whole", rows.where("owner_id <> 1")).select("obj_id", "event_id", F.col("version").cast("long").alias("version"), "event_type")
