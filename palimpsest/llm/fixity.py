@@ -10,8 +10,8 @@ nodes that differ are compared, down to the records. There, records of one id an
 same; of what is left those of one id have changed, and others are missing or were added.
 
 At scale: record bytes are hashed where they are read and never travel; a tree takes one small row for
-each node. Files are bounded (FILE_RECORDS records on average, dealt by a hash, so no host or hot key
-makes a large one). A descent reads one level's mismatching nodes, a few rows where replicas agree.
+each node. Files are bounded (FILE_RECORDS records on average, dealt by a hash of all that a record holds, and equal records
+by their number among equals too, so no host, hot key or group of copies makes a large one). What was written on the way is deleted. A descent reads one level's mismatching nodes, a few rows where replicas agree.
 """
 
 from __future__ import annotations
@@ -77,6 +77,14 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     content match first, and what is left is paired in order of its hashes. Further columns are ignored.
     """
     leaf = [base.save(leaves(x), "read") for x in (first, second)]
+    found = compare(*leaf)
+    base.drop(*leaf)
+    return found
+
+
+def compare(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``audit`` of the leaves of two replicas, which are read several times; its result is written."""
+    leaf, written = (first, second), []
     top = max((x.agg(F.max("level")).first()[0] or 0) for x in leaf) + 1
     trees = [grow(x, top) for x in leaf]
     bad = None
@@ -88,6 +96,7 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
         a, b = (x.drop("up") for x in sides)
         differ = a.join(b, ["file", "key"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
         bad = base.save(differ.select(F.col("file").alias("f"), F.col("key").alias("p")), "differ")
+        written.append(bad)
     parts = []
     for t in trees:
         x = t[0].join(bad, [t[0]["file"] == bad["f"], t[0]["k1"] == bad["p"]], "left_semi")
@@ -98,13 +107,28 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("file", "id").orderBy("hash", "pos"))
     named = [x.select("file", "id", place.alias("place"), *(F.col(c).alias(f"{n}_{c}") for c in ("record_id", "pos", "at", "size", "hash"))) for x, n in zip(left, "ab", strict=True)]
     met = named[0].join(named[1], ["file", "id", "place"], "full").drop("id", "place")
-    return met.withColumn("state", F.when(F.col("b_hash").isNull(), "missing").when(F.col("a_hash").isNull(), "added").otherwise("changed"))
+    found = base.save(met.withColumn("state", F.when(F.col("b_hash").isNull(), "missing").when(F.col("a_hash").isNull(), "added").otherwise("changed")), "found")
+    base.drop(*written, *parts, *(level for tree in trees for level in tree))
+    return found
 
 
 def files(pages: DataFrame) -> DataFrame:
-    """page rows with the WARC file that each goes to, by a hash of all that the record holds."""
+    """page rows with the WARC file that each goes to, by a hash of all that the record holds. Of records with many equals, which fill files of
+    their own, one row stands with their number and they are numbered from it, in parts: equal rows are the same whichever they are, and the
+    numbers don't depend on how the table is read."""
     count = pages.count()
-    return pages.withColumn("file", F.pmod(F.xxhash64("page_id", "url", F.sha2("html", 256)), F.lit(max(1, count // FILE_RECORDS))).cast("int"))
+    many = F.lit(max(1, count // FILE_RECORDS))
+    same = F.xxhash64("page_id", "url", F.sha2("html", 256))
+    hot = base.hot_hashes(pages, same)
+    rows = pages.withColumn("h", same)
+    if not hot:
+        return rows.withColumn("file", F.pmod("h", many).cast("int")).drop("h")
+    cold = rows.where(~F.col("h").isin(hot)).withColumn("file", F.pmod("h", many).cast("int"))
+    counted = rows.where(F.col("h").isin(hot)).groupBy("h", "page_id", "url", "html").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {FILE_RECORDS}")))).repartition("h", "part")
+    left = F.least(F.lit(FILE_RECORDS).cast("long"), F.col("n") - F.col("part") * FILE_RECORDS)
+    each = parts.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    return cold.unionByName(each.select(*pages.columns, "h", F.pmod(F.xxhash64("h", "part"), many).cast("int").alias("file"))).drop("h")
 
 
 def replica(pages: DataFrame) -> DataFrame:
@@ -124,9 +148,12 @@ def op7_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, and a row with the state added for each record that only the replica has."""
     pages = files(base.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     records = pages.select("file", F.col("page_id").alias("record_id"), warc_record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
-    found = base.save(audit(records, replica(pages)), "found")
+    leaf = base.save(leaves(records), "read")
+    other = base.save(leaves(replica(pages)), "read")
+    found = compare(leaf, other)
+    base.drop(other)
     known = found.where("state <> 'added'").select("file", F.col("a_pos").alias("pos"), "state")
-    rows = leaves(records).join(known, ["file", "pos"], "left")
+    rows = leaf.join(known, ["file", "pos"], "left")
     rows = rows.select(F.col("record_id").alias("page_id"), F.coalesce("state", F.lit("intact")).alias("state"), F.col("size").alias("n_bytes"))
     return rows.unionByName(found.where("state = 'added'").select(F.col("b_record_id").alias("page_id"), "state", F.col("b_size").alias("n_bytes")))
 

@@ -452,6 +452,20 @@ def test_fixity(spark, fan, monkeypatch):
     assert [(x.state, x.a_record_id, x.a_pos, x.b_pos) for x in lost] == [("missing", 50, 50, None)]
 
 
+def test_equal_records_fill_many_files(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "FILE_RECORDS", 100)
+    monkeypatch.setattr(base, "HOT_ROWS", 50)
+    rows = [(7, "u", "same")] * 1000 + [(None, None, None)] * 300 + [(k, f"u{k}", "x" * (k % 40)) for k in range(700)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    dealt = fixity.files(pages)
+    assert Counter((x.page_id, x.url, x.html) for x in dealt.collect()) == Counter(rows)
+    sizes = [x["count"] for x in dealt.groupBy("file").count().collect()]
+    assert max(sizes) <= 500 and dealt.where("page_id = 7").select("file").distinct().count() >= 5
+    again = fixity.files(pages.repartition(7))
+    by = lambda df: Counter((x.file, x.page_id, x.html) for x in df.collect())
+    assert by(dealt) == by(again) and fixity.files(pages.limit(0)).count() == 0
+
+
 def test_fixity_query(spark, tmp_path):
     import zlib
 
