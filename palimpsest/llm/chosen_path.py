@@ -39,7 +39,7 @@ FOUR, FIVE = 4, 5
 THRESHOLD = FOUR / FIVE
 COORDS = 48
 #: Sets of a bucket that isn't split, and of a block at most, on average; two blocks make a tile.
-SMALL = 1000
+SMALL = 2000
 TILE = 2000
 #: Shingles of a block, on average at most.
 TILE_SHINGLES = 2_000_000
@@ -293,7 +293,10 @@ def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], int]
     while True:
         depth += 1
         sizes = base.save(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-        met = base.save(base.attach(rows, sizes, ["path"], "n").where("n > 1"), f"walk{depth}")
+        hot = F.broadcast(sizes.where(F.col("n") >= base.HOT_ROWS).orderBy(F.desc("n"), "path").limit(base.HOT_KEYS).withColumnRenamed("n", "many"))
+        told = rows.join(hot, "path", "left")
+        rest = told.where("many IS NULL").drop("many").join(sizes, "path")
+        met = base.save(rest.unionByName(told.where("many IS NOT NULL").withColumnRenamed("many", "n")), f"walk{depth}")
         base.drop(rows, sizes)
         found.append(met.where(F.col("n") <= SMALL))
         big = met.where(F.col("n") > SMALL)
