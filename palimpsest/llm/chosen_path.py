@@ -293,8 +293,9 @@ def _walk(sets: DataFrame, first: int, last: int) -> tuple[list[DataFrame], int]
     while True:
         depth += 1
         sizes = base.save(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-        hot = F.broadcast(sizes.where(F.col("n") >= base.HOT_ROWS).orderBy(F.desc("n"), "path").limit(base.HOT_KEYS).withColumnRenamed("n", "many"))
-        told = rows.join(hot, "path", "left")
+        hot = sizes.where(F.col("n") >= base.HOT_ROWS).orderBy(F.desc("n"), "path").limit(base.HOT_KEYS).collect()  # a bounded list
+        many = F.try_element_at(F.create_map(*[F.lit(v) for r in hot for v in (r.path, r.n)]), F.col("path")) if hot else F.lit(None).cast("long")
+        told = rows.withColumn("many", many)
         rest = told.where("many IS NULL").drop("many").join(sizes, "path")
         met = base.save(rest.unionByName(told.where("many IS NOT NULL").withColumnRenamed("many", "n")), f"walk{depth}")
         base.drop(rows, sizes)

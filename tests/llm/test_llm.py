@@ -159,6 +159,7 @@ def test_chosen_path_splits_to_the_end(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "SMALL", 2)
     monkeypatch.setattr(chosen_path, "TILE", 40)
     monkeypatch.setattr(chosen_path, "TILE_SHINGLES", 3000)
+    monkeypatch.setattr(base, "HOT_ROWS", 30)
     r = random.Random(31)
     passage, seed, rows = prose(60, r), prose(120, r).split(), []
     for i in range(160):
