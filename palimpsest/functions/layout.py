@@ -76,14 +76,47 @@ def shown_date(lo: Column, hi: Column) -> Column:
 def inherited(conf: Column) -> Column:
     """What is left of a confidence from 0 to 1 one step down: nine tenths as a double, rounded to two places by its exact value (so 0.95 gives
     0.85), a tie to the even side."""
+    return hundredths(conf * 0.9)
+
+
+def hundredths(value: Column) -> Column:
+    """A double from 0 to 1 rounded to two places by its exact value, a tie to the even side."""
     # the double is a whole number of 2**-60, unless it is under 2**-8, where what is cut off decides nothing
     whole = F.lit(2**61).cast("decimal(20,0)")
-    parts = (conf * 0.9 * 2.0**60).cast("long").cast("decimal(30,0)") * 200 + 2**60
+    parts = (value * 2.0**60).cast("long").cast("decimal(30,0)") * 200 + 2**60
     step = ((parts - parts % whole) / whole).cast("long")
     step = F.when((parts % whole == 0) & (step % 2 == 1), step - 1).otherwise(step)
     return step / 100
 
 
+#: Months as they are shown.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def period(lo: Column, hi: Column) -> Column:
+    """An uncertain date for a reader: a day, month, year or decade by its name, else from and to, as short as both allow; open on a side, or undated."""
+    month = lambda d: F.element_at(F.array(*map(F.lit, MONTHS)), F.month(d))
+    year = lambda d: F.year(d).cast("string")
+    day = lambda d: F.dayofmonth(d).cast("string")
+    short = lambda d: F.concat(month(d), F.lit(" "), day(d))
+    long = lambda d: F.concat(short(d), F.lit(", "), year(d))
+    opens = (F.dayofmonth(lo) == 1) & (F.month(lo) == 1) & (F.dayofmonth(hi) == 31) & (F.month(hi) == 12)
+    same = F.year(lo) == F.year(hi)
+    return (
+        F.when(lo.isNull() & hi.isNull(), "undated").when(lo.isNull(), F.concat(F.lit("on or before "), long(hi))).when(hi.isNull(), F.concat(F.lit("on or after "), long(lo)))
+        .when(lo == hi, long(lo)).when((F.dayofmonth(lo) == 1) & (hi == F.last_day(lo)), F.concat(month(lo), F.lit(" "), year(lo)))
+        .when(opens & same, year(lo)).when(opens & (F.year(lo) % 10 == 0) & (F.year(hi) == F.year(lo) + 9), F.concat(year(lo), F.lit("s")))
+        .when(same & (F.month(lo) == F.month(hi)), F.concat(short(lo), F.lit("–"), day(hi), F.lit(", "), year(lo)))
+        .when(same, F.concat(short(lo), F.lit(" – "), short(hi), F.lit(", "), year(lo))).otherwise(F.concat(long(lo), F.lit(" – "), long(hi)))
+    )
+
+
+def estimate(lo: Column, hi: Column, source: Column, conf: Column) -> Column:
+    """``period`` with how it is known and, unless null, how surely."""
+    sure = F.when(conf.isNull(), "").otherwise(F.concat(F.lit(", "), F.format_string("%.2f", hundredths(conf))))
+    return F.concat(period(lo, hi), F.lit(" ("), source, sure, F.lit(")"))
+
+
 def created_day(stamp: Column) -> Column:
     """The day of a file's creation stamp, null if it isn't one."""
     return F.try_to_date(F.substring(stamp, 1, 10), "yyyy-MM-dd")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import history as H
+
 
 def rebuild(have: DataFrame, want: DataFrame, key: list[str], payload: str) -> DataFrame:
     """What a projection needs to match its sources: for each key insert, update, revive, retire or keep. ``have`` also has retired."""
@@ -26,6 +28,22 @@ def orphans(blobs: DataFrame, blob: str, references: list[tuple[DataFrame, str]]
     return blobs.join(used, blobs[blob] == used["used"], "left_anti")
 
 
+def collected(log: DataFrame, references: list[tuple[DataFrame, str]]) -> DataFrame:
+    """The log of blobs (obj_id) after every live one that no column refers to was deleted: one further version each; their history stays."""
+    gone = orphans(H.latest(log).where(~F.col("deleted")), "obj_id", references)
+    return H.append(log, gone.withColumn("deleted", F.lit(True)).drop("version"))
+
+
+def marked_read(rows: DataFrame, asked: DataFrame, at) -> DataFrame:
+    """Notifications (id, owner_id, read_at) after their owners asked (owner_id, id) to have them read at a time, with ``marked``, true where that changed one.
+
+    What is read keeps its time; ids that aren't the owner's, aren't there, or come twice change nothing; a null id or owner matches none."""
+    named = asked.select("owner_id", "id").distinct().withColumn("asked", F.lit(True))
+    got = rows.join(named, ["owner_id", "id"], "left")
+    marked = F.col("asked").isNotNull() & F.col("read_at").isNull()
+    return got.withColumn("marked", marked).withColumn("read_at", F.when(F.col("marked"), at).otherwise(F.col("read_at"))).drop("asked")
+
+
 def retain(df: DataFrame, by: list[str], order: list, keep: int) -> DataFrame:
     """All but the newest ``keep`` of each group: what goes."""
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") > keep).drop("rn")

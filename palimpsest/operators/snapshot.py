@@ -27,6 +27,26 @@ def planned(nodes: DataFrame) -> DataFrame:
     return rows.join(ends, ["content_id", "path"])
 
 
+def places(nodes: DataFrame) -> DataFrame:
+    """Nodes (content_id, path, text_start, text_end) with a place for each; given are those of leaves, null where a leaf has none.
+
+    A container reaches from its first placed leaf to its last. A subtree without any is empty and has one point, within its parent's range: where the
+    next sibling with a place starts, else where the one before ends, else the end of the text. Only the top of an empty subtree has siblings
+    to ask, and all below it comes right after it in order of paths, so two windows do, however deep a tree is. A content without placed leaves is at 0.
+    """
+    leaves = nodes.where("text_start IS NOT NULL").select("content_id", "path", F.col("text_start").alias("start"), F.col("text_end").alias("stop"))
+    spans = D.roll_up(leaves, F.min("start").alias("start"), F.max("stop").alias("stop"))
+    rows = nodes.drop("text_start", "text_end").join(spans, ["content_id", "path"], "left").withColumn("above", F.regexp_extract("path", r"^(.*)\.[^.]*$", 1))
+    beside = Window.partitionBy("content_id", "above").orderBy("path")
+    ahead = F.first("start", True).over(beside.rowsBetween(1, Window.unboundedFollowing))
+    back = F.last("stop", True).over(beside.rowsBetween(Window.unboundedPreceding, -1))
+    end = F.coalesce(F.max("stop").over(Window.partitionBy("content_id")), F.lit(0))
+    rows = rows.withColumn("point", F.when(F.col("start").isNull(), F.coalesce(ahead, back, F.when(F.col("above") == "", end))))
+    down = F.last("point", True).over(Window.partitionBy("content_id").orderBy("path"))  # the top of the empty subtree is the last with a point
+    rows = rows.withColumn("point", down)
+    return rows.withColumns({"text_start": F.coalesce("start", "point"), "text_end": F.coalesce("stop", "point")}).drop("start", "stop", "above", "point")
+
+
 def plan_problems(plan: DataFrame) -> DataFrame:
     """(content_id, nid, problem) of what keeps a plan from being stored: ``tag`` not allowed, ``both`` leaf and container, too many ``siblings``, too long a ``path``."""
     checks = {"tag": ~F.coalesce(F.col("tag").isin(*TAGS), F.lit(False)), "both": ~F.col("leaf") & F.col("text").isNotNull(), "siblings": F.col("path").rlike(rf"(^|\.)\d{{{SEGMENT + 1},}}"), "path": F.length("path") > PATH}
