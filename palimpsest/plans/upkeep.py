@@ -83,9 +83,9 @@ def P10_marked_read(spark, d):
     return P.marked_read(o, asked.unionByName(asked), F.lit("2000-01-01").cast("date")).select("id", "owner_id", "read_at", "marked")
 
 
-@query(LAST + "SELECT obj_id, version, deleted FROM log UNION ALL SELECT obj_id, version + 1, true FROM last WHERE NOT deleted AND obj_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND obj_id NOT IN (SELECT s_suppkey FROM supplier)")
+@query(LAST + "SELECT obj_id, version, deleted FROM log UNION ALL SELECT obj_id, version + 1, true FROM last WHERE NOT deleted AND obj_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND obj_id NOT IN (SELECT s_suppkey FROM supplier)")
 def P14_collected(spark, d):
-    customers = t(spark, d, "customer").where("c_acctbal > 0")
+    customers = t(spark, d, "customer").where("c_acctbal > 5000")
     return P.collected(log(spark, d), [(customers, "c_custkey"), (t(spark, d, "supplier"), "s_suppkey")]).select("obj_id", F.col("version").cast("long").alias("version"), "deleted")
 
 
