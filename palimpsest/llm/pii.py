@@ -4,14 +4,16 @@ The fixed patterns (email, ip, card, phone) give base spans, which always stay.
 character as outside, begin or inside of a kind. It is trained in numpy, by gradients through time and
 through the CRF's forward-backward sums, on labelled spans: generated lines in which values of each
 kind, and near misses that aren't any, stand among words. In use a text's windows of WINDOW
-characters overlap by half; each is decoded by Viterbi, and where two disagree the one in which the
-character is further from an edge decides, for the whole text at once. A decoded span is added if it
-overlaps no base span, has at least what its kind can't do without (NEEDS) and breaks none of the rules that
-base spans keep: parts of an ip up to 255, a card's check digit, the number of digits.
+characters overlap by half, so nearly all characters are scored in two of them; the scores are blended, the
+window in which a character is further from an edge counting more, and one Viterbi decodes all windows of a
+stretch as one sequence: the transitions over the seams of windows are scored like any others. A decoded span is
+added if it overlaps no base span, has at least what its kind can't do without (NEEDS) and breaks none of the
+rules that base spans keep: parts of an ip up to 255, a card's check digit, the number of digits.
 
 At scale: one pass without a shuffle, the model (some 20 kB) sent along. Only what matches NEEDS is added, so
-windows that decide on no character of a possible match aren't decoded: most have no digit, no ``@`` and nothing
-that stands for one (``(at)``, ``[at]``). The spans are those of decoding all windows, in whole texts.
+blocks of half a window without a character of a possible match aren't decoded: most have no digit, no ``@`` and
+nothing that stands for one (``(at)``, ``[at]``). A stretch grows while a tagged run reaches one of its ends, so no
+run is cut. A stretch without an end takes memory in proportion to its characters.
 """
 
 from __future__ import annotations
@@ -222,14 +224,16 @@ def loss(net: Net, codes: np.ndarray, tags: np.ndarray) -> tuple[float, list[np.
     return float((z - gold).mean()), [demb, dwx, dwh, db, dout, dbias, dtrans]
 
 
-def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best tags (window, time) of scores (time, window, tag)."""
-    steps, n, _ = e.shape
-    best, back = e[0], np.empty((steps, n, e.shape[2]), np.int8)
+def viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Best tags (sequence, time) of scores (time, sequence, tag); what lies beyond a sequence's length repeats its last tag."""
+    steps, n, tags = e.shape
+    lengths = np.full(n, steps) if lengths is None else lengths
+    best, back, same = e[0], np.empty((steps, n, tags), np.int8), np.arange(tags, dtype=np.int8)
     for t in range(1, steps):
         s = best[:, :, None] + trans
-        back[t] = s.argmax(1)
-        best = s.max(1) + e[t]
+        on = (t < lengths)[:, None]
+        back[t] = np.where(on, s.argmax(1), same)
+        best = np.where(on, s.max(1) + e[t], best)
     out = np.empty((n, steps), np.int8)
     out[:, -1] = best.argmax(1)
     for t in range(steps - 1, 0, -1):
@@ -347,30 +351,67 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def blended(net: Net, codes: np.ndarray, blocks: list[int], last: int) -> np.ndarray:
+    """Tag scores (time, block, tag) of blocks of half a window. Block j is the second half of window j - 1 and the first of
+    window j (from 0 to ``last``); a character counts in each by its distance from that window's edge."""
+    half = WINDOW // 2
+    out = np.empty((half, len(blocks), N_TAGS), np.float32)
+    share = (np.arange(half)[:, None] + 1) / (half + 1)
+    for at in range(0, len(blocks), 512):
+        js = np.array(blocks[at : at + 512])
+        lo, hi = np.clip(js - 1, 0, last), np.minimum(js, last)
+        windows = np.union1d(lo, hi)
+        e = scores(net, codes[windows[:, None] * half + np.arange(WINDOW)])[0]
+        w = np.where(js == 0, 1.0, np.where(js > last, 0.0, share))[:, :, None]
+        out[:, at : at + 512] = w * e[:half, np.searchsorted(windows, hi)] + (1 - w) * e[half:, np.searchsorted(windows, lo)]
+    return out
+
+
+def _joined_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def tags_of(net: Net, text: str) -> np.ndarray:
-    """A tag for each character, as by decoding all windows: that in which a character is furthest from an edge decides.
-    Only windows that decide within stretches(), or on how a run of tags from there goes on, are decoded."""
+    """A tag for each character: the best sequence over the blended scores of each run of blocks that stretches() touch, a run
+    growing (twice as far each time) while a tag other than outside stands at an end that isn't the text's."""
     n, half = len(text), WINDOW // 2
-    window = lambda k: max(0, (k - half // 2) // half)
     out = np.zeros(n, np.int8)
-    asked = sorted({w for a, b in stretches(text) for w in range(window(a), window(b - 1) + 1)})
-    if not asked:
+    runs = _joined_runs([(a // half, (b - 1) // half + 1) for a, b in stretches(text)])
+    if not runs:
         return out
-    codes = np.zeros((n // half + 2) * half, np.int64)
+    count = -(-n // half)
+    codes = np.zeros((count + 1) * half, np.int64)
     codes[:n] = _codes(text)
-    known = set()
-    while asked:
-        known.update(asked)
-        on = set()
-        for at in range(0, len(asked), 512):
-            part = asked[at : at + 512]
-            got = viterbi(scores(net, codes[np.array(part)[:, None] * half + np.arange(WINDOW)])[0], net.trans)
-            for w, tags in zip(part, got, strict=True):
-                a, b = w * half + (half // 2 if w else 0), min(n, w * half + half + half // 2)
-                out[a:b] = tags[a - w * half : b - w * half]
-                if b < n and out[b - 1]:
-                    on.add(w + 1)
-        asked = sorted(on - known)
+    known: dict[int, np.ndarray] = {}
+    done: set[tuple[int, int]] = set()
+    grow = 1
+    while len(fresh := [r for r in runs if r not in done]):
+        blocks = [j for a, b in fresh for j in range(a, b) if j not in known]
+        e = blended(net, codes, blocks, max(0, count - 2))
+        known.update((j, e[:, k]) for k, j in enumerate(blocks))
+        fresh.sort(key=lambda r: r[1] - r[0])
+        while fresh:  # the longest ones first, with others at least half as long, some million characters at a time
+            size = fresh[-1][1] - fresh[-1][0]
+            room, part = max(1, (1 << 20) // (size * half)), []
+            while fresh and len(part) < room and 2 * (fresh[-1][1] - fresh[-1][0]) >= size:
+                part.append(fresh.pop())
+            stack = np.zeros((size * half, len(part), N_TAGS), np.float32)
+            for k, (a, b) in enumerate(part):
+                stack[: (b - a) * half, k] = np.concatenate([known[j] for j in range(a, b)])
+            ends = np.array([min(n, b * half) - a * half for a, b in part])
+            for (a, _), end, tags in zip(part, ends, viterbi(stack, net.trans, ends), strict=True):
+                out[a * half : a * half + end] = tags[:end]
+        done.update(runs)
+        wider = [(a - grow if a and out[a * half] else a, b + grow if b < count and out[b * half - 1] else b) for a, b in runs]
+        runs = _joined_runs([(max(0, a), min(count, b)) for a, b in wider])
+        grow *= 2
     return out
 
 

@@ -527,3 +527,49 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(none)).count() == 0
     left = {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert left == {i for i in range(240) if i % 6 and i not in (1, 2)} | {501, 2, 504}
+
+
+def test_pii_one_best_sequence_over_all_windows(monkeypatch):
+    """viterbi() against all sequences; tags_of() against one plain pass over scores blended character by character."""
+    import itertools
+
+    r = np.random.default_rng(4)
+    e, trans = r.normal(size=(4, 3, 3)), r.normal(size=(3, 3))
+    lengths = np.array([4, 2, 1])
+    got = pii.viterbi(e, trans, lengths)
+    for k, n in enumerate(lengths):
+        def total(tags, k=k):
+            return sum(e[t, k, x] for t, x in enumerate(tags)) + sum(trans[a, b] for a, b in itertools.pairwise(tags))
+
+        assert tuple(got[k, :n]) == max(itertools.product(range(3), repeat=int(n)), key=total)
+
+    net, half, draw = pii.standard(), pii.WINDOW // 2, random.Random(11)
+    texts = [t for t, _ in pii.labelled(12, seed=91)] + ["1", "7" * 31, "4 " * 16, "4 " * 16 + "4", "12. " * 40, prose(60, draw) + " +49 301 555 1234"]
+    monkeypatch.setattr(pii, "stretches", lambda t: [(0, len(t))])
+    for text in texts:
+        codes = np.concatenate([pii._codes(text), np.zeros(2 * pii.WINDOW, np.int64)])
+        rows = [([], []) for _ in text]
+        for at in range(0, max(1, len(text) - half), half):
+            window = pii.scores(net, codes[None, at : at + pii.WINDOW])[0][:, 0]
+            for t in range(min(pii.WINDOW, len(text) - at)):
+                rows[at + t][0].append(window[t])
+                rows[at + t][1].append(min(t + 1, pii.WINDOW - t))
+        best, back = None, []
+        for scored, weights in rows:
+            here = sum(s * w for s, w in zip(scored, weights, strict=True)) / sum(weights)
+            if best is None:
+                best = here
+                continue
+            step = best[:, None] + net.trans
+            back.append(step.argmax(0))
+            best = step.max(0) + here
+        tags = [int(best.argmax())]
+        for b in reversed(back):
+            tags.append(int(b[tags[-1]]))
+        assert pii.tags_of(net, text).tolist() == tags[::-1]
+    value = "jane.doe" * 9 + "[at]example[dot]org"  # a run of tags that goes on is followed to both ends
+    text = f"{prose(60, draw)} {value} {prose(60, draw)}"
+    at = text.index(value)
+    for k in range(len(value)):
+        monkeypatch.setattr(pii, "stretches", lambda t, k=k: [(at + k, at + k + 1)])
+        assert pii.spans_of(net, text) == ([], [("email", at, at + len(value))])
