@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans import assembled, lifecycle, listings, reads, registry, runs, upkeep, written  # noqa: F401  the others add to the registry
+from palimpsest.plans import assembled, library, lifecycle, listings, reads, registry, runs, upkeep, written  # noqa: F401  the others add to the registry
 
 DATA = "/root/testdata/sf0.001"
 NAMES = sorted(registry.ORACLE)
