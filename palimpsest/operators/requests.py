@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -107,3 +107,26 @@ def normalised_tags(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """``tidy_tags`` of a column of lists; Spark has neither NFC nor case folding."""
     for s in column:
         yield s.map(tidy_tags)
+
+
+def names_someone(value: Column) -> Column:
+    """Whether a value reads as an identifier: 32 hexadecimal digits, with or without hyphens, braces or a prefix."""
+    return F.regexp_replace(F.regexp_replace(value, "urn:|uuid:", ""), r"^[{}]+|[{}]+\z|-", "").rlike(r"^[0-9a-fA-F]{32}\z")
+
+
+def attributed(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Writes (worker, seq, run, depth) under the context that was open at each, and the runs refused (worker, run).
+
+    ``marks`` (worker, seq, kind, run, metadata) are what a worker did, by seq: ``open`` and ``close`` of a run, well nested, and ``write``. A run opened within another is one of its own,
+    and at its end the outer one is in force again; ``run`` is null and ``depth`` 0 where none is open. A run whose metadata (map of strings) has a value that reads as an identifier
+    is refused, as all tenants can read contexts: its writes belong to what is open around it. A run that isn't closed stays open; a close too many opens nothing.
+
+    Two windows, by worker and by worker and depth: what is open at a depth is what was opened last there. No stack is kept, no pair of marks is joined.
+    """
+    bad = (F.col("kind") == "open") & F.coalesce(F.exists(F.map_values("metadata"), lambda v: F.coalesce(names_someone(v), F.lit(False))), F.lit(False))
+    refused = marks.where(bad).select("worker", "run").distinct()
+    left = marks.join(refused, ["worker", "run"], "left_anti")
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    deep = left.withColumn("depth", F.greatest(F.lit(0), F.sum(step).over(Window.partitionBy("worker").orderBy("seq"))).cast("int"))
+    opened = F.last(F.when(F.col("kind") == "open", F.col("run")), ignorenulls=True).over(Window.partitionBy("worker", "depth").orderBy("seq"))
+    return deep.withColumn("run", F.when(F.col("depth") > 0, opened)).where("kind = 'write'").select("worker", "seq", "run", "depth"), refused

@@ -1,11 +1,14 @@
-"""Registered queries of cards, failed pages, imports and the events of a source, with their DuckDB forms."""
+"""Registered queries of cards, failed pages, imports, the events of a source, notifications and contexts of writes, with their DuckDB forms."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import history as H
 from palimpsest.operators import library as Y
+from palimpsest.operators import reads as R
+from palimpsest.operators import requests as Q
 from palimpsest.plans.reads import EVENTS, _events
 from palimpsest.plans.registry import LOG, log, query, t
 
@@ -61,3 +64,29 @@ def P3_removed(spark, d):
 def P6_events_of_source(spark, d):
     sources = t(spark, d, "customer").select(F.col("c_custkey").alias("source_id"))
     return Y.events_of(_events(spark, d), sources).select("source_id", "id", "event_type", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH e AS (SELECT user_id AS worker, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)
+SELECT worker, k AS seq, CASE WHEN k % 10 IN (4, 5) AND worker % 5 <> 0 THEN 'inner-' || k // 10 WHEN k % 10 BETWEEN 2 AND 8 THEN 'outer-' || k // 10 END AS run,
+CASE WHEN k % 10 IN (4, 5) AND worker % 5 <> 0 THEN 2 WHEN k % 10 BETWEEN 2 AND 8 THEN 1 ELSE 0 END::INT AS depth FROM e WHERE k % 10 NOT IN (1, 3, 6, 9)""")
+def L20_attributed(spark, d):
+    """A user's events as marks: of each ten the second and tenth open and close a run, the fourth and seventh one within it, which names someone for each fifth user; others are writes."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = t(spark, d, "events").select(F.col("user_id").alias("worker"), k.cast("long").alias("seq"))
+    place = F.col("seq") % 10
+    kind = F.when(place.isin(1, 3), "open").when(place.isin(6, 9), "close").otherwise("write")
+    run = F.when(place.isin(1, 9), F.concat(F.lit("outer-"), F.floor(F.col("seq") / 10).cast("string"))).when(place.isin(3, 6), F.concat(F.lit("inner-"), F.floor(F.col("seq") / 10).cast("string")))
+    named = F.create_map(F.lit("step"), F.when((place == 3) & (F.col("worker") % 5 == 0), "{00000000-0000-4000-8000-00000000000a}").otherwise("read"))
+    return Q.attributed(e.select("worker", "seq", kind.alias("kind"), run.alias("run"), named.alias("metadata")))[0]
+
+
+@query(EVENTS + """, h AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY source_id, event_type ORDER BY retired, created DESC, id DESC) = 1)
+SELECT id, source_id, event_type, CASE WHEN hit THEN 'new' ELSE 'old' END AS payload, retired AND NOT hit AS retired, CASE WHEN id % 3 = 0 THEN created END AS read_at FROM (SELECT *, source_id % 2 = 0 AND id IN (SELECT id FROM h) AS hit FROM ev)
+UNION ALL SELECT NULL, c_custkey, 'welcome', 'new', FALSE, NULL FROM customer WHERE c_custkey % 7 = 0""")
+def P9_notified(spark, d):
+    """Events as notifications, each third read: even users' are announced again and stay read, and each seventh customer is welcomed."""
+    e = _events(spark, d).withColumns({"payload": F.lit("old"), "read_at": F.when(F.col("id") % 3 == 0, F.col("created"))})
+    want = e.where("source_id % 2 = 0").select("source_id", "event_type").distinct()
+    new = t(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("source_id"), F.lit("welcome").alias("event_type"))
+    told = R.upserted(e, want.unionByName(new).withColumn("payload", F.lit("new")), ["source_id", "event_type"], "payload", keep=["read_at"])
+    return told.select("id", "source_id", "event_type", "payload", "retired", "read_at")

@@ -48,3 +48,42 @@ def test_removed_and_events_of(spark):
     assert {x.id: (x.retired, x.changed) for x in Y.removed(events, asked).collect()} == {1: (True, True), 2: (False, False), 3: (True, False), 4: (False, False), 5: (False, False), 6: (False, False)}
     got = Y.events_of(events, spark.createDataFrame([(1,), (1,), (2,)], "source_id int"))
     assert [(x.id, x.place) for x in got.orderBy("place").collect()] == [(6, 1), (2, 2), (1, 3)]
+
+
+def test_writes_belong_to_what_is_open(spark):
+    """Against a stack in plain Python, on random well-nested runs, some of which name someone."""
+    import random
+    import uuid
+
+    from palimpsest.operators import requests as Q
+
+    r, marks, want, bad = random.Random(31), [], set(), set()
+    for worker in range(12):
+        stack, open_, n = [], [], 0
+        for seq in range(80):
+            kind = r.choice(["open", "close", "write", "write"])
+            if kind == "close" and not open_:
+                kind = "write"
+            if kind == "open":
+                run = f"r{n}"
+                n += 1
+                someone = r.random() < 0.3
+                value = r.choice([str(uuid.UUID(int=r.getrandbits(128))), f"urn:uuid:{uuid.UUID(int=r.getrandbits(128))}", uuid.UUID(int=r.getrandbits(128)).hex.upper()]) if someone else r.choice(["nightly", "a" * 31, None, "g" * 32])
+                marks.append((worker, seq, kind, run, {"step": "import", "note": value}))
+                open_.append(run)
+                if someone:
+                    bad.add((worker, run))
+                else:
+                    stack.append(run)
+            elif kind == "close":
+                run = open_.pop()
+                marks.append((worker, seq, kind, run, None))
+                if (worker, run) not in bad:
+                    stack.remove(run)
+            else:
+                marks.append((worker, seq, kind, None, None))
+                want.add((worker, seq, stack[-1] if stack else None, len(stack)))
+    df = spark.createDataFrame(marks, "worker int, seq int, kind string, run string, metadata map<string,string>")
+    writes, refused = Q.attributed(df.repartition(7))
+    assert rows(writes) == sorted(want, key=repr) and set(map(tuple, refused.collect())) == bad and bad
+    assert rows(Q.attributed(df.limit(0))[0]) == []
