@@ -1,20 +1,22 @@
 """Hard negatives by a two-dimensional block matrix multiply.
 
-Scores are integer inner products of anchors with all rows. Anchors and rows are dealt to row blocks, their entries to
-chunks of dimensions. For each pair of blocks and each chunk the two shards meet in a task, which gives a partial tile of 64-bit
-scores; the partial tiles of a pair are shuffled together and added. The finished tile is reduced where it
-stands and never written: once to each anchor's first POSITIVES rows of its label, then, with the windows that
-these scores open, to the first NEGATIVES of each window. The tiles' lists are merged by a ranked window,
-of which Spark keeps the first rows before it shuffles.
-
-At scale: work and shuffle are anchors times rows, as every score is asked for. A tile has ROWS times ANCHORS scores whatever the
-labels, so no label, however common, is gathered anywhere, and a task holds one tile and one shard of each side. A chunk
-more costs a shuffle of the scores more: CHUNK should grow with the dimension. Anchors are taken PANEL at a time, and
-what a panel gives is written before the next, so the disk holds the tiles of one panel.
+Scores are integer inner products of anchors with all rows. Anchors and rows are packed into blocks, and each
+block of rows meets each block of anchors in a join. For each pair the products of the chunks of dimensions are added up to a tile of
+64-bit scores, which is reduced where it stands and never written or shuffled: once to each anchor's first
+POSITIVES rows of its label, then, with the windows that these scores open, to the first NEGATIVES of each window. A task
+carries its lists on from tile to tile, so it gives one list for each anchor and window; the lists of all tasks are merged by a ranked
+window.
+
+At scale: work is anchors times rows, as every score is asked for; what is shuffled is lists, POSITIVES rows and then POSITIVES
+times NEGATIVES for each anchor and task. A tile has ROWS times ANCHORS scores whatever the labels, so no label, however common, is
+gathered anywhere, and a task holds one tile and its lists. Anchors are taken PANEL at a time (fewer where
+vectors are long), so what is broadcast and what a task's lists take is bounded; what a panel gives is written, and its shuffles are
+deleted, before the next. All rows are read twice for each panel.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 from collections.abc import Iterator
@@ -25,14 +27,19 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import base, whitening
 
-ROWS, ANCHORS, CHUNK = 1024, 512, 32
+ROWS, ANCHORS, CHUNK = 2048, 512, 256
 #: Anchors of one pass over the rows.
-PANEL = 65_536
+PANEL = 8192
+#: Bytes of a panel's vectors, of a block's vectors and of an Arrow batch, about.
+PANEL_BYTES, BLOCK_BYTES, BATCH_BYTES = 16 << 20, 8 << 20, 8 << 20
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score lies between these hundredths of the positive's.
 LOW, HIGH = 30, 90
 #: The entries of a row's header: has an id, id, label, row; an anchor's windows follow, two each.
 HEAD = 4
+#: A tile with more candidates an anchor than this is thinned out before they are sorted.
+CROWD = 64
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def rows_of(vectors: DataFrame) -> DataFrame:
@@ -46,103 +53,134 @@ def _header(*more: Column) -> Column:
     return F.array(F.col("vec_id").isNotNull().cast("long"), F.coalesce("vec_id", F.lit(0)), "label", "rid", *more)
 
 
-def _shards(rows: DataFrame, own: str, other: str, blocks: tuple[int, int], chunks: int, side: int) -> DataFrame:
-    """Each row (rid, x, head, its block ``own``) cut into chunks, once for each block of the other side; chunk -1 is the header."""
-    cut = rows.select("rid", own, "x", "head", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1))).alias("k"))
-    part = F.when(F.col("k") < 0, F.col("head")).otherwise(F.slice("x", F.col("k") * CHUNK + 1, CHUNK))
-    cut = cut.select("rid", own, "k", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks[other == "j"] - 1))).alias(other))
-    tile = F.col("i").cast("long") * blocks[1] + F.col("j")
-    return cut.select((tile * (chunks + 1) + F.col("k") + 1).alias("key"), tile.alias("tile"), F.col("k").cast("int").alias("k"), F.lit(side).alias("side"), "rid", "part")
-
-
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a·bᵀ of integer matrices, exact modulo 2**64; through doubles where every partial sum is an integer that a double holds."""
+    """a·bᵀ of integer matrices as longs, exact modulo 2**64; through floats where every partial sum is an integer that they hold."""
     room = [max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))) for m in (a, b)]
-    if room[0] * room[1] * a.shape[1] < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
-
+    bound = room[0] * room[1] * a.shape[1]
+    kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+    return (a.astype(kind) @ b.astype(kind).T).astype(np.int64, copy=False)
 
-def _partial(batches: Iterator) -> Iterator:
-    """Shards to rows of partial tiles: (tile, k, row, data), the scores of one anchor with the rows of a block. A header
-    becomes two rows, the anchors' and the block's."""
-    import pyarrow as pa
-
-    for t in base.runs(batches):
-        side, tile, k = t.column("side").to_numpy(), t.column("tile")[0].as_py(), t.column("k")[0].as_py()
-        halves = [t.filter(side == s).sort_by("rid").column("part").combine_chunks() for s in (0, 1)]
-        if not all(len(h) for h in halves):  # a block that got no row
-            continue
-        if k < 0:
-            data, row = [whitening.matrix(h, len(h[0])).tobytes() for h in halves], [-2, -1]
-        else:
-            data = [r.tobytes() for r in product(*(whitening.matrix(h, CHUNK) for h in halves))]
-            row = range(len(data))
-        n = len(data)
-        yield pa.RecordBatch.from_arrays([pa.array([tile] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array(row, pa.int32()), pa.array(data, pa.binary())], ["tile", "k", "row", "data"])
-
-
-def _tiles(batches: Iterator, width: int) -> Iterator:
-    """The finished tiles of rows sorted by tile, k, row: (anchors' header, block's header, scores). One tile is held."""
-    tile, heads, sums = None, [], None
-    for batch in batches:
-        for t, k, r, data in zip(*(batch.column(c).to_pylist() for c in ("tile", "k", "row", "data")), strict=True):
-            if t != tile:
-                if len(heads) == 2:
-                    yield *heads, sums
-                tile, heads = t, []
-            m = np.frombuffer(data, np.int64)
-            if k < 0:
-                heads.append(m.reshape(-1, width if r == -2 else HEAD))
-                sums = np.zeros((len(heads[0]), len(m) // HEAD), np.int64)
-            else:
-                sums[r] += m
-    if len(heads) == 2:
-        yield *heads, sums
-
-
-def first(score: np.ndarray, head: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
-    """Of the places ``at`` the first by falling score, then by vec_id (null last)."""
-    if len(at) > most:
-        floor = np.partition(score[at], len(at) - most)[len(at) - most]
-        at = at[score[at] >= floor]
-    return at[np.lexsort((head[at, 3], head[at, 1], -head[at, 0], ~score[at]))][:most]
-
-
-def _nearest(batches: Iterator) -> Iterator:
-    """Each tile's first rows of an anchor's label: (anchor, score, none, vec_id, other)."""
-    import pyarrow as pa
 
-    for a, b, s in _tiles(batches, HEAD):
-        out = []
-        for r, own in enumerate(a):
-            at = np.flatnonzero((b[:, 2] == own[2]) & (b[:, 3] != own[3]))
-            out += [(int(own[3]), int(s[r, p]), not b[p, 0], int(b[p, 1]), int(b[p, 3])) for p in first(s[r], b, at, POSITIVES)]
-        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], ["anchor", "score", "none", "vec_id", "other"])
+def tile(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The scores of a block of anchors with a block of rows: the products of their chunks, added in place."""
+    out = product(a[:, :CHUNK], b[:, :CHUNK])
+    for k in range(CHUNK, a.shape[1], CHUNK):
+        out += product(a[:, k : k + CHUNK], b[:, k : k + CHUNK])
+    return out
 
 
-def _within(batches: Iterator) -> Iterator:
-    """Each tile's first rows of another label in each window of an anchor: (anchor, place, score, none, vec_id, other)."""
+def _packed(batches: Iterator, most: int, width: int) -> Iterator:
+    """Rows (head, x) as blocks of up to ``most``: (n, head, kind, data), the entries in the narrowest type that holds them."""
     import pyarrow as pa
 
-    for a, b, s in _tiles(batches, HEAD + 2 * POSITIVES):
-        out = []
-        for r, own in enumerate(a):
-            other = b[:, 2] != own[2]
-            for w in range(POSITIVES):
-                lo, hi = own[HEAD + 2 * w : HEAD + 2 * w + 2]
-                if lo > hi:
-                    continue
-                at = np.flatnonzero(other & (s[r] >= lo) & (s[r] <= hi))
-                out += [(int(own[3]), w, int(s[r, p]), not b[p, 0], int(b[p, 1]), int(b[p, 3])) for p in first(s[r], b, at, NEGATIVES)]
-        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], ["anchor", "place", "score", "none", "vec_id", "other"])
+    def block():
+        t = pa.Table.from_batches(held).combine_chunks()
+        head, x = (t.column(c).combine_chunks() for c in ("head", "x"))
+        x = whitening.matrix(x, width)
+        kind = next(k for k in ("i2", "i4", "i8") if np.iinfo(k).min <= x.min() and x.max() <= np.iinfo(k).max)
+        row = {"n": pa.array([len(x)], pa.int32()), "head": pa.array([whitening.matrix(head, len(head[0])).tobytes()], pa.binary()), "kind": pa.array([kind]), "data": pa.array([x.astype(kind).tobytes()], pa.binary())}
+        return pa.RecordBatch.from_pydict(row)
 
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, most - n))
+            n += held[-1].num_rows
+            batch = batch.slice(held[-1].num_rows)
+            if n == most:
+                yield block()
+                held, n = [], 0
+    if n:
+        yield block()
+
+
+class Firsts:
+    """Of each window of each anchor of a block the first ``most`` rows, by falling score, then by vec_id (null last), then by row;
+    of the anchor's own label (``same``) or of others. Tiles come one after the other."""
+
+    def __init__(self, anchors: np.ndarray, same: bool, most: int):
+        self.a, self.same, self.most = anchors, same, most
+        self.lo, self.hi = (np.full((len(anchors), 1), v, np.int64) for v in (_LEAST, _MOST)) if same else (anchors[:, HEAD::2], anchors[:, HEAD + 1 :: 2])
+        self.open = self.lo <= self.hi
+        self.floor, self.last = self.lo.copy(), np.full(self.lo.shape, _MOST)  # the least score that still enters, and its greatest vec_id
+        self.kept, self.new, self.waiting = np.empty((5, 0), np.int64), [], 0  # window, score, none, vec_id, row
+
+    def take(self, b: np.ndarray, s: np.ndarray) -> None:
+        a = self.a
+        among = s >= np.where(self.open, self.floor, _MOST).min(1)[:, None]
+        if not self.same:
+            among &= s <= np.where(self.open, self.hi, _LEAST).max(1)[:, None]
+        if np.count_nonzero(among) > CROWD * len(a) and (self.last == _MOST).any():
+            among = self._thinned(b, s)
+        r, c = np.nonzero(among)
+        right = (a[r, 2] == b[c, 2]) & (a[r, 3] != b[c, 3]) if self.same else a[r, 2] != b[c, 2]
+        r, c = r[right], c[right]
+        v, ids = s[r, c], b[c, 1]
+        for w in range(self.lo.shape[1]):
+            floor = self.floor[r, w]
+            at = np.flatnonzero(self.open[r, w] & (v <= self.hi[r, w]) & ((v > floor) | (v == floor) & (ids <= self.last[r, w])))
+            self.new.append(np.stack([r[at] * self.lo.shape[1] + w, v[at], 1 - b[c[at], 0], ids[at], b[c[at], 3]]))
+            self.waiting += len(at)
+        if self.waiting > 1024 + self.kept.shape[1] // 4:
+            self._merge()
+
+    def _thinned(self, b: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Which scores may be among the first of a window, as far as this tile alone tells."""
+        own = self.a[:, 2][:, None] == b[:, 2]
+        fits, out = own & (self.a[:, 3][:, None] != b[:, 3]) if self.same else ~own, np.zeros(s.shape, bool)
+        for w in range(self.lo.shape[1]):
+            some = fits & (s >= self.floor[:, w, None]) & (s <= self.hi[:, w, None])
+            if s.shape[1] > self.most:
+                place = s.shape[1] - self.most
+                some &= s >= np.partition(np.where(some, s, _LEAST), place, axis=1)[:, place, None]
+            out |= some
+        return out
+
+    def _merge(self) -> None:
+        rows = np.concatenate([self.kept, *self.new], axis=1)
+        rows = rows[:, np.lexsort((rows[4], rows[3], rows[2], ~rows[1], rows[0]))]
+        place = np.arange(rows.shape[1]) - np.searchsorted(rows[0], rows[0])
+        w, score, none, ids, _ = rows[:, place == self.most - 1]
+        self.floor.flat[w], self.last.flat[w] = score, np.where(none == 1, _MOST, ids)
+        self.kept, self.new, self.waiting = rows[:, place < self.most], [], 0
+
+    def lists(self) -> tuple[np.ndarray, ...]:
+        """anchor, place of the window, score, none, vec_id, other."""
+        self._merge()
+        w, score, none, ids, other = self.kept
+        return self.a[w // self.lo.shape[1], 3], w % self.lo.shape[1], score, none == 1, ids, other
+
+
+def _unpacked(batch, k: int, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """Headers and vectors of a block in row ``k`` of a batch."""
+    n, head, kind, data = (batch.column(side + name)[k] for name in ("n", "head", "kind", "data"))
+    return tuple(np.frombuffer(d.as_buffer(), t).reshape(n.as_py(), -1) for d, t in ((head, "i8"), (data, kind.as_py())))
+
+
+def _searched(batches: Iterator, same: bool, most: int) -> Iterator:
+    """Pairs of blocks to the first rows of each window of each anchor among a task's rows."""
+    import pyarrow as pa
 
-def multiply(anchors: DataFrame, rows: DataFrame, blocks: tuple[int, int], chunks: int, reduce, schema: str) -> DataFrame:
-    """What ``reduce`` makes of the tiles of anchors (rid, i, x, head) with rows (rid, j, x, head), so many blocks of each. All x have ``chunks`` chunks."""
-    shards = _shards(anchors, "i", "j", blocks, chunks, 0).unionByName(_shards(rows, "j", "i", blocks, chunks, 1))
-    parts = shards.repartition("key").sortWithinPartitions("key", "side").mapInArrow(base.tidied(_partial), "tile long, k int, row int, data binary")
-    return parts.repartition("tile").sortWithinPartitions("tile", "k", "row").mapInArrow(base.tidied(reduce), schema)
+    found: dict[int, Firsts] = {}
+    for batch in batches:
+        for k in range(batch.num_rows):
+            (a, x), (b, y) = (_unpacked(batch, k, side) for side in ("a_", ""))
+            first = int(a[0, 3])
+            if first not in found:
+                found[first] = Firsts(a.copy(), same, most)
+            found[first].take(b, tile(x, y))
+    for first in found.values():
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(first.lists(), (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["anchor", "place", "score", "none", "vec_id", "other"])
+
+
+def multiply(anchors: DataFrame, rows: DataFrame, width: int, same: bool, most: int) -> DataFrame:
+    """Each task's first rows for each anchor's windows. Anchors (a panel's, as they are broadcast) and rows: head, x with ``width`` entries."""
+    room = max(1, BLOCK_BYTES // (8 * width))
+    pack = lambda df, n: df.select("head", "x").mapInArrow(base.tidied(functools.partial(_packed, most=min(n, room), width=width)), "n int, head binary, kind string, data binary")
+    left = pack(anchors, ANCHORS)
+    left = left.select(*(F.col(c).alias(f"a_{c}") for c in left.columns))
+    pairs = pack(rows, ROWS).crossJoin(F.broadcast(left))
+    return pairs.mapInArrow(base.tidied(functools.partial(_searched, same=same, most=most)), "anchor long, place int, score long, none boolean, vec_id long, other long")
 
 
 def _ranked(found: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -161,6 +199,20 @@ def windows(positives: DataFrame) -> DataFrame:
     return some.groupBy("anchor").agg(F.array(*each).alias("bounds"))
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession) -> Iterator:
+    """While panels run: batches of pairs are small, and shuffles are deleted once what they led to is written."""
+    held = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def mine(vectors: DataFrame, every: int = 100) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for each anchor (vec_id divisible by ``every``) and positive.
 
@@ -172,29 +224,29 @@ def mine(vectors: DataFrame, every: int = 100) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = base.save(rows_of(vectors), "vectors")
-    n, longest, asked = rows.agg(F.count(F.lit(1)), F.max(F.size("x")), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    longest, asked = rows.agg(F.max(F.size("x")), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     if not asked:
         base.drop(rows)
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-    padded = rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(longest) - F.size("x"))))
-    panels, across = math.ceil(asked / PANEL), math.ceil(n / ROWS)
-    blocks, chunks = (math.ceil(asked / panels / ANCHORS), across), max(1, math.ceil(longest / CHUNK))
-    spread = F.xxhash64("rid", F.lit(13))
-    right = padded.select("rid", "x", F.pmod(spread, F.lit(across)).alias("j"), _header().alias("head"))
-    left = padded.where(F.col("vec_id") % every == 0).withColumns({"panel": F.pmod(spread, F.lit(panels)), "i": F.pmod(F.xxhash64("rid", F.lit(14)), F.lit(blocks[0]))})
+    width = max(1, longest)
+    panels = math.ceil(asked / max(1, min(PANEL, PANEL_BYTES // (8 * width))))
+    right = rows.select(_header().alias("head"), "x")
+    left = rows.where(F.col("vec_id") % every == 0).withColumn("panel", F.pmod(F.xxhash64("rid", F.lit(13)), F.lit(panels)))
+    dealt = math.ceil(asked / panels / ANCHORS)
     made = []
-    for panel in range(panels):
-        own = left.where(F.col("panel") == panel)
-        near = multiply(own.select("rid", "i", "x", _header().alias("head")), right, blocks, chunks, _nearest, "anchor long, score long, none boolean, vec_id long, other long")
-        positives = base.save(_ranked(near, ["anchor"], POSITIVES), "positives")
-        opened = own.join(windows(positives), F.col("rid") == F.col("anchor")).select("rid", "i", "x", F.concat(_header(), "bounds").alias("head"))
-        found = multiply(opened, right, blocks, chunks, _within, "anchor long, place int, score long, none boolean, vec_id long, other long")
-        negatives = _ranked(found, ["anchor", "place"], NEGATIVES)
-        named = positives.select("anchor", (F.col("rank") - 1).alias("place"), F.when(~F.col("none"), F.col("vec_id")).alias("positive_id"), F.col("score").alias("positive_score"))
-        out = negatives.join(named, ["anchor", "place"]).join(own.select(F.col("rid").alias("anchor"), F.col("vec_id").alias("anchor_id")), "anchor")
-        negative = F.when(~F.col("none"), F.col("vec_id"))
-        made.append(base.save(out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), negative.alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives"))
-        base.drop(positives)
+    with _settings(spark):
+        for panel in range(panels):
+            own = left.where(F.col("panel") == panel)
+            near = multiply(own.select(_header().alias("head"), "x").repartition(dealt), right, width, True, POSITIVES)
+            positives = base.save(_ranked(near, ["anchor"], POSITIVES).drop("place"), "positives")
+            opened = own.join(windows(positives), F.col("rid") == F.col("anchor")).select(F.concat(_header(), "bounds").alias("head"), "x")
+            found = multiply(opened.repartition(dealt), right, width, False, NEGATIVES)
+            negatives = _ranked(found, ["anchor", "place"], NEGATIVES)
+            named = positives.select("anchor", (F.col("rank") - 1).alias("place"), F.when(~F.col("none"), F.col("vec_id")).alias("positive_id"), F.col("score").alias("positive_score"))
+            out = negatives.join(named, ["anchor", "place"]).join(own.select(F.col("rid").alias("anchor"), F.col("vec_id").alias("anchor_id")), "anchor")
+            negative = F.when(~F.col("none"), F.col("vec_id"))
+            made.append(base.save(out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), negative.alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives"))
+            base.drop(positives)
     base.drop(rows)
     return functools.reduce(DataFrame.unionByName, made)
 

@@ -98,3 +98,40 @@ def test_query_and_sql(spark, tmp_path):
     want = con.execute(negatives.ORACLE["op13_hard_negatives"]).df()[list(got.columns)]
     keys = ["anchor_id", "positive_id", "rank"]
     pd.testing.assert_frame_equal(got.sort_values(keys).reset_index(drop=True), want.sort_values(keys).reset_index(drop=True), check_dtype=False)
+
+
+def test_lists_grow_with_tasks_not_with_blocks(spark, monkeypatch):
+    """However many blocks of rows a task has, it gives one list for each anchor and window."""
+    monkeypatch.setattr(negatives, "ROWS", 20)
+    given, ranked = [], negatives._ranked
+    monkeypatch.setattr(negatives, "_ranked", lambda found, keys, most: given.append((found.count(), most)) or ranked(found, keys, most))
+    rows = narrow([(k, [R.gauss(0.3, 0.1) for _ in range(4)], k % 3) for k in range(2000)])
+    assert mined(made(spark, rows).coalesce(2)) == plain(rows)
+    (near, five), (within, ten) = given
+    assert near <= 2 * 20 * five and within <= 2 * 20 * five * ten
+
+
+@pytest.mark.parametrize("crowd", [0, 2, 1 << 20])
+def test_firsts_over_tiles(monkeypatch, crowd):
+    """Lists carried on from tile to tile against one sort, with many equal scores, rows without id and windows that stay short."""
+    import numpy as np
+
+    monkeypatch.setattr(negatives, "CROWD", crowd)
+    r = np.random.default_rng(crowd)
+    for levels in (3, 40, 1 << 40):
+        rows = np.stack([r.random(300) < 0.9, r.integers(-50, 50, 300), r.integers(0, 3, 300), np.arange(300)], 1).astype(np.int64)
+        rows[rows[:, 0] == 0, 1] = 0
+        bounds = np.sort(r.integers(-levels, levels + 1, (7, 5, 2)), axis=2)
+        bounds[r.random((7, 5)) < 0.2] = 1, 0
+        s = r.integers(-levels, levels + 1, (7, 300))
+        for same in (True, False):
+            found = negatives.Firsts(np.concatenate([rows[:7], bounds.reshape(7, 10)], 1), same, 4)
+            for lo, hi in ((0, 1), (1, 120), (120, 240), (240, 300)):
+                found.take(rows[lo:hi], s[:, lo:hi])
+            want = []
+            for a in range(7):
+                for place in range(1 if same else 5):
+                    lo, hi = (-(1 << 62), 1 << 62) if same else bounds[a, place]
+                    fit = [(-s[a, c], rows[c, 0] == 0, rows[c, 1], c) for c in range(300) if lo <= s[a, c] <= hi and (rows[c, 2] == rows[a, 2] and c != a if same else rows[c, 2] != rows[a, 2])]
+                    want += [(a, place, -v, none, i, c) for v, none, i, c in sorted(fit)[:4]]
+            assert list(zip(*(x.tolist() for x in found.lists()), strict=True)) == want
