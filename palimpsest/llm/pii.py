@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm import base
 
@@ -452,12 +453,12 @@ class _Find:
                 got = [spans_of(self.net, t) for t in part.column(1).to_pylist()]
                 counts = [pa.array([sum(s[0] == k for s in every) for _, every in got], pa.int64()) for k in KINDS]
                 digest = pa.array([hashlib.sha256(_joined(first).encode()).hexdigest() for first, _ in got], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, pa.array([_joined(every) for _, every in got], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, pa.array([_joined(every) for _, every in got], pa.string()), pa.array([_joined(first) for first, _ in got], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "base_spans"])
 
 
 def find(docs: DataFrame, net: Net) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans (kind:start:end in code points) of each row."""
-    return docs.select("doc_id", "text").mapInArrow(base.tidied(_Find(net)), f"doc_id {base.id_type(docs)}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans, base_spans (kind:start:end in code points) of each row."""
+    return docs.select("doc_id", "text").mapInArrow(base.tidied(_Find(net)), f"doc_id {base.id_type(docs)}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, base_spans string")
 
 
 @functools.lru_cache(1)
@@ -484,7 +485,10 @@ def trained(spark: SparkSession) -> Net:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(base.table(spark, sf_dir, "documents"), trained(spark))
+    """n_<kind> are of base spans, as base_sha256 is; all_<kind> of all spans."""
+    found = find(base.table(spark, sf_dir, "documents"), trained(spark))
+    counts = [F.regexp_count("base_spans", F.lit(f"{k}:")).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, "base_sha256", "spans", "base_spans", *(F.col(f"n_{k}").alias(f"all_{k}") for k in KINDS))
 
 
 QUERIES = {"op4_pii": op4_pii}

@@ -408,6 +408,27 @@ def test_pii_find_as_a_whole(spark):
         assert pii.spans_of(net, text) == ([], [])
 
 
+def test_pii_query_counts_base_spans(spark, tmp_path):
+    """The query's counts and digest are those of the base patterns alone, also where the net adds spans; all spans stand in ``spans``."""
+    import re
+
+    texts = [None, "", "\x00 a@b.co \U0001f600 10.0.0.1", "mail jane.doe[at]example[dot]org or a.b@c.example.com", "00010.0.0.255 1.2.3.4.5.6.7.8 256.1.1.1", *(t for t, _ in pii.labelled(60, seed=78))]
+    spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in pii.op4_pii(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    added = 0
+    for i, t in enumerate(texts):
+        x = rows[f"d{i}"]
+        want = [(k, m.start(), m.end()) for k in pii.KINDS for m in re.finditer(pii.PATTERNS[k], t or "") if pii._valid(k, m.group())]
+        joined = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert [x[f"n_{k}"] for k in pii.KINDS] == [sum(w[0] == k for w in want) for k in pii.KINDS]
+        assert x.base_spans == ",".join(joined) and x.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        every = [s for s in x.spans.split(",") if s]
+        assert set(joined) <= set(every) and [x[f"all_{k}"] for k in pii.KINDS] == [sum(s.startswith(f"{k}:") for s in every) for k in pii.KINDS]
+        added += len(every) - len(joined)
+    assert added > 20
+
+
 def test_pii_decodes_all_that_can_hold_a_span(monkeypatch):
     net, r = pii.standard(), random.Random(7)
     for value in ("jane.doe[at]example[dot]org", "tom_lind(at)webpost.de"):
