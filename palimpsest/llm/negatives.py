@@ -112,7 +112,7 @@ class Firsts:
             among &= s <= np.where(self.open, self.hi, _LEAST).max(1)[:, None]
         if np.count_nonzero(among) > CROWD * len(a) and (self.last == _MOST).any():
             among = self._thinned(b, s)
-        r, c = np.nonzero(among)
+        r, c = np.divmod(np.flatnonzero(among), among.shape[1])
         right = (a[r, 2] == b[c, 2]) & (a[r, 3] != b[c, 3]) if self.same else a[r, 2] != b[c, 2]
         r, c = r[right], c[right]
         v, ids = s[r, c], b[c, 1]
