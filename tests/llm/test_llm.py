@@ -416,12 +416,12 @@ def test_pii_query_counts_base_spans(spark, tmp_path):
     spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in pii.op4_pii(spark, str(tmp_path)).collect()}
     assert len(rows) == len(texts)
+    wanted = [[(k, m.start(), m.end()) for k in pii.KINDS for m in re.finditer(pii.PATTERNS[k], t or "") if pii._valid(k, m.group())] for t in texts]
+    counts = [[rows[f"d{i}"][f"n_{k}"] for k in pii.KINDS] for i in range(len(texts))]
+    assert counts == [[sum(w[0] == k for w in want) for k in pii.KINDS] for want in wanted]
     added = 0
-    for i, t in enumerate(texts):
-        x = rows[f"d{i}"]
-        want = [(k, m.start(), m.end()) for k in pii.KINDS for m in re.finditer(pii.PATTERNS[k], t or "") if pii._valid(k, m.group())]
-        joined = [f"{k}:{a}:{b}" for k, a, b in want]
-        assert [x[f"n_{k}"] for k in pii.KINDS] == [sum(w[0] == k for w in want) for k in pii.KINDS]
+    for i, want in enumerate(wanted):
+        x, joined = rows[f"d{i}"], [f"{k}:{a}:{b}" for k, a, b in want]
         assert x.base_spans == ",".join(joined) and x.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
         every = [s for s in x.spans.split(",") if s]
         assert set(joined) <= set(every) and [x[f"all_{k}"] for k in pii.KINDS] == [sum(s.startswith(f"{k}:") for s in every) for k in pii.KINDS]
