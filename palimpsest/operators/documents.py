@@ -62,20 +62,33 @@ def _cell(c: Column) -> Column:
 
 
 def on_cells(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Points (page, x, y) with the boxes of their page (``celled``) whose cell they lie on: on each page one cell of each grid that it has."""
+    """Points (page, x, y) with the boxes of their page (``celled``) whose cell they lie on: on each page one cell of each grid that it has.
+
+    Boxes on their cells are never sent to all machines: Spark takes them for as few as the boxes were."""
     placed = points.join(boxes.select("page", "grid").distinct(), "page").withColumns({"cx": _cell(F.col("x")), "cy": _cell(F.col("y"))})
-    return placed.join(boxes, ["page", "grid", "cx", "cy"])
+    return placed.join(boxes.hint("merge"), ["page", "grid", "cx", "cy"])
+
+
+def least_on(points: DataFrame, boxes: DataFrame, holds: Column) -> DataFrame:
+    """Each point (page, point, x, y) with the least ``best`` of the boxes (page, box, best and what ``holds`` reads) that hold it.
+
+    Points and boxes meet on cells of grids, see ``celled``; points at one place are looked up once.
+    """
+    least = F.min("best").alias("best")
+    met = on_cells(points.select("page", "x", "y").distinct(), celled(boxes, F.col("box"))).where(holds).groupBy("page", "x", "y").agg(least)
+    return points.join(met, ["page", "x", "y"]).groupBy("page", "point").agg(least)
 
 
 def hit(points: DataFrame, regions: DataFrame) -> DataFrame:
     """Each point (page, point, x, y) with the nid of the smallest shape that holds it: box first, then ring, smallest area first.
 
-    Points and shapes meet on cells of grids, see ``celled``.
+    Of equal shapes only the first nid can be it.
     """
     x, y = F.col("x"), F.col("y")
-    shaped = celled(regions.withColumns({"box": E.ring_box(F.col("ring")), "area": E.ring_area(F.col("ring"))}), F.col("box"))
-    met = on_cells(points, shaped).where((x >= F.col("box.x0")) & (x <= F.col("box.x1")) & (y >= F.col("box.y0")) & (y <= F.col("box.y1")) & E.point_in_ring(F.col("ring"), x, y))
-    return met.groupBy("page", "point").agg(F.min_by("nid", F.struct(F.round("area", 12), "nid")).alias("nid"))
+    shapes = regions.groupBy("page", "ring").agg(F.min("nid").alias("nid")).withColumn("box", E.ring_box(F.col("ring")))
+    ranked = shapes.withColumn("best", F.struct(F.round(E.ring_area(F.col("ring")), 12).alias("area"), "nid"))
+    held = (x >= F.col("box.x0")) & (x <= F.col("box.x1")) & (y >= F.col("box.y0")) & (y <= F.col("box.y1")) & E.point_in_ring(F.col("ring"), x, y)
+    return least_on(points, ranked, held).select("page", "point", F.col("best.nid").alias("nid"))
 
 
 def search(docs: DataFrame, query: str, most: int = 20) -> DataFrame:

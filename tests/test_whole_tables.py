@@ -58,6 +58,18 @@ def test_hit_pairs_only_what_lies_near(spark):
     assert re.search(r"Join Inner, .*cx#.*cy#", plan) and D.hit(marks, small).where("point = nid").count() == 2000
 
 
+def test_equal_shapes_and_points_are_paired_once(spark):
+    """3000 shapes of three kinds under 3000 points at two places; cells of shapes, which Spark takes for few, are never broadcast."""
+    ring = "array(named_struct('x', 0.0D, 'y', -s), named_struct('x', s, 'y', 0.0D), named_struct('x', 0.0D, 'y', s), named_struct('x', -s, 'y', 0.0D))"
+    shapes = spark.range(3000).selectExpr("id DIV 5000 AS page", "5000 - id AS nid", "1.0D + id % 3 AS s").selectExpr("page", "nid", f"{ring} AS ring")
+    points = spark.range(3000).selectExpr("id DIV 5000 AS page", "id AS point", "IF(id % 2 = 0, 0.25D, 1.75D) AS x", "0.125D AS y")
+    got = D.hit(points, shapes)
+    assert {(r.point, r.nid) for r in got.collect()} == {(k, 2003 if k % 2 == 0 else 2002) for k in range(3000)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[page.*cx#", plan) and not re.search(r"Broadcast\w*Join.*cx#", plan)
+    assert re.search(r"Aggregate \[page#\w+, ring#", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 @no_tables
 def test_every_order_is_ordered(spark):
     same_rows(spark, "O6_date_order_nulls_last")
