@@ -70,13 +70,13 @@ def page_text(nodes: DataFrame, drawn: DataFrame) -> DataFrame:
 
 def hit_word(points: DataFrame, words: DataFrame) -> DataFrame:
     """Each point (page, point, x, y) with the first word, of the region of least area, whose box holds it, edges included.
-    ``words``: page, region, area, seq, x0, y0, x1, y1, in any unit. They meet on cells of grids, see documents.celled."""
-    from palimpsest.operators.documents import celled, on_cells
+    ``words``: page, region, area, seq, x0, y0, x1, y1, in any unit. Of words in one box only the first can be it."""
+    from palimpsest.operators.documents import least_on
 
-    boxed = celled(words.withColumn("box", F.struct("x0", "y0", "x1", "y1")), F.col("box")).drop("box")
-    inside = on_cells(points, boxed).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    best = F.min(F.struct("area", "region", "seq")).alias("best")
-    return inside.groupBy("page", "point").agg(best).select("page", "point", "best.region", "best.seq")
+    box, x, y = F.struct("x0", "y0", "x1", "y1").alias("box"), F.col("x"), F.col("y")
+    boxed = words.groupBy("page", box).agg(F.min(F.struct("area", "region", "seq")).alias("best"))
+    held = x.between(F.col("box.x0"), F.col("box.x1")) & y.between(F.col("box.y0"), F.col("box.y1"))
+    return least_on(points, boxed, held).select("page", "point", "best.region", "best.seq")
 
 
 def scaled(ring: Column, width: Column, height: Column) -> Column:

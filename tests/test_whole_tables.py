@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 from palimpsest.operators import documents as D
+from palimpsest.operators import reads as R
 from palimpsest.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -70,6 +71,17 @@ def test_equal_shapes_and_points_are_paired_once(spark):
     assert re.search(r"Aggregate \[page#\w+, ring#", got._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_words_in_one_box_are_paired_once(spark):
+    words = spark.range(3000).selectExpr("id DIV 5000 AS page", "id % 7 AS region", "IF(id % 3 = 0, 4.0D, 1.0D) AS area", "5000 - id AS seq", "0.0D AS x0", "0.0D AS y0", "1.0D + id % 3 AS x1", "1.0D AS y1")
+    points = spark.range(3000).selectExpr("id DIV 5000 AS page", "id AS point", "0.5D + id % 4 AS x", "1.0D AS y")
+    got = R.hit_word(points, words)
+    held = lambda x: [((4.0 if k % 3 == 0 else 1.0), k % 7, 5000 - k) for k in range(3000) if x <= 1 + k % 3]
+    want = {x: min(held(x))[1:] for x in (0.5, 1.5, 2.5)}
+    assert {(r.point, r.region, r.seq) for r in got.collect()} == {(k, *want[0.5 + k % 4]) for k in range(3000) if k % 4 < 3}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[page.*cx#", plan) and not re.search(r"Broadcast\w*Join.*cx#", plan)
+
+
 @no_tables
 def test_every_order_is_ordered(spark):
     same_rows(spark, "O6_date_order_nulls_last")
