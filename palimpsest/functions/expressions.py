@@ -135,6 +135,14 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def html_title(html: Column) -> Column:
+    """The plain title of a page: what its first <title> holds, the three escapes that every page needs undone, on one line; empty without one, null for a null page."""
+    text = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+    for escape, sign in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(escape), F.lit(sign))
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t\n\f\r]+", " "), r"\A\p{Zs}+|\p{Zs}+\z", "")
+
+
 def excerpt(text: Column, most: int = 120) -> Column:
     flat = collapse(text)
     return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("…")))

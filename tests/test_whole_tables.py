@@ -99,3 +99,10 @@ def test_long_names_are_compared_whole(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
     want = {k: 2.0 * (Counter(a) & Counter(b)).total() / len(a + b) if a + b else 1.0 for k, a, b in rows}
     assert {r.p_partkey: r.ratio for r in registry.QUERIES["G13_quick_ratio"](spark, str(tmp_path)).collect()} == pytest.approx(want)
+
+
+def test_titles_are_read_as_the_query_says(spark, tmp_path):
+    titles = ["a &quot;b&quot; &amp", "&amp;lt;x&gt; &lt;y", " \t two\n lines ", "\xa0\u2003wide\u3000", "\x0bfeed\x0b", "", "end \u2028", "&nbsp;&#39;"]
+    pages = [f"<html><title>{x}</title><p>text" for x in titles] + ["<TITLE>large</TITLE>", "<title>one</title><title>two</title>", "<title>a<b>c</b></title><title>d</title>", "no title", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    same_rows(spark, "S8_html_title", str(tmp_path))
