@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,17 +67,18 @@ def load(root: str, name: str, into: DataFrame) -> DataFrame:
     return into.unionByName(rows.join(have, F.col("obj_id").eqNullSafe(F.col("h_obj")) & F.col("version").eqNullSafe(F.col("h_version")), "left_anti"))
 
 
-def identified(asked: DataFrame, known: DataFrame) -> DataFrame:
+def identified(asked: DataFrame, known: DataFrame, place: Sequence[str] = ()) -> DataFrame:
     """Extractors as runs asked for them (seq, name, tool_version, config: map) with ``op``: ``use`` what is known or was created before, ``create`` it, or
     ``refuse`` it, as its name and version stand for another config. ``known``: name, tool_version, config, one row each.
 
-    The order of a config's keys means nothing; a null config is one of its own. The first by seq creates; it is found by an aggregate, so runs of one extractor, however many, are never together."""
+    The order of a config's keys means nothing; a null config is one of its own. The first by seq creates, of equal ones the first by the columns of ``place``, which aren't returned;
+    it is found by an aggregate, so runs of one extractor, however many, are never together."""
     text = F.coalesce(F.to_json(F.array_sort(F.map_entries("config"))), F.lit("null"))
     key = ["name", "tool_version"]
     rows = asked.withColumn("said", text)
-    first = rows.groupBy(*key).agg(F.min(F.struct("seq", "said")).alias("first"))
+    first = rows.groupBy(*key).agg(F.min(F.struct("seq", *place, "said")).alias("first"))
     held = known.select(*key, text.alias("held"))
     kept = first.join(held, key, "left").select(*(F.col(c).alias(f"k_{c}") for c in key), F.coalesce("held", "first.said").alias("kept"), F.when(F.col("held").isNull(), F.col("first.seq")).alias("made"))
     met = rows.join(kept, rows["name"].eqNullSafe(kept["k_name"]) & rows["tool_version"].eqNullSafe(kept["k_tool_version"]))
     op = F.when(F.col("said") != F.col("kept"), "refuse").when(F.col("seq") == F.col("made"), "create").otherwise("use")
-    return met.withColumn("op", op).select(*asked.columns, "op")
+    return met.withColumn("op", op).select(*(c for c in asked.columns if c not in place), "op")

@@ -93,9 +93,10 @@ def P14_collected(spark, d):
 f AS (SELECT name, tool_version, min(seq) AS made, arg_min(said, seq) AS first FROM a GROUP BY 1, 2)
 SELECT seq, name, tool_version, CASE WHEN said <> CASE WHEN tool_version <= 3 THEN 'NO' ELSE first END THEN 'refuse' WHEN tool_version > 3 AND seq = made THEN 'create' ELSE 'use' END AS op FROM a JOIN f USING (name, tool_version)""")
 def X40_extractors(spark, d):
-    """Line items as runs of an extractor by supplier's remainder and line number, flag and status being its config; those of lines 1 to 3 are on record."""
-    l = t(spark, d, "lineitem")  # noqa: E741
+    """Line items as runs of an extractor by supplier's remainder and line number, flag and status being its config; those of lines 1 to 3 are on record.
+    Of runs with one order's key the first in the table is the first."""
+    l = t(spark, d, "lineitem").select("*", "_metadata.file_path", "_metadata.row_index")  # noqa: E741
     config = F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("status"), F.col("l_linestatus"))
-    asked = l.select(F.col("l_orderkey").alias("seq"), F.concat(F.lit("m"), F.col("l_suppkey") % 7).alias("name"), F.col("l_linenumber").alias("tool_version"), config.alias("config"))
+    asked = l.select(F.col("l_orderkey").alias("seq"), F.concat(F.lit("m"), F.col("l_suppkey") % 7).alias("name"), F.col("l_linenumber").alias("tool_version"), config.alias("config"), "file_path", "row_index")
     known = asked.where("tool_version <= 3").select("name", "tool_version").distinct().withColumn("config", F.create_map(F.lit("status"), F.lit("O"), F.lit("flag"), F.lit("N")))
-    return K.identified(asked, known).select("seq", "name", "tool_version", "op")
+    return K.identified(asked, known, ["file_path", "row_index"]).select("seq", "name", "tool_version", "op")

@@ -106,3 +106,12 @@ def test_titles_are_read_as_the_query_says(spark, tmp_path):
     pages = [f"<html><title>{x}</title><p>text" for x in titles] + ["<TITLE>large</TITLE>", "<title>one</title><title>two</title>", "<title>a<b>c</b></title><title>d</title>", "no title", "", None]
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     same_rows(spark, "S8_html_title", str(tmp_path))
+
+
+def test_of_equal_runs_the_first_in_the_table_creates(spark, tmp_path):
+    from palimpsest.plans import upkeep  # noqa: F401  adds to the registry
+
+    r = random.Random(8)
+    rows = [(r.randrange(30), r.randrange(100), r.randint(1, 7), r.choice("NAR"), r.choice("OF")) for _ in range(3000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    same_rows(spark, "X40_extractors", str(tmp_path))
