@@ -87,3 +87,38 @@ def test_empty_folder_and_lines(spark, tmp_path):
     paged.write_pages(spark.createDataFrame(rows, "content_id long, number int, value string"), f"{tmp_path}/made", 3, F.array_join(F.collect_list("value"), "\n"))
     got = paged.read(spark, "ocr_lines", f"{tmp_path}/made", 2, 6).collect()
     assert sorted(tuple(x) for x in got) == sorted(x for x in rows if 2 <= x[1] <= 6 and x[2][:1] == "5")
+
+
+def test_many_contents_share_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = [(c, n) for c in range(-250, 250) for n in range(1, 2 + c % 9)] + [(7000, n) for n in range(1, 5001)]
+    runs = F.array(F.array(F.concat(F.lit("w\t"), "number"), F.lit("1"), F.lit("2"), F.lit("9")))
+    made = spark.createDataFrame(pages, "content_id long, number int").select("*", F.lit(600.0).alias("width"), F.lit(None).cast("double").alias("height"), F.lit(False).alias("failed"), runs.alias("runs"))
+    paged.write_pages(made, root := f"{tmp_path}/made", 2, paged.payload())
+    rows = paged.read(spark, "stored_runs", root).collect()
+    assert plain(rows) == {(c, n): [(f"w\t{n}", 1.0, 2.0, 9.0, "")] for c, n in pages} and len(rows) == len(pages)
+
+    def opened(*filters, **options):
+        reader = paged._StoredRuns({"path": root} | options)
+        list(reader.pushFilters(list(filters)))
+        return {f for p in reader.partitions() for f in p.files}
+
+    every = opened()
+    assert len(every) <= 4 * 12 and all(c is None for _, c, _, _ in every)  # slots times ranges, 1 to 2, 3 to 6, 7 to 14 and so on
+    assert {a for _, _, a, _ in every} == {2 * (2**k - 1) + 1 for k in range(12)}
+    assert {a for _, _, a, _ in opened(GreaterThan(("number",), 2), last="9")} == {3, 7}
+    one = opened(EqualTo(("content_id",), 7), LessThanOrEqual(("number",), 14))
+    assert sorted(a for _, _, a, _ in one) == [1, 3, 7]
+    for where in ("content_id = 7", "content_id IN (-3, 7000) AND number BETWEEN 900 AND 2100", "content_id = 7000 AND number > 4990", "number = 3"):
+        got = paged.read(spark, "stored_runs", root).where(where).collect()
+        assert sorted((x.content_id, x.number) for x in got) == sorted(tuple(x) for x in made.select("content_id", "number").where(where).collect()) and got
+
+
+def test_a_packed_payload_that_cannot_be_read(tmp_path):
+    at = tmp_path / "packed" / "first=3" / "last=6" / "slot=0-1"
+    at.mkdir(parents=True)
+    (at / "part-0.txt").write_text('7\t5\t6\t{"pages": [\n\nno beginning\n8\t3\t4\t{"pages": [{"number": 3, "failed": true, "error": 4}]}')
+    reader = paged._StoredRuns({"path": str(tmp_path)})
+    got = [tuple(x[k] for k in ("content_id", "number", "failed", "error")) for b in reader.read(reader.partitions()[0]) for x in b.to_pylist()]
+    assert got == [(7, 5, True, "unreadable payload: JSONDecodeError"), (7, 6, True, "unreadable payload: JSONDecodeError"), (8, 3, True, "4")]
