@@ -20,12 +20,13 @@ def decode(content: bytes) -> str:
 
 def ocr_words(lines: DataFrame, *keep: str) -> DataFrame:
     """Words of an OCR table given as text lines (column value; ``keep`` names others to carry): level 5, not blank; malformed rows are skipped."""
-    c = F.split("value", "\t")
-    num = lambda i: F.expr(f"try_cast(get(split(value, '\\t'), {i}) AS double)")
-    conf = num(10)
-    rows = lines.where((F.size(c) >= 12) & (F.get(c, F.lit(0)) == "5") & (F.trim(F.get(c, F.lit(11))) != "") & num(6).isNotNull() & num(9).isNotNull() & conf.isNotNull())
+    num = lambda c, i: F.get(c, F.lit(i)).try_cast("double")
+    whole = lambda c: (F.size(c) >= 12) & (F.get(c, F.lit(0)) == "5") & (F.trim(F.get(c, F.lit(11))) != "") & num(c, 6).isNotNull() & num(c, 9).isNotNull() & num(c, 10).isNotNull()
+    cells = F.get(F.filter(F.array(F.split("value", "\t")), whole), F.lit(0))  # split once, for all that asks
+    c, conf = F.col("cells"), num(F.col("cells"), 10)
+    rows = lines.select(*keep, cells.alias("cells")).where("cells IS NOT NULL")
     names = {"page": 1, "block": 2, "par": 3, "line": 4, "word": 5, "left": 6, "top": 7, "width": 8, "height": 9}
-    return rows.select(*keep, *(num(i).alias(n) for n, i in names.items()), F.when(conf >= 0, conf / 100).alias("conf"), F.trim(F.get(c, F.lit(11))).alias("text"))
+    return rows.select(*keep, *(num(c, i).alias(n) for n, i in names.items()), F.when(conf >= 0, conf / 100).alias("conf"), F.trim(F.get(c, F.lit(11))).alias("text"))
 
 
 def ocr_paragraphs(words: DataFrame, width: float, height: float) -> DataFrame:

@@ -122,3 +122,13 @@ def test_a_packed_payload_that_cannot_be_read(tmp_path):
     reader = paged._StoredRuns({"path": str(tmp_path)})
     got = [tuple(x[k] for k in ("content_id", "number", "failed", "error")) for b in reader.read(reader.partitions()[0]) for x in b.to_pylist()]
     assert got == [(7, 5, True, "unreadable payload: JSONDecodeError"), (7, 6, True, "unreadable payload: JSONDecodeError"), (8, 3, True, "4")]
+
+
+def test_lines_of_many_contents_share_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(c, n, f"5\t{n}\t1\t1\t1\t{k}\t0\t0\t9\t9\t90\tw{c} é ") for c in range(300) for n in range(1, 2 + c % 6) for k in range(3)]
+    paged.write_pages(spark.createDataFrame(rows, "content_id long, number int, value string"), root := f"{tmp_path}/made", 3, F.array_join(F.collect_list("value"), "\n"))
+    got = paged.read(spark, "ocr_lines", root, 2).where("content_id <> 5").collect()
+    assert sorted(tuple(x) for x in got) == sorted(x for x in rows if x[1] >= 2 and x[0] != 5)
+    assert sum(len(p.files) for p in paged._OcrLines({"path": root}).partitions()) <= 4 * 2  # slots times ranges, 1 to 3 and 4 to 9
